@@ -111,7 +111,7 @@ def snippet(name: str, arg: str | None) -> str:
         return f"CASE WHEN coalesce({arg}, '') = '' THEN 0 ELSE CAST('0x' || substr(md5({arg}), 1, 2) AS INT) END"
     if name == "uuid7":  # time, key
         ts, key = [a.strip() for a in arg.split(";")]
-        millis = f"lpad(lower(to_hex(epoch_ms({ts}))), 12, '0')"
+        millis = f"lpad(lower(to_hex(epoch_us({ts}) // 1000)), 12, '0')"
         noise = f"md5(CAST({key} AS VARCHAR))"
         return (
             f"(substr({millis}, 1, 8) || '-' || substr({millis}, 9, 4) || '-7' || substr({noise}, 1, 3) || '-' || "
