@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import uuid7_from_timestamp
 from ..functions.timeparam import moment
+from .ranges import interval_join
 from .upsert import first_per_key, without
 
 # Days kept.
@@ -102,16 +103,13 @@ def import_events(archive: DataFrame, issues: DataFrame, projects: DataFrame, st
 
 
 def frames_with_modules(frames: DataFrame, modules: DataFrame) -> DataFrame:
-    """Module of each frame address: base <= address < end, first in module order, else null.
-
-    The equality on the dump keeps the range condition from becoming a cross join.
-    """
-    m = modules.select(F.col("dump_id").alias("_dump"), "module_order", "module", "base", "end")
-    cond = (F.col("dump_id") == F.col("_dump")) & (F.col("address") >= F.col("base")) & (F.col("address") < F.col("end"))
-    hits = frames.join(m, cond, "left")
-    return hits.groupBy("dump_id", "address").agg(
-        F.min_by(F.struct("module", "base"), "module_order").alias("_m")
-    ).select("dump_id", "address", F.col("_m.module").alias("module"), F.col("_m.base").alias("base"))
+    """Module of each frame address: base <= address < end, first in module order, else null."""
+    points = frames.select("dump_id", "address").distinct()
+    inside = interval_join(points, modules, ["dump_id"], "address", "base", "end")
+    first = inside.groupBy("dump_id", "address").agg(F.min_by(F.struct("module", "base"), "module_order").alias("_m"))
+    return points.join(first, ["dump_id", "address"], "left").select(
+        "dump_id", "address", F.col("_m.module").alias("module"), F.col("_m.base").alias("base")
+    )
 
 
 def match_bundles(frames: DataFrame, images: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def throttle_rate(usage: Column, start: Column, width: Column) -> Column:
 
 def accepts(rate: Column, event_id: Column, salt: str) -> Column:
     """Sampling by throttle rate: of 101 equal outcomes those above the rate are kept; rate 0 keeps all."""
-    draw = F.pmod(F.xxhash64(event_id, F.lit(salt)), F.lit(101))
+    digest = F.md5(F.concat(F.lit(f"{salt}:"), event_id.cast("string")))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 101
     return (rate == 0) | (draw > rate)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("spans", "logs", "issues")
+MODULES = ("spans", "logs", "issues", "monitoring", "usage", "dimensions")
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
