@@ -218,7 +218,7 @@ def header_pairs(headers: Column) -> Column:
 
 def script_module(url: Column) -> Column:
     """A module name for a script URL: its path without extension, hashes and common folders."""
-    path = F.regexp_replace(url_path(url), r"(?<=[^/.])\.[^./]*$", "")
+    path = F.regexp_replace(url_path(url), r"([^/.][^/]*)\.[^./]*$", "$1")
     path = F.regexp_replace(path, r"\.min$", "")
     tokens = F.split(path, "/")
     sha_at = F.array_position(F.transform(tokens, lambda t: t.rlike("(?i)^[a-f0-9]{32}")), F.lit(True))
@@ -294,12 +294,12 @@ def interpolate(template: str | None, params) -> str | None:
         return template
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def interpolate_positional(template: pd.Series, params: pd.Series) -> pd.Series:
     return pd.Series([interpolate(t, None if p is None else list(p)) for t, p in zip(template, params)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def interpolate_named(template: pd.Series, params: pd.Series) -> pd.Series:
     return pd.Series([interpolate(t, None if p is None else dict(p)) for t, p in zip(template, params)])
 

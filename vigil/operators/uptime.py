@@ -13,15 +13,22 @@ ORDER = ["start_check", "check_id"]
 SLOT = 24 * 3600  # seconds per segment of a monitor's history
 
 
-def replay_states(checks: DataFrame, monitors: DataFrame) -> DataFrame:
+def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Official state after every check of every monitor.
 
     Down is confirmed after ``confirmation_threshold`` failing checks in a row, up
     at once.  ``changed`` marks flips (the first confirmed state is one).  A monitor's
     history is cut into daily segments; what one segment hands to the next (open
     failure run, last confirmed state) is computed on one row per segment.
+
+    ``carry`` (monitor_id, state, consecutive_down) continues an earlier replay.
     """
-    rows = checks.join(monitors.select("monitor_id", "confirmation_threshold"), "monitor_id", "left").withColumn(
+    if carry is not None:
+        start = carry.select("monitor_id", F.col("state").alias("_state0"), F.col("consecutive_down").alias("_down0"))
+        monitors = monitors.join(start, "monitor_id", "left")
+    else:
+        monitors = monitors.withColumn("_state0", F.lit(None).cast("boolean")).withColumn("_down0", F.lit(0))
+    rows = checks.join(monitors.select("monitor_id", "confirmation_threshold", "_state0", "_down0"), "monitor_id", "left").withColumn(
         "_need", F.greatest(F.lit(1), F.coalesce("confirmation_threshold", F.lit(1)))
     ).withColumn("_seg", time_slot(F.col("start_check"), SLOT))
     key = ["monitor_id", "_seg"]
@@ -40,9 +47,10 @@ def replay_states(checks: DataFrame, monitors: DataFrame) -> DataFrame:
     in_island = Window.partitionBy("monitor_id", "_island").orderBy("_seg").rowsBetween(Window.unboundedPreceding, 0)
     open_runs = open_runs.withColumn("_open_upto", F.sum("_open").over(in_island)).withColumn(
         "_carried", F.coalesce(F.lag("_open_upto").over(by_segment), F.lit(0))
-    ).select(*key, "_carried")
+    ).withColumn("_no_up_yet", F.coalesce(F.lag("_island").over(by_segment), F.lit(0)) == 0).select(*key, "_carried", "_no_up_yet")
 
-    run = F.col("_run") + F.when(F.col("_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
+    handed = F.col("_carried") + F.when(F.col("_no_up_yet"), F.coalesce("_down0", F.lit(0))).otherwise(F.lit(0))
+    run = F.col("_run") + F.when(F.col("_ups") == 0, handed).otherwise(F.lit(0))
     rows = rows.join(open_runs, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
     confirmed = F.when(F.col("is_up"), F.lit(True)).when(F.col("_down") >= F.col("_need"), F.lit(False))
     rows = rows.withColumn("_confirmed", confirmed).withColumn("_state", F.last("_confirmed", ignorenulls=True).over(upto))
@@ -52,7 +60,7 @@ def replay_states(checks: DataFrame, monitors: DataFrame) -> DataFrame:
     ).withColumn("_entry", F.last("_last", ignorenulls=True).over(before)).select(*key, "_entry")
 
     rows = rows.withColumn("_previous", F.lag("_state").over(inside)).join(carried_state, key)
-    state, previous = F.coalesce("_state", "_entry"), F.coalesce("_previous", "_entry")
+    state, previous = F.coalesce("_state", "_entry", "_state0"), F.coalesce("_previous", "_entry", "_state0")
     return rows.select(
         *[c for c in checks.columns],
         F.least("_down", "_need").cast("int").alias("consecutive_down"),
@@ -61,6 +69,12 @@ def replay_states(checks: DataFrame, monitors: DataFrame) -> DataFrame:
     )
 
 
+def last_states(states: DataFrame) -> DataFrame:
+    """State of each monitor after its newest check - what the next replay continues from."""
+    newest = F.max_by(F.struct("state", "consecutive_down"), F.struct(*ORDER)).alias("_s")
+    return states.groupBy("monitor_id").agg(newest).select("monitor_id", "_s.state", "_s.consecutive_down")
+
+
 def change_log(states: DataFrame) -> DataFrame:
     return states.where(F.col("changed"))
 
