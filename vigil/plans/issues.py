@@ -91,11 +91,11 @@ def reopen(t: Tables):
 
 
 @query("m02_drop_notifications", """
-WITH links AS (SELECT event_id % 40 AS notification_id, issue_id FROM issue_events GROUP BY ALL),
+WITH links AS (SELECT event_id // 10 AS notification_id, issue_id FROM issue_events GROUP BY ALL),
 reopened AS (SELECT issue_id FROM issues WHERE status = 1 AND project_id = 2)
 SELECT notification_id, issue_id FROM links WHERE notification_id NOT IN (SELECT notification_id FROM links WHERE issue_id IN (SELECT issue_id FROM reopened))""")
 def drop_notifications(t: Tables):
-    links = t("issue_events").select((F.col("event_id") % 40).alias("notification_id"), "issue_id").distinct()
+    links = t("issue_events").select(F.expr("event_id div 10").alias("notification_id"), "issue_id").distinct()
     gone = t("issues").where((F.col("status") == 1) & (F.col("project_id") == 2)).select("issue_id")
     return I.drop_notifications(links, gone)
 

@@ -88,7 +88,7 @@ def compact_hours(t: Tables):
     path = t.scratch("compact-source")
     W.promote_spans(staged(t), path, NOW + timedelta(hours=12))
     table = W.compact_day(t.spark, path, 1, date(2024, 1, 12))
-    return per_day(table, "hour")
+    return per_day(table.withColumn("hour", F.hour("timestamp")), "hour")
 
 
 @query("s06_sealed_hours", """
@@ -169,9 +169,9 @@ def concatenate_rollups(t: Tables):
     """A day's rollups are its hours' rows put together, not aggregated again."""
     path = t.scratch("rollups")
     rolled = S.hourly_rollup(S.describe_spans(t("spans")), exact=False)
-    W.archive(rolled, path, "hour_bucket", sort="transaction_name", partitions=("organization_id", "date", "hour"))
+    W.archive(rolled, path, "hour_bucket", sort="hour_bucket")
     days = t.scratch("rollup-days")
-    W.archive(t.spark.read.parquet(path).drop("date", "hour"), days, "hour_bucket", sort="transaction_name")
+    W.archive(t.spark.read.parquet(path).drop("date"), days, "hour_bucket", sort="transaction_name")
     return t.spark.read.parquet(days).groupBy("organization_id", "date").agg(
         F.count(F.lit(1)).alias("rollups"), F.sum("count").alias("spans")
     )

@@ -118,11 +118,10 @@ def stream_span_sink(t: Tables):
     out, spans = t.scratch("span-sink"), t("spans").select("organization_id", "span_id", "timestamp", "duration")
 
     def sink(stream):
-        laid_out = stream.withColumn("date", F.to_date("timestamp")).withColumn("hour", F.hour("timestamp"))
-        return jobs.append_files(laid_out, out, ["organization_id", "date", "hour"])
+        return jobs.append_files(stream.withColumn("date", F.to_date("timestamp")), out, ["organization_id", "date"])
 
     drain(t, "span-sink", [*by_half(spans, "timestamp", "2024-01-16"), spans.limit(0)], sink)
-    return t.spark.read.parquet(out).groupBy("organization_id", "date", "hour").agg(F.count(F.lit(1)).alias("count"))
+    return t.spark.read.parquet(out).groupBy("organization_id", "date", F.hour("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("st08_stream_grouping", """
@@ -130,8 +129,9 @@ WITH old AS (SELECT project_id, hash, count(*) AS n FROM issue_events WHERE culp
 s AS (SELECT issue_id, project_id, hash, title, count, first_seen, last_seen, last_release, status, resolved_in_release FROM issues),
 hits AS (SELECT DISTINCT s.issue_id FROM s JOIN old o ON o.project_id = s.project_id AND o.hash = s.hash JOIN issue_events e ON e.issue_id = s.issue_id
  WHERE s.status = 1 AND (s.resolved_in_release IS NULL OR (e.release IS NOT NULL AND e.release <> s.resolved_in_release)))
-SELECT s.issue_id, s.title, CASE WHEN o.hash IS NULL THEN s.count ELSE 2 * s.count END AS count, s.first_seen, s.last_seen, s.last_release,
+SELECT s.issue_id, s.title, CASE WHEN o.hash IS NULL THEN s.count ELSE 2 * s.count END AS count, s.first_seen, s.last_seen, l.last_release,
  CASE WHEN o.hash IS NULL OR h.issue_id IS NOT NULL THEN 0 ELSE s.status END AS status FROM s
+LEFT JOIN (SELECT issue_id, arg_max(release, struct_pack(a := received, b := event_id)) FILTER (WHERE release IS NOT NULL) AS last_release FROM issue_events GROUP BY issue_id) l ON l.issue_id = s.issue_id
 LEFT JOIN old o ON o.project_id = s.project_id AND o.hash = s.hash LEFT JOIN hits h ON h.issue_id = s.issue_id""")
 def stream_grouping(t: Tables):
     """Replay all events onto stored issues that lack one module: known ones grow and reopen, others appear."""

@@ -41,15 +41,13 @@ def archive(
 ) -> None:
     """Write rows below organisation/day folders, sorted, zstd; a rerun replaces the same folders.
 
-    Rows are spread by (organisation, day, hour), so one large organisation is written
-    by many tasks, and files are cut at ``max_records``.
+    Rows are rebalanced by (organisation, day): small days share a task, and AQE splits
+    a day that is larger than the advisory partition size over as many as it needs.
     """
     if eligible is not None:
         rows = rows.join(eligible.select("organization_id").distinct(), "organization_id", "left_semi")
     out = rows.withColumn("date", F.to_date(time_column))
-    if "hour" in partitions:
-        out = out.withColumn("hour", F.hour(time_column))
-    spread = out.repartition("organization_id", "date", F.hour(time_column)).sortWithinPartitions(*partitions, sort)
+    spread = out.hint("rebalance", "organization_id", "date").sortWithinPartitions(*partitions, sort)
     writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
     writer = writer.option("compression", "zstd").option("maxRecordsPerFile", max_records)
     for key, value in (POINT_LOOKUP if lookups else {}).items():
@@ -64,13 +62,16 @@ def unarchived(rows: DataFrame, archived: DataFrame, time_column: str) -> DataFr
 
 
 def promote_spans(staged: DataFrame, path: str, now: datetime) -> DataFrame:
-    """Move staged spans older than five minutes to the span table, by hour of event time.
+    """Move staged spans older than five minutes to the span table, by day of event time.
+
+    Hours are runs of the sort order, not folders: an hour folder per organisation
+    would leave a large cluster with millions of tiny files.
 
     Returns one row: consumed, kept and dropped spans (unusable ones are consumed too).
     """
     ready = staged.where(F.col("inserted") < moment(now - STAGING_DELAY))
     judged = acceptable_spans(ready, now)
-    archive(judged.where("kept").drop("kept", "inserted"), path, "timestamp", sort="span_id", partitions=("organization_id", "date", "hour"))
+    archive(judged.where("kept").drop("kept", "inserted"), path, "timestamp", sort="timestamp")
     return judged.agg(
         F.count(F.lit(1)).alias("consumed"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")
     )
@@ -93,8 +94,9 @@ def compact_day(spark: SparkSession, path: str, organization_id: int, day: date,
     table = spark.read.parquet(path)
     part = table.where((F.col("organization_id") == organization_id) & (F.col("date") == F.lit(day)))
     staging = scratch_path(spark, "compact")
-    layout = [c for c in ("organization_id", "date", "hour") if c in table.columns]
-    part.repartition(*layout).sortWithinPartitions(*layout, "timestamp").write.option("compression", "zstd").option(
+    layout = ["organization_id", "date"]
+    # Sorted by time across files, as many files as the size asks for.
+    part.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.option("compression", "zstd").option(
         "maxRecordsPerFile", rows_per_file
     ).partitionBy(*layout).parquet(staging)
     replace_partitions(spark.read.parquet(staging), path, layout)
