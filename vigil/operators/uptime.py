@@ -23,12 +23,13 @@ def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | Non
 
     ``carry`` (monitor_id, state, consecutive_down) continues an earlier replay.
     """
-    if carry is not None:
-        start = carry.select("monitor_id", F.col("state").alias("_state0"), F.col("consecutive_down").alias("_down0"))
-        monitors = monitors.join(start, "monitor_id", "left")
+    rows = checks.join(monitors.select("monitor_id", "confirmation_threshold"), "monitor_id", "left")
+    if carry is None:
+        rows = rows.withColumn("_state0", F.lit(None).cast("boolean")).withColumn("_down0", F.lit(0))
     else:
-        monitors = monitors.withColumn("_state0", F.lit(None).cast("boolean")).withColumn("_down0", F.lit(0))
-    rows = checks.join(monitors.select("monitor_id", "confirmation_threshold", "_state0", "_down0"), "monitor_id", "left").withColumn(
+        start = carry.select("monitor_id", F.col("state").alias("_state0"), F.col("consecutive_down").alias("_down0"))
+        rows = rows.join(start, "monitor_id", "left")
+    rows = rows.withColumn(
         "_need", F.greatest(F.lit(1), F.coalesce("confirmation_threshold", F.lit(1)))
     ).withColumn("_seg", time_slot(F.col("start_check"), SLOT))
     key = ["monitor_id", "_seg"]

@@ -19,6 +19,9 @@ RUNTIME_CONF = {
 }
 
 
+FALLBACK_DIR = "spark.vigil.scratch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
@@ -27,7 +30,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", app: str = "vigil") -> SparkSession:
+def local_session(cores: str = "8", app: str = "vigil", shared: str | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -38,6 +41,8 @@ def local_session(cores: str = "8", app: str = "vigil") -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
@@ -48,8 +53,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
     Only a session that names no folder (tests, a laptop) gets a temporary one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(FALLBACK_DIR, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="vigil-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.conf.set(FALLBACK_DIR, base)
     return f"{base.rstrip('/')}/vigil/{label}-{uuid.uuid4().hex}"
