@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import basename, ellipsize, non_empty, strip_nul, truncate, url_host, url_path, url_scheme
+from .text import basename, ellipsize, let, non_empty, strip_nul, truncate, url_host, url_path, url_scheme
 
 # Fixed values.
 CULPRIT_LIMIT = 200
@@ -84,9 +84,13 @@ def stacktrace_culprit(frames: Column, platform: Column) -> Column:
             F.coalesce(f["in_app"], F.lit(False)).alias("in_app"), frame_culprit(f, platform).alias("name")
         ),
     )
-    own = _first(F.filter(named, lambda n: n["in_app"] & (n["name"] != "")))["name"]
-    other = _first(F.filter(named, lambda n: ~n["in_app"]))["name"]
-    return F.coalesce(own, other, F.lit(""))
+
+    def choose(names: Column) -> Column:
+        own = _first(F.filter(names, lambda n: n["in_app"] & (n["name"] != "")))["name"]
+        other = _first(F.filter(names, lambda n: ~n["in_app"]))["name"]
+        return F.coalesce(own, other, F.lit(""))
+
+    return let(named, choose)
 
 
 def culprit(event: Column) -> Column:
@@ -95,11 +99,12 @@ def culprit(event: Column) -> Column:
     last = F.try_element_at(exceptions, F.lit(-1))
     traced = F.filter(exceptions, lambda e: F.coalesce(F.size(e["stacktrace"]["frames"]), F.lit(0)) > 0)
     frames = F.try_element_at(traced, F.lit(-1))["stacktrace"]["frames"]
-    from_trace = F.when(frames.isNotNull(), stacktrace_culprit(frames, event["platform"])).otherwise(F.lit(""))
-    derived = F.coalesce(non_empty(from_trace), event["request"]["url"], F.lit(""))
+    from_trace = let(frames, lambda f: F.when(f.isNotNull(), stacktrace_culprit(f, event["platform"])))
     synthetic = F.coalesce(last["mechanism"]["synthetic"], F.lit(False))
-    derived = F.when(synthetic, F.lit("")).otherwise(ellipsize(derived, CULPRIT_LIMIT))
-    return ellipsize(F.coalesce(non_empty(event["transaction"]), derived), CULPRIT_LIMIT)
+    derived = F.when(synthetic, F.lit("")).otherwise(
+        F.coalesce(let(from_trace, non_empty), event["request"]["url"], F.lit(""))
+    )
+    return let(F.coalesce(non_empty(event["transaction"]), derived), lambda c: ellipsize(c, CULPRIT_LIMIT))
 
 
 def crash_frame(event: Column) -> Column:
@@ -112,12 +117,12 @@ def crash_frame(event: Column) -> Column:
     usable = F.filter(
         _newest_first(frames), lambda f: f["function"].isNotNull() & ~f["function"].isin(*UNUSABLE_FUNCTIONS)
     )
-    return F.coalesce(_first(F.filter(usable, lambda f: F.coalesce(f["in_app"], F.lit(False)))), _first(usable))
+    return let(usable, lambda u: F.coalesce(_first(F.filter(u, lambda f: F.coalesce(f["in_app"], F.lit(False)))), _first(u)))
 
 
 def crash_location(event: Column) -> tuple[Column, Column]:
     frame = crash_frame(event)
-    return F.coalesce(non_empty(frame["filename"]), frame["abs_path"]), frame["function"]
+    return let(frame, lambda f: F.coalesce(non_empty(f["filename"]), f["abs_path"])), frame["function"]
 
 
 # -- normalisation ---------------------------------------------------------------
@@ -220,11 +225,15 @@ def script_module(url: Column) -> Column:
     """A module name for a script URL: its path without extension, hashes and common folders."""
     path = F.regexp_replace(url_path(url), r"([^/.][^/]*)\.[^./]*$", "$1")
     path = F.regexp_replace(path, r"\.min$", "")
-    tokens = F.split(path, "/")
-    sha_at = F.array_position(F.transform(tokens, lambda t: t.rlike("(?i)^[a-f0-9]{32}")), F.lit(True))
-    after_sha = F.array_join(F.slice(tokens, sha_at + 1, F.size(tokens)), "/")
-    cleaned = F.coalesce(non_empty(F.regexp_replace(path, MODULE_NOISE, "")), F.lit(UNKNOWN_MODULE))
-    return F.when(F.coalesce(url, F.lit("")) == "", F.lit(UNKNOWN_MODULE)).when(sha_at > 0, after_sha).otherwise(cleaned)
+
+    def name(p: Column) -> Column:
+        tokens = F.split(p, "/")
+        sha_at = F.array_position(F.transform(tokens, lambda t: t.rlike("(?i)^[a-f0-9]{32}")), F.lit(True))
+        after_sha = F.array_join(F.slice(tokens, sha_at + 1, F.size(tokens)), "/")
+        cleaned = F.coalesce(non_empty(F.regexp_replace(p, MODULE_NOISE, "")), F.lit(UNKNOWN_MODULE))
+        return F.when(sha_at > 0, after_sha).otherwise(cleaned)
+
+    return F.when(F.coalesce(url, F.lit("")) == "", F.lit(UNKNOWN_MODULE)).otherwise(let(path, name))
 
 
 # -- tags and search text ----------------------------------------------------------
@@ -275,9 +284,13 @@ def search_text(title: Column, transaction: Column, event: Column) -> Column:
     files = F.slice(F.flatten(F.slice(F.filter(per_trace, lambda a: F.size(a) > 0), 1, SEARCH_TRACES)), 1, SEARCH_FILES)
     parts = F.concat(F.array(truncate(title, SEARCH_PART), truncate(transaction, SEARCH_PART), simple_url), files)
     text = F.array_join(F.array_sort(F.array_distinct(F.filter(parts, _filled))), " ")
-    head = F.substring(text, 1, SEARCH_TOTAL)
-    at_space = F.regexp_replace(head, r"(?s) [^ ]*$", "")
-    return strip_nul(F.when(F.length(text) > SEARCH_TOTAL, at_space).otherwise(text))
+
+    def cut(whole: Column) -> Column:
+        # Not inside a word; a text without any space is cut hard.
+        at_space = F.regexp_replace(F.substring(whole, 1, SEARCH_TOTAL), r"(?s) [^ ]*$", "")
+        return F.when(F.length(whole) > SEARCH_TOTAL, at_space).otherwise(whole)
+
+    return strip_nul(let(text, cut))
 
 
 def interpolate(template: str | None, params) -> str | None:

@@ -17,6 +17,11 @@ MAX_TAG = 255
 TITLE_LIMIT = 100
 
 
+def let(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def parameterize_sql(text: Column) -> Column:
     out = F.regexp_replace(text, STRING_LITERAL, "%s")
     out = F.regexp_replace(out, NUMBER_LITERAL, "%s")

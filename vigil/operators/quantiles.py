@@ -9,46 +9,61 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .segmented import join_on_keys
 
 
-def _segment(value: Column) -> Column:
+def _cell(value: Column) -> Column:
     """Coarse cell of a value, rising with it: about 1 % wide on a log scale."""
     return (F.signum(value) * F.floor(F.log1p(F.abs(value)) * F.lit(128))).cast("int")
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, value) -> n.  Map-side combined; a hot group spreads over its values."""
-    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_cell", _cell(F.col(value)))
 
 
-def exact_percentiles(
-    counts: DataFrame, keys: Sequence[str], value: str, percents: Mapping[str, int]
-) -> DataFrame:
-    """(keys, one column per percentile) from ``value_counts`` output.
+def group_heads(counts: DataFrame, keys: Sequence[str], value: str, percents: Mapping[str, int]) -> DataFrame:
+    """One row per group and percentile, from ``value_counts`` output.
 
-    The rank of a percentile is located first among the coarse cells of its group
-    (a few thousand summary rows at most), then only the rows of that one cell are
-    ranked.  Ranks are whole-number arithmetic: the smallest value whose cumulative
-    share reaches the percentile.
+    Holds the group's totals (rows, timed rows, sum, min, max) and the cell in which
+    the percentile falls.  A group has at most a few thousand cells, whatever its size.
+    Ranks are whole numbers: the smallest value whose cumulative share reaches the
+    percentile.
     """
-    counts = counts.where(F.col(value).isNotNull()).withColumn("_cell", _segment(F.col(value)))
-    by_cell = Window.partitionBy(*keys).orderBy("_cell")
-    cells = (
-        counts.groupBy(*keys, "_cell").agg(F.sum("n").alias("_in_cell"))
-        .withColumn("_upto", F.sum("_in_cell").over(by_cell.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_in_cell").over(Window.partitionBy(*keys)))
+    whole = Window.partitionBy(*keys)
+    upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = counts.groupBy(*keys, "_cell").agg(
+        F.sum("n").alias("_n"), F.sum(F.col(value) * F.col("n")).alias("_sum"), F.min(value).alias("_min"), F.max(value).alias("_max")
+    ).withColumn("_in", F.when(F.col("_cell").isNotNull(), F.col("_n")).otherwise(F.lit(0)))
+    cells = cells.select(
+        *keys, "_cell", "_in", F.sum("_in").over(upto).alias("_upto"),
+        F.sum("_in").over(whole).alias("timed"), F.sum("_n").over(whole).alias("rows"), F.sum("_sum").over(whole).alias("total"),
+        F.min("_min").over(whole).alias("lowest"), F.max("_max").over(whole).alias("highest"),
     )
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pct).alias("pct")) for name, pct in percents.items()])
-    targets = (
-        cells.withColumn("_want", F.explode(wanted))
-        .withColumn("_rank", F.expr("greatest(1, (_total * _want.pct + 99) div 100)"))
-        .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_in_cell") < F.col("_rank")))
-        .select(*keys, "_cell", F.col("_want.name").alias("_name"), (F.col("_rank") - F.col("_upto") + F.col("_in_cell")).alias("_local"))
+    ranked = cells.withColumn("_want", F.explode(wanted)).withColumn("_rank", F.expr("greatest(1, (timed * _want.pct + 99) div 100)"))
+    here = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_in") < F.col("_rank")) & F.col("_cell").isNotNull()
+    # A group without any value keeps one row, on its null cell.
+    return ranked.where(here | (F.col("timed") == 0)).select(
+        *keys, "_cell", F.col("_want.name").alias("_name"), "timed", "rows", "total", "lowest", "highest",
+        F.when(F.col("timed") == 0, F.lit(1)).otherwise(F.col("_rank") - F.col("_upto") + F.col("_in")).alias("_local"),
     )
+
+
+def resolve_heads(counts: DataFrame, heads: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Heads with the exact percentile in ``value``: only rows of the wanted cells are ranked."""
     inside = Window.partitionBy(*keys, "_cell", "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hits = (
-        join_on_keys(counts, targets, [*keys, "_cell"])
+    return (
+        join_on_keys(counts, heads, [*keys, "_cell"])
         .withColumn("_seen", F.sum("n").over(inside))
         .where((F.col("_seen") >= F.col("_local")) & (F.col("_seen") - F.col("n") < F.col("_local")))
+        .drop("_seen", "_local", "_cell", "n")
     )
-    return hits.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in percents]
+
+
+def exact_percentiles(
+    counts: DataFrame, keys: Sequence[str], value: str, percents: Mapping[str, int], totals: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, group totals asked for, one column per percentile)."""
+    found = resolve_heads(counts, group_heads(counts, keys, value, percents), keys, value)
+    return found.groupBy(*keys).agg(
+        *[F.first(t).alias(t) for t in totals],
+        *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in percents],
     )

@@ -10,7 +10,7 @@ from ..functions import durations as D
 from ..functions.levels import is_error_status
 from ..functions.text import parameterize_description, strip_nul, truncate
 from ..functions.timeparam import moment
-from .quantiles import exact_percentiles, value_counts
+from .quantiles import exact_percentiles, group_heads, resolve_heads, value_counts
 from .segmented import join_on_keys
 
 MAX_SPANS = 1000
@@ -63,24 +63,22 @@ def span_groups(spans: DataFrame, *, sort: str = "-total_time", limit: int = 50)
     """Count, mean, p95 and total per (op, description), best ``limit`` groups.
 
     One shuffle counts equal durations; totals, ranking and p95 all read that result,
-    and p95 is computed for the groups that made the page only.
+    and p95 is worked out for the groups that made the page only.
     """
     field, descending = sort.lstrip("-"), sort.startswith("-")
     if field not in SORTS:
         field, descending = "total_time", True
     counts = value_counts(spans, GROUP_KEYS, "duration")
-    totals = counts.groupBy(*GROUP_KEYS).agg(
-        F.sum("n").alias("count"), F.sum(F.col("duration") * F.col("n")).alias("total_time"),
-        F.sum(F.when(F.col("duration").isNotNull(), F.col("n"))).alias("timed"),
+    groups = group_heads(counts, GROUP_KEYS, "duration", {"p95": 95}).withColumnsRenamed(
+        {"rows": "count", "total": "total_time"}
     ).withColumn("avg_duration", F.try_divide("total_time", "timed"))
     # Order by the rounded figure, so that float noise cannot reorder equal groups.
     rank = F.round(F.col(field), 6) if field != "count" else F.col("count")
-    page = totals.orderBy(rank.desc() if descending else rank.asc(), "op", F.col("description").asc_nulls_first()).limit(limit)
-    p95 = exact_percentiles(join_on_keys(counts, page, GROUP_KEYS, "left_semi"), GROUP_KEYS, "duration", {"p95_duration": 95})
-    return join_on_keys(page, p95, GROUP_KEYS, "left").select(
+    page = groups.orderBy(rank.desc() if descending else rank.asc(), "op", F.col("description").asc_nulls_first()).limit(limit)
+    return resolve_heads(counts, page, GROUP_KEYS, "duration").select(
         "op", F.coalesce("description", F.lit("")).alias("description"), "count",
         F.coalesce("avg_duration", F.lit(0.0)).alias("avg_duration"),
-        F.coalesce("p95_duration", F.lit(0.0)).alias("p95_duration"),
+        F.coalesce("duration", F.lit(0.0)).alias("p95_duration"),
         F.coalesce("total_time", F.lit(0.0)).alias("total_time"),
     )
 
@@ -116,19 +114,23 @@ def hourly_rollup(spans: DataFrame, *, exact: bool = True) -> DataFrame:
     """Per hour and span group: count, sum, min, max, p50, p95, distinct transactions."""
     keys = ["organization_id", "project_id", "transaction_name", *GROUP_KEYS, "hour_bucket"]
     spans = spans.withColumn("hour_bucket", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
-    base = [
-        F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("duration"), F.lit(0.0)).alias("sum_duration"),
-        F.coalesce(F.min("duration"), F.lit(0.0)).alias("min_duration"),
-        F.coalesce(F.max("duration"), F.lit(0.0)).alias("max_duration"),
-        F.countDistinct("transaction_id").alias("transaction_count"),
-    ]
+    zero = F.lit(0.0)
     if not exact:
         sketch = F.percentile_approx("duration", [0.5, 0.95], 1000)
-        rolled = spans.groupBy(*keys).agg(*base, sketch.alias("q"))
-        return rolled.withColumn("p50", F.col("q")[0]).withColumn("p95", F.col("q")[1]).drop("q")
-    rolled = spans.groupBy(*keys).agg(*base)
-    pct = exact_percentiles(value_counts(spans, keys, "duration"), keys, "duration", {"p50": 50, "p95": 95})
-    return join_on_keys(rolled, pct, keys, "left")
+        return spans.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("count"), F.coalesce(F.sum("duration"), zero).alias("sum_duration"),
+            F.coalesce(F.min("duration"), zero).alias("min_duration"), F.coalesce(F.max("duration"), zero).alias("max_duration"),
+            F.countDistinct("transaction_id").alias("transaction_count"), sketch.alias("q"),
+        ).withColumn("p50", F.col("q")[0]).withColumn("p95", F.col("q")[1]).drop("q")
+    transactions = spans.groupBy(*keys).agg(F.countDistinct("transaction_id").alias("transaction_count"))
+    pct = exact_percentiles(
+        value_counts(spans, keys, "duration"), keys, "duration", {"p50": 50, "p95": 95}, ("rows", "total", "lowest", "highest")
+    )
+    return join_on_keys(transactions, pct, keys).select(
+        *keys, F.col("rows").alias("count"), F.coalesce("total", zero).alias("sum_duration"),
+        F.coalesce("lowest", zero).alias("min_duration"), F.coalesce("highest", zero).alias("max_duration"),
+        "transaction_count", F.coalesce("p50", zero).alias("p50"), F.coalesce("p95", zero).alias("p95"),
+    )
 
 
 def daily_trend(rollup: DataFrame) -> DataFrame:

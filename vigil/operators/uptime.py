@@ -10,7 +10,7 @@ from ..functions.timeparam import micros
 from .segmented import time_slot
 
 ORDER = ["start_check", "check_id"]
-SLOT = 24 * 3600  # seconds per segment of a monitor's history
+SLOT = 900  # seconds per segment of a monitor's history
 
 
 def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | Non
 
     Down is confirmed after ``confirmation_threshold`` failing checks in a row, up
     at once.  ``changed`` marks flips (the first confirmed state is one).  A monitor's
-    history is cut into daily segments; what one segment hands to the next (open
+    history is cut into quarter-hour segments; what one segment hands to the next (open
     failure run, last confirmed state) is computed on one row per segment.
 
     ``carry`` (monitor_id, state, consecutive_down) continues an earlier replay.
@@ -39,29 +39,33 @@ def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | Non
     since_up = Window.partitionBy(*key, "_ups").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_run", F.sum((~F.col("is_up")).cast("int")).over(since_up))
 
-    rank = F.struct(*ORDER)
+    # One row per segment: ups, the failure run still open at its end, then what it passes on.
     by_segment = Window.partitionBy("monitor_id").orderBy("_seg")
-    open_runs = rows.groupBy(*key).agg(
-        F.max("_ups").alias("_seg_ups"), F.max_by(F.when(F.col("is_up"), 0).otherwise(F.col("_run")), rank).alias("_open")
-    )
-    open_runs = open_runs.withColumn("_island", F.sum((F.col("_seg_ups") > 0).cast("int")).over(by_segment))
+    earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
+    open_run = F.max_by(F.when(F.col("is_up"), 0).otherwise(F.col("_run")), F.struct(*ORDER))
+    segments = rows.groupBy(*key).agg(
+        F.max("_ups").alias("_seg_ups"), open_run.alias("_open"), F.max("_need").alias("_seg_need"),
+        F.max("_state0").alias("_first_state"), F.max("_down0").alias("_first_down"),
+    ).withColumn("_island", F.sum((F.col("_seg_ups") > 0).cast("int")).over(by_segment))
     in_island = Window.partitionBy("monitor_id", "_island").orderBy("_seg").rowsBetween(Window.unboundedPreceding, 0)
-    open_runs = open_runs.withColumn("_open_upto", F.sum("_open").over(in_island)).withColumn(
+    no_up_yet = F.coalesce(F.lag("_island").over(by_segment), F.lit(0)) == 0
+    segments = segments.withColumn("_open_upto", F.sum("_open").over(in_island)).withColumn(
         "_carried", F.coalesce(F.lag("_open_upto").over(by_segment), F.lit(0))
-    ).withColumn("_no_up_yet", F.coalesce(F.lag("_island").over(by_segment), F.lit(0)) == 0).select(*key, "_carried", "_no_up_yet")
-
-    handed = F.col("_carried") + F.when(F.col("_no_up_yet"), F.coalesce("_down0", F.lit(0))).otherwise(F.lit(0))
-    run = F.col("_run") + F.when(F.col("_ups") == 0, handed).otherwise(F.lit(0))
-    rows = rows.join(open_runs, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
+        + F.when(no_up_yet, F.coalesce("_first_down", F.lit(0))).otherwise(F.lit(0))
+    )
+    run_at_end = F.col("_open") + F.when(F.col("_seg_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
+    at_end = F.when(run_at_end >= F.col("_seg_need"), F.lit(False)).when(F.col("_seg_ups") > 0, F.lit(True))
+    segments = segments.withColumn("_at_end", at_end).withColumn(
+        "_entry", F.coalesce(F.last("_at_end", ignorenulls=True).over(earlier), "_first_state")
+    ).select(*key, "_carried", "_entry")
+
+    run = F.col("_run") + F.when(F.col("_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
+    rows = rows.join(segments, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
     confirmed = F.when(F.col("is_up"), F.lit(True)).when(F.col("_down") >= F.col("_need"), F.lit(False))
-    rows = rows.withColumn("_confirmed", confirmed).withColumn("_state", F.last("_confirmed", ignorenulls=True).over(upto))
-    before = by_segment.rowsBetween(Window.unboundedPreceding, -1)
-    carried_state = rows.groupBy(*key).agg(
-        F.max_by("_confirmed", F.when(F.col("_confirmed").isNotNull(), rank)).alias("_last")
-    ).withColumn("_entry", F.last("_last", ignorenulls=True).over(before)).select(*key, "_entry")
-
-    rows = rows.withColumn("_previous", F.lag("_state").over(inside)).join(carried_state, key)
-    state, previous = F.coalesce("_state", "_entry", "_state0"), F.coalesce("_previous", "_entry", "_state0")
+    rows = rows.withColumn("_state", F.last(confirmed, ignorenulls=True).over(upto)).withColumn(
+        "_previous", F.lag("_state").over(inside)
+    )
+    state, previous = F.coalesce("_state", "_entry"), F.coalesce("_previous", "_entry")
     return rows.select(
         *[c for c in checks.columns],
         F.least("_down", "_need").cast("int").alias("consecutive_down"),

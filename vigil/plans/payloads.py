@@ -395,7 +395,7 @@ def json_envelopes(t: Tables):
     doc = F.to_json(F.struct(
         kind.alias("type"), (F.col("user_id") % 5).cast("int").alias("project_id"), F.col("ts").cast("string").alias("received"), F.col("props").alias("payload")
     ))
-    lines = t("events").select("event_id", F.when(F.col("event_id") % 13 == 0, F.substring(doc, 1, 25)).otherwise(doc).alias("value"))
+    lines = t.spread("events").select("event_id", F.when(F.col("event_id") % 13 == 0, F.substring(doc, 1, 25)).otherwise(doc).alias("value"))
     good, bad = J.read_envelopes(lines)
     kept = good.select("event_id", F.col("table").alias("target"), F.lit(False).alias("broken"), "received", F.get_json_object("payload", "$.k").alias("k"))
     gone = bad.select("event_id", F.lit(None).cast("string").alias("target"), F.lit(True).alias("broken"),
@@ -413,7 +413,7 @@ def log_items(t: Tables):
         F.lit('{"timestamp":'), at, F.lit(',"level":"info","body":"'), F.col("event_type"),
         F.lit('","attributes":{"service.name":{"value":"'), F.col("user_id").cast("string"), F.lit('","type":"string"},"n":{"value":5,"type":"integer"}}}'),
     )
-    good, _ = J.read_log_items(t("events").select("event_id", doc.alias("value")))
+    good, _ = J.read_log_items(t.spread("events").select("event_id", doc.alias("value")))
     return good.select("event_id", "timestamp", "body", F.col("attributes")["service.name"].alias("service"))
 
 
@@ -434,7 +434,7 @@ def otlp_logs(t: Tables):
         F.lit('000000","severityText":"CUSTOM","body":{"stringValue":"'), F.col("event_type"),
         F.lit('"},"attributes":[{"key":"who","value":{"stringValue":"rec"}},{"key":"n","value":{"intValue":"'), F.col("user_id").cast("string"), F.lit('"}}]}]}]}]}'),
     )
-    lines = t("events").select("event_id", F.when(F.col("event_id") % 2 == 0, snake).otherwise(camel).alias("value"))
+    lines = t.spread("events").select("event_id", F.when(F.col("event_id") % 2 == 0, snake).otherwise(camel).alias("value"))
     attrs = F.col("attributes")
     return J.read_otlp(lines).select(
         "event_id", "timestamp", "level", "body", "severity_number", attrs["who"].alias("who"), attrs["n"].alias("n"), attrs["shared"].alias("shared"),

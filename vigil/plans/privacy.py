@@ -32,7 +32,7 @@ def scrub_documents(t: Tables):
     block = F.lit("\n-----BEGIN RSA PRIVATE KEY-----\nMIIabc\n-----END RSA PRIVATE KEY-----\n")
     text = F.when(F.col("lang") == "fr", F.concat("text", block, "text")).otherwise(F.col("text"))
     scrubbed = pii.scrub_value(text, emails=True)
-    out = t("documents").select("doc_id", scrubbed.alias("clean"))
+    out = t.spread("documents").select("doc_id", scrubbed.alias("clean"))
     return out.select("doc_id", F.md5("clean").alias("digest"), F.length("clean").cast("bigint").alias("n"))
 
 
@@ -43,7 +43,7 @@ SELECT conv_id, turn, md5(regexp_replace(out, '{EMAIL}', '[Filtered]', 'g')) AS
 def scrub_conversations(t: Tables):
     card = F.when(F.col("turn") % 2 == 0, F.lit("4111 1111-1111 1111")).otherwise(F.lit("4111111111111112"))
     text = F.concat("text", F.lit(" "), card, F.lit(", me+"), "role", F.lit("@mail.example.co.uk."))
-    return t("conversations").select("conv_id", "turn", F.md5(pii.scrub_value(text, emails=True)).alias("digest"))
+    return t.spread("conversations").select("conv_id", "turn", F.md5(pii.scrub_value(text, emails=True)).alias("digest"))
 
 
 KEYS = """CASE event_id % 16 WHEN 0 THEN 'auth_token' WHEN 1 THEN 'author' WHEN 2 THEN 'userPassword' WHEN 3 THEN 'X-Api-Key' WHEN 4 THEN 'tokenizer' WHEN 5 THEN 'sessionId'
@@ -61,7 +61,7 @@ c AS (SELECT event_id, key, value, name <> '' AND name <> 'public' AND (name IN
  name <> '' AND NOT contains(name, 'public') AND len(list_filter([{TOKEN_LIST}, {WHOLE_LIST}, 'internalcode'], lambda x: contains(name, x))) > 0 AS by_text FROM n)
 SELECT event_id, key, CASE WHEN by_token THEN '[Filtered]' ELSE value END AS token_value, CASE WHEN by_text THEN '[Filtered]' ELSE value END AS aggressive_value FROM c""")
 def scrub_map(t: Tables):
-    rows = t("events").select("event_id", F.expr(KEYS).alias("key"), F.col("user_id").cast("string").alias("value"))
+    rows = t.spread("events").select("event_id", F.expr(KEYS).alias("key"), F.col("user_id").cast("string").alias("value"))
     tags, rules = F.create_map("key", "value"), {"sensitive": ["Internal-Code"], "safe": ["public"]}
     return rows.select(
         "event_id", "key", pii.scrub_map(tags, **rules)[F.col("key")].alias("token_value"),
@@ -100,7 +100,7 @@ def scrub_json(t: Tables):
         F.lit('{"password":"top'), user, F.lit('","extra":{"deep":[{"password":"x'), user, F.lit('","color":"red"}]},"request":{"headers":[["X-Auth-Token","tok"],["Host","h"]]},'),
         F.lit('"message":"mail a@b.example now","breadcrumbs":{"values":[{"data":{"note":"card 4111111111111111"}}]}}'),
     )
-    rows = t("events").select("event_id", (F.col("user_id") % 5).alias("project_id"), doc.alias("payload")).join(configs(t), "project_id", "left")
+    rows = t.spread("events").select("event_id", (F.col("user_id") % 5).alias("project_id"), doc.alias("payload")).join(configs(t), "project_id", "left")
     clean = pii.scrub_json(rows, "payload", "config")
     get = lambda path: F.get_json_object("payload", path)
     return clean.select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.durations import BOUNDARIES, MIDPOINTS
 from ..session import prepare, scratch_path
-from ..sources.domain import table, with_tables
+from ..sources.domain import spread, table, with_tables
 
 NOW = datetime(2024, 1, 31)
 NOW_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -27,6 +27,10 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return table(self.spark, self.path, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy per-row work."""
+        return spread(self(name))
+
     def sql(self, text: str) -> DataFrame:
         """Plain SQL over tables named in curly brackets."""
         names = set(re.findall(r"\{(\w+)\}", text))

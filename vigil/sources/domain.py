@@ -126,6 +126,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _as_plain_timestamps(spark.sql(text, **inputs))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core before heavy per-row work.
+
+    An input with that many splits (anything large) is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def _as_plain_timestamps(df: DataFrame) -> DataFrame:
     # date_trunc gives a zoned timestamp in Spark; the tables keep plain ones (UTC).
     return df.select(
