@@ -47,3 +47,18 @@ def test_monitor_state_retry(spark, sf_dir):
         rows = spark.read.parquet(f"{out}/outcomes")
         results.append((rows.count(), rows.where("changed").count()))
     assert results[0] == results[1] and results[0][0] == checks.count()
+
+
+def test_counter_snapshots(spark, sf_dir):
+    events = table(spark, sf_dir, "issue_events").select("project_id", "received")
+    source, out, cp = (scratch_path(spark, n) for n in ("in", "out", "cp"))
+    edge = F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (events.where(F.col("received") < edge), events.where(F.col("received") >= edge)):
+        part.write.mode("append").parquet(source)
+        jobs.start(jobs.hourly_counters(jobs.file_stream(spark, source, events.schema), out, "project_id"), cp).awaitTermination()
+    shape = lambda: sorted(map(tuple, jobs.read_counters(spark, out, "project_id").collect()))
+    before = shape()
+    jobs.snapshot_counters(spark, out, 0, "project_id")
+    assert shape() == before
+    jobs.snapshot_counters(spark, out, 1, "project_id")
+    assert shape() == before and jobs.newest_snapshot(spark, out)[0] == 1

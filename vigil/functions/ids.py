@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -59,6 +59,14 @@ def uuid7_bound(at: datetime, last: bool = False) -> str:
     return "-".join((digits[:8], digits[8:12], digits[12:16], digits[16:20], digits[20:]))
 
 
+def uuid7_moment(uid: str) -> datetime | None:
+    """Time inside a version 7 id given as text on the driver."""
+    digits = uid.replace("-", "")
+    if len(digits) != 32 or digits[12] != "7":
+        return None
+    return datetime.fromtimestamp(0, timezone.utc) + timedelta(milliseconds=int(digits[:12], 16))
+
+
 def uuid7_range(start: datetime | None, end: datetime | None, uid: Column) -> Column:
     """Half-open time range expressed on the id; either end may be open."""
     cond = F.lit(True)

@@ -216,8 +216,11 @@ def query_pairs(raw: Column) -> Column:
 
 
 def header_pairs(headers: Column) -> Column:
-    """Header map to sorted pairs, without empty cookies."""
-    entries = F.transform(F.map_entries(headers), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    """Header map to sorted pairs, without empty cookies; of a listed value the first counts."""
+    def single(value: Column) -> Column:
+        return F.when(value.startswith("["), F.coalesce(F.get_json_object(value, "$[0]"), value)).otherwise(value)
+
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(e["key"].alias("k"), single(e["value"]).alias("v")))
     return F.array_sort(F.filter(entries, lambda e: ~((e["k"] == "Cookie") & (e["v"] == ""))))
 
 
@@ -293,6 +296,26 @@ def search_text(title: Column, transaction: Column, event: Column) -> Column:
     return strip_nul(let(text, cut))
 
 
+def entries(event: Column) -> Column:
+    """Types of the sections an event shows, in display order."""
+    def present(name: str, cond: Column) -> Column:
+        return F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+
+    message = event["logentry"].isNotNull() | _filled(event["message"])
+    return F.array_compact(F.array(
+        present("exception", F.size(event["exception"]["values"]) > 0), present("message", message),
+        present("request", event["request"].isNotNull()),
+    ))
+
+
+def has_system_frames(event: Column) -> Column:
+    """Whether any frame of any exception belongs to the application itself."""
+    in_app = lambda f: F.coalesce(f["in_app"], F.lit(False))
+    return F.coalesce(
+        F.exists(event["exception"]["values"], lambda e: F.coalesce(F.exists(e["stacktrace"]["frames"], in_app), F.lit(False))), F.lit(False)
+    )
+
+
 def interpolate(template: str | None, params) -> str | None:
     """Best-effort ``%`` or ``{}`` formatting of one message; the template on failure."""
     if template is None or params is None or not len(params):

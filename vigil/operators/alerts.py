@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.timeparam import micros
 from .upsert import without
 
-# Tags a notification shows, in order.
-STANDARD_TAGS = ("environment", "server_name", "release")
+# Tags a notification shows, in order, with their labels.
+TAG_LABELS = {"environment": "Environment", "server_name": "Server Name", "release": "Release"}
+STANDARD_TAGS = tuple(TAG_LABELS)
 SUMMARY_LIMIT = 3
 
 
@@ -47,7 +48,10 @@ def notification_tags(tags: DataFrame, keys: tuple[str, ...] = STANDARD_TAGS) ->
     totals = tags.where(F.col("tag_key").isin(*names)).groupBy("issue_id", "tag_key", "tag_value").agg(F.sum("count").alias("n"))
     best = totals.groupBy("issue_id", "tag_key").agg(F.max_by("tag_value", F.struct("n", "tag_value")).alias("tag_value"))
     position = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("tag_key")).cast("int")
-    return best.withColumn("position", position)
+    labels = F.create_map(*[F.lit(x) for pair in TAG_LABELS.items() for x in pair])
+    key = F.col("tag_key")
+    capitalized = F.concat(F.upper(F.substring(key, 1, 1)), F.lower(F.substring(key, 2, 255)))
+    return best.withColumn("position", position).withColumn("label", F.coalesce(F.try_element_at(labels, key), capitalized))
 
 
 def notification_summary(notification_issues: DataFrame, limit: int = SUMMARY_LIMIT) -> DataFrame:

@@ -8,11 +8,11 @@ from uuid import UUID
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ids import hash_bucket, uuid7_from_timestamp
+from ..functions.ids import hash_bucket, uuid7_from_timestamp, uuid7_moment
 from ..functions.levels import LOG_LABELS, level_filter, log_level
 from ..functions.otel import attribute_field, extra_attributes, span_id_to_long, trace_id, within_drift
 from ..functions.text import like_literal
-from ..functions.timeparam import moment
+from ..functions.timeparam import moment, utc
 
 RESOURCE_TYPES = ("service", "environment", "host")
 HOT_DAYS = 7
@@ -124,10 +124,12 @@ def combined_page(
     """Newest rows of the hot and the cold table as one page.
 
     Each tier gets only its own side of the cutoff, so both filters reach the scans
-    and no row counts twice; a tier outside the time range is not read at all.
+    and no row counts twice; a tier outside the time range is not read at all, nor is
+    the hot one once the cursor has reached the cold range.
     """
     parts = []
-    if end > cutoff:
+    reached = uuid7_moment(before) if isinstance(before, str) else None
+    if end > cutoff and (reached is None or reached > utc(cutoff) or start >= cutoff):
         parts.append(search_logs(hot, start=max(start, cutoff), end=end, before=before, id_column=id_column, **filters))
     if start < cutoff:
         parts.append(search_logs(cold, start=start, end=min(end, cutoff), before=before, id_column=id_column, **filters))

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions import levels as V, otel as O
-from ..functions.ids import hash_bucket
+from ..functions.ids import hash_bucket, uuid7_bound, uuid7_from_timestamp
 from ..operators import logs as L, paging
 from .registry import NOW, Tables, query
 
@@ -146,6 +146,19 @@ def hot_and_cold(t: Tables):
     return page.select(*COLUMNS)
 
 
+@query("u01_page_after_cursor", f"""
+WITH {LEVELLED}
+SELECT log_id, timestamp, level, service, body FROM levelled WHERE timestamp < TIMESTAMP '2024-01-14 06:00:00' AND timestamp >= TIMESTAMP '2024-01-03 00:00:00' ORDER BY log_id DESC LIMIT 80""")
+def page_after_cursor(t: Tables):
+    """A cursor in the cold range: the hot table is not read any more."""
+    rows = levelled(t).withColumn("id", uuid7_from_timestamp(F.col("timestamp"), F.col("log_id")))
+    page = L.combined_page(
+        rows, rows, cutoff=NOW - timedelta(days=L.HOT_DAYS), limit=80, start=datetime(2024, 1, 3), end=datetime(2024, 1, 30),
+        before=uuid7_bound(datetime(2024, 1, 14, 6)),
+    )
+    return page.select(*COLUMNS)
+
+
 @query("l01_log_page", """
 SELECT log_id, timestamp, body FROM logs WHERE log_id < 700 ORDER BY log_id DESC LIMIT 51""")
 def log_page(t: Tables):

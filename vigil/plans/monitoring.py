@@ -109,7 +109,8 @@ def unsent_alerts(t: Tables):
 @query("n01_notification_tags", """
 WITH n AS (SELECT issue_id, tag_key, tag_value, sum(count) AS n FROM issue_tags WHERE tag_key IN ('environment', 'server_name', 'release', 'user.id') GROUP BY issue_id, tag_key, tag_value),
 best AS (SELECT *, row_number() OVER (PARTITION BY issue_id, tag_key ORDER BY n DESC, tag_value DESC) AS rn FROM n)
-SELECT issue_id, tag_key, tag_value, CASE tag_key WHEN 'environment' THEN 1 WHEN 'server_name' THEN 2 WHEN 'release' THEN 3 ELSE 4 END AS position FROM best WHERE rn = 1""")
+SELECT issue_id, tag_key, tag_value, CASE tag_key WHEN 'environment' THEN 1 WHEN 'server_name' THEN 2 WHEN 'release' THEN 3 ELSE 4 END AS position,
+ CASE tag_key WHEN 'environment' THEN 'Environment' WHEN 'server_name' THEN 'Server Name' WHEN 'release' THEN 'Release' ELSE 'User.id' END AS label FROM best WHERE rn = 1""")
 def notification_tags(t: Tables):
     return A.notification_tags(t("issue_tags"), (*A.STANDARD_TAGS, "user.id", "release"))
 

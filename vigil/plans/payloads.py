@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids as K, levels as V, payload as P, text as X
+from ..functions.timeparam import moment
 from ..sources import telemetry_json as J
-from .registry import Tables, query
+from .registry import NOW, Tables, query
 
 # Error events: an order is an event, its line items are the frames of two exceptions.
 FRAMES = """SELECT l_orderkey AS event_key, CASE WHEN l_linenumber <= 3 THEN 1 ELSE 2 END AS ex,
@@ -154,7 +155,7 @@ def shapes(t: Tables):
 
 
 @query("f42_field_errors", """
-SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts END AS timestamp, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_key,
+SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN ts ELSE <<now>> END AS timestamp, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS user_key,
  CASE WHEN event_id % 15 = 0 THEN 'timestamp,user' WHEN event_id % 3 = 0 THEN 'timestamp' WHEN event_id % 5 = 0 THEN 'user' ELSE '' END AS errors FROM events""")
 def field_errors(t: Tables):
     at = F.when(F.col("event_id") % 3 == 0, F.lit("not a time")).otherwise(F.col("ts").cast("string"))
@@ -162,7 +163,7 @@ def field_errors(t: Tables):
     raw = F.concat(F.lit('{"timestamp":"'), at, F.lit('","user":'), user, F.lit("}"))
     values, errors = J.capture_errors(raw, {"timestamp": "timestamp_ntz", "user": "struct<id:string,email:string>"})
     return t("events").select(
-        "event_id", values["timestamp"].alias("timestamp"), values["user"]["id"].alias("user_key"),
+        "event_id", F.coalesce(values["timestamp"], moment(NOW)).alias("timestamp"), values["user"]["id"].alias("user_key"),
         F.array_join(F.transform(errors, lambda e: e["name"]), ",").alias("errors"),
     )
 
@@ -313,11 +314,11 @@ def query_pairs(t: Tables):
 
 
 @query("f31_header_pairs", """
-SELECT event_id, 'Accept=' || event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE ';Cookie=x' END || ';Host=h' AS pairs FROM events""")
+SELECT event_id, 'Accept=' || event_type || CASE WHEN event_id % 2 = 0 THEN '' ELSE ';Cookie=x' END || ';Foo=bar;Host=h' AS pairs FROM events""")
 def header_pairs(t: Tables):
     cookie = F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("x"))
     shown = F.transform(
-        P.header_pairs(F.create_map(F.lit("Host"), F.lit("h"), F.lit("Cookie"), cookie, F.lit("Accept"), F.col("event_type"))),
+        P.header_pairs(F.create_map(F.lit("Host"), F.lit("h"), F.lit("Cookie"), cookie, F.lit("Accept"), F.col("event_type"), F.lit("Foo"), F.lit('["bar","baz"]'))),
         lambda p: F.concat(p["k"], F.lit("="), p["v"]),
     )
     return t("events").select("event_id", F.array_join(shown, ";").alias("pairs"))
@@ -356,6 +357,16 @@ def public_view(t: Tables):
     )
 
 
+@query("f36_entries", f"""
+WITH {SQL_TABLES}
+SELECT e.event_key, 'exception' || CASE WHEN url IS NOT NULL THEN ',request' ELSE '' END AS entries, coalesce(bool_or(f.in_app), FALSE) AS has_system_frames
+FROM e LEFT JOIN f ON f.event_key = e.event_key GROUP BY e.event_key, url""")
+def event_entries(t: Tables):
+    return error_events(t).select(
+        "event_key", F.array_join(P.entries(F.col("event")), ",").alias("entries"), P.has_system_frames(F.col("event")).alias("has_system_frames")
+    )
+
+
 @query("f37_labels", """
 SELECT issue_id, CASE level WHEN 2 THEN 'info' WHEN 3 THEN 'warning' WHEN 4 THEN 'error' END AS level_name, CASE level WHEN 2 THEN '#4b60b4' WHEN 3 THEN '#e9b949' ELSE '#e52b50' END AS colour,
  CASE status WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ignored' END AS status_name FROM issues""")

@@ -159,7 +159,7 @@ def error_rate_throughput(t: Tables):
     return groups.select(*S.TXN_KEYS, "error_rate", "throughput")
 
 
-@query("a26_histogram_percentiles", """
+@query("a26_w08_histogram_percentiles", """
 WITH buckets AS (SELECT op, <<bucket(duration)>> AS bucket, count(*) AS n FROM spans GROUP BY ALL),
 cumulative AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY op) AS everything FROM buckets)
 SELECT op, CAST(max(everything) AS BIGINT) AS count,

@@ -9,11 +9,12 @@ twice; readers fold the pieces.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.timeparam import utc
 from ..operators import alerts, issues, uptime
 from ..operators.segmented import join_on_keys
 from ..operators.upsert import update_matching
@@ -80,7 +81,39 @@ def hourly_counters(events: DataFrame, path: str, *keys: str, time: str = "recei
 
 
 def read_counters(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    return spark.read.parquet(path).groupBy(*keys, "date").agg(F.sum("count").alias("count"))
+    """Totals: the newest snapshot plus the pieces written after it."""
+    upto, snapshot = newest_snapshot(spark, path)
+    pieces = spark.read.parquet(path)
+    if snapshot is not None:
+        pieces = pieces.where(F.col("batch_id") > upto).select(*keys, "date", "count").unionByName(snapshot.select(*keys, "date", "count"))
+    return pieces.groupBy(*keys, "date").agg(F.sum("count").alias("count"))
+
+
+def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str) -> None:
+    """Fold all pieces up to a batch into one snapshot, which readers then start from.
+
+    The pieces stay: they may be dropped at any later time, and a run that dies half
+    way leaves a snapshot without its success mark, which nobody reads.
+    """
+    before, snapshot = newest_snapshot(spark, path)
+    pieces = spark.read.parquet(path).where(F.col("batch_id").between(before + 1, upto)).select(*keys, "date", "count")
+    if snapshot is not None:
+        pieces = pieces.unionByName(snapshot.select(*keys, "date", "count"))
+    folded = pieces.groupBy(*keys, "date").agg(F.sum("count").alias("count"))
+    folded.write.mode("overwrite").parquet(f"{path}-snapshots/upto={upto}")
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1, None
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = [int(n.split("=")[1]) for n in names if n.startswith("upto=")
+            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots/{n}/_SUCCESS"))]
+    if not done:
+        return -1, None
+    return max(done), spark.read.parquet(f"{path}-snapshots/upto={max(done)}")
 
 
 def split_good_bad(rows: DataFrame, path: str, reason):
@@ -137,15 +170,18 @@ def read_earlier(spark: SparkSession, path: str, batch_id: int, schema: str) ->
 def alerting(events: DataFrame, rules: DataFrame, history: str, path: str, clock: Callable[[int], datetime]):
     """After each batch evaluate the rules for the issues it touched, and note what is new.
 
-    ``history`` collects the events (pieces per batch); ``clock`` gives the evaluation time.
+    ``history`` collects the events (pieces per batch and day); ``clock`` gives the
+    evaluation time.  Only the days of the longest rule window are read back.
     """
+    longest = rules.agg(F.max("timespan_minutes")).first()[0] or 0
     pair = "alert_id bigint, issue_id string, num_events bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = batch.select("project_id", "issue_id", "received")
-        columns.write.mode("overwrite").parquet(piece(history, batch_id))
-        seen = spark.read.parquet(history).where(F.col("batch_id") <= batch_id)
+        columns.withColumn("date", F.to_date("received")).write.mode("overwrite").partitionBy("date").parquet(piece(history, batch_id))
+        horizon = (utc(clock(batch_id)) - timedelta(minutes=longest)).date()
+        seen = spark.read.parquet(history).where((F.col("batch_id") <= batch_id) & (F.col("date") >= F.lit(horizon)))
         sent = read_earlier(spark, path, batch_id, pair)
         hits = alerts.evaluate_alerts(rules, seen, clock(batch_id), sent=sent, touched=columns)
         hits.select(F.col("alert_id").cast("bigint").alias("alert_id"), "issue_id", "num_events").write.mode("overwrite").parquet(piece(path, batch_id))
