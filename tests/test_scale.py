@@ -28,7 +28,11 @@ def events(spark):
     return frame(spark, skewed(), "k int, at timestamp, id int")
 
 
-def test_neighbours(events):
+HOT = pytest.mark.parametrize("hot_rows", [0, 200, segmented.HOT_ROWS])  # all, one, no key cut up
+
+
+@HOT
+def test_neighbours(events, hot_rows):
     rows = defaultdict(list)
     for k, at, i in skewed():
         rows[k].append((at, i))
@@ -37,16 +41,17 @@ def test_neighbours(events):
         order = [i for _, i in sorted(items)]
         for p, i in enumerate(order):
             want[i] = (order[p - 1] if p else None, order[p + 1] if p + 1 < len(order) else None)
-    got = segmented.with_neighbours(events, ["k"], segmented.time_slot(F.col("at"), 3600), ["at", "id"], "id")
+    got = segmented.with_neighbours(events, ["k"], segmented.time_slot(F.col("at"), 3600), ["at", "id"], "id", hot_rows)
     assert {r["id"]: (r["prev_id"], r["next_id"]) for r in got.collect()} == want
 
 
-def test_row_numbers(events):
+@HOT
+def test_row_numbers(events, hot_rows):
     rows = defaultdict(list)
     for k, at, i in skewed():
         rows[k].append((at, i))
     want = {i: p for items in rows.values() for p, (_, i) in enumerate(sorted(items), 1)}
-    got = segmented.with_row_number(events, ["k"], segmented.time_slot(F.col("at"), 3600), ["at", "id"], "n")
+    got = segmented.with_row_number(events, ["k"], segmented.time_slot(F.col("at"), 3600), ["at", "id"], "n", hot_rows)
     assert {r["id"]: r["n"] for r in got.collect()} == want
 
 
@@ -88,7 +93,8 @@ def replay(rows, thresholds):
     return out
 
 
-def test_flap_damping_equals_replay_and_continues(spark):
+@HOT
+def test_flap_damping_equals_replay_and_continues(spark, hot_rows):
     rnd = random.Random(11)
     rows = [(k, at, i, rnd.random() < (0.15 if i % 7 else 0.9)) for k, at, i in skewed(seed=5)]
     thresholds = {k: 1 + k % 4 for k in range(30)}
@@ -96,10 +102,10 @@ def test_flap_damping_equals_replay_and_continues(spark):
     monitors = spark.createDataFrame(list(thresholds.items()), "monitor_id int, confirmation_threshold int")
     want = replay(rows, thresholds)
     shape = lambda df: {r["check_id"]: (r["consecutive_down"], r["state"], r["changed"]) for r in df.collect()}
-    assert shape(uptime.replay_states(checks, monitors)) == want
+    assert shape(uptime.replay_states(checks, monitors, hot_rows=hot_rows)) == want
     edge = F.lit("2024-01-03").cast("timestamp_ntz")
-    first = uptime.replay_states(checks.where(F.col("start_check") < edge), monitors)
-    second = uptime.replay_states(checks.where(F.col("start_check") >= edge), monitors, uptime.last_states(first))
+    first = uptime.replay_states(checks.where(F.col("start_check") < edge), monitors, hot_rows=hot_rows)
+    second = uptime.replay_states(checks.where(F.col("start_check") >= edge), monitors, uptime.last_states(first), hot_rows)
     assert {**shape(first), **shape(second)} == want
 
 

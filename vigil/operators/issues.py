@@ -82,7 +82,7 @@ def issue_key(project: Column, hash_: Column) -> Column:
 def new_issues(batch: DataFrame, hashes: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     """Groups of a batch that no stored hash knows, with the next short ids of their project."""
     unseen = join_on_keys(batch, hashes, EVENT_KEYS, "left_anti")
-    numbered = with_row_number(unseen, ["project_id"], time_slot(F.col("first_seen")), ["first_seen", "hash"], "short_id")
+    numbered = with_row_number(unseen, ["project_id"], time_slot(F.col("first_seen"), SLOT), ["first_seen", "hash"], "short_id")
     if counters is not None:
         top = counters.groupBy("project_id").agg(F.max("short_id").alias("_top"))
         numbered = numbered.join(top, "project_id", "left").withColumn(

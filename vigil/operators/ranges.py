@@ -37,7 +37,10 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     the join is on equality and no pair is tried that does not match.  Values must
     not be negative.
     """
-    probes = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 2)))).withColumn(
+    blocks = interval_blocks(intervals, low, high)
+    # A key's points are looked up at the block sizes its intervals use (15 at most).
+    levels = blocks.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
+    probes = points.join(levels, list(keys)).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn(
         "_block", F.expr(f"shiftright(`{point}`, _level * {STEP})")
     )
-    return probes.join(interval_blocks(intervals, low, high), [*keys, "_level", "_block"]).drop("_level", "_block")
+    return probes.join(blocks, [*keys, "_level", "_block"]).drop("_level", "_block")

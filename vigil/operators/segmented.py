@@ -1,9 +1,10 @@
 """Ordered per-key computations that survive a key holding a third of all rows.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here the key's
-history is cut into segments (time slots), the window runs inside (key, segment),
-and only one summary row per segment is windowed by key; its result is joined back.
-``segment`` must rise with the order columns, so (segment, order) is the order.
+A plain ``Window.partitionBy(key)`` sends a whole key to one task.  Here the history of
+a hot key is cut into segments (time slots), the window runs inside (key, segment), and
+only one summary row per segment is windowed by key; its result is joined back.  Keys
+of ordinary size stay in one segment, so for them the summary is a single row.
+``slot`` must rise with the order columns, so (slot, order) is the order.
 """
 
 from __future__ import annotations
@@ -16,6 +17,20 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ids import as_instant
 
 
+HOT_ROWS = 1_000_000
+
+
+def with_segments(df: DataFrame, keys: Sequence[str], slot: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_seg``: the slot for keys with more than ``hot_rows`` rows, null for the others.
+
+    Counting reads the key columns only and combines map-side; at most
+    ``rows / hot_rows`` keys come out of it.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    hot = sizes.where(F.col("_size") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+    return join_on_keys(df, hot, keys, "left").withColumn("_seg", F.when(F.col("_hot"), slot)).drop("_hot")
+
+
 def time_slot(ts: Column, seconds: int = 3600) -> Column:
     """Segment of a timestamp: its slot number since the epoch."""
     return F.floor(F.unix_micros(as_instant(ts)) / F.lit(seconds * 1_000_000)).cast("bigint")
@@ -34,9 +49,11 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[str], column: str) -> DataFrame:
+def with_neighbours(
+    df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], column: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add ``prev_<column>`` and ``next_<column>`` in key order."""
-    df = df.withColumn("_seg", segment)
+    df = with_segments(df, keys, slot, hot_rows)
     cells = F.struct(*[F.col(c) for c in order], F.col(column).alias("_value"))
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order)
     rows = df.withColumn("_cell", cells).withColumn("_p", F.lag("_cell").over(inner)).withColumn("_n", F.lead("_cell").over(inner))
@@ -48,16 +65,18 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], segment: Column, order:
         .drop("_first", "_last")
     )
     return (
-        rows.join(edges, [*keys, "_seg"])
+        join_on_keys(rows, edges, [*keys, "_seg"])
         .withColumn(f"prev_{column}", F.coalesce("_p", "_before")["_value"])
         .withColumn(f"next_{column}", F.coalesce("_n", "_after")["_value"])
         .drop("_seg", "_cell", "_p", "_n", "_before", "_after")
     )
 
 
-def with_row_number(df: DataFrame, keys: Sequence[str], segment: Column, order: Sequence[str], name: str) -> DataFrame:
+def with_row_number(
+    df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add the 1-based position inside the key."""
-    df = df.withColumn("_seg", segment)
+    df = with_segments(df, keys, slot, hot_rows)
     rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -66,7 +85,7 @@ def with_row_number(df: DataFrame, keys: Sequence[str], segment: Column, order:
         .drop("_size")
     )
     return (
-        rows.join(offsets, [*keys, "_seg"])
+        join_on_keys(rows, offsets, [*keys, "_seg"])
         .withColumn(name, F.col("_at") + F.col("_offset"))
         .drop("_seg", "_at", "_offset")
     )

@@ -7,23 +7,26 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeparam import micros
-from .segmented import time_slot
+from .segmented import HOT_ROWS, join_on_keys, time_slot, with_segments
 
 ORDER = ["start_check", "check_id"]
-SLOT = 900  # seconds per segment of a monitor's history
+SLOT = 60  # seconds per segment of a monitor's history
 
 
-def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | None = None) -> DataFrame:
+def replay_states(
+    checks: DataFrame, monitors: DataFrame, carry: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Official state after every check of every monitor.
 
     Down is confirmed after ``confirmation_threshold`` failing checks in a row, up
-    at once.  ``changed`` marks flips (the first confirmed state is one).  A monitor's
-    history is cut into quarter-hour segments; what one segment hands to the next (open
+    at once.  ``changed`` marks flips (the first confirmed state is one).  The history of
+    a hot monitor is cut into minutes; what one segment hands to the next (open
     failure run, last confirmed state) is computed on one row per segment.
 
     ``carry`` (monitor_id, state, consecutive_down) continues an earlier replay.
     """
-    rows = checks.join(monitors.select("monitor_id", "confirmation_threshold"), "monitor_id", "left")
+    rows = with_segments(checks, ["monitor_id"], time_slot(F.col("start_check"), SLOT), hot_rows)
+    rows = rows.join(monitors.select("monitor_id", "confirmation_threshold"), "monitor_id", "left")
     if carry is None:
         rows = rows.withColumn("_state0", F.lit(None).cast("boolean")).withColumn("_down0", F.lit(0))
     else:
@@ -31,7 +34,7 @@ def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | Non
         rows = rows.join(start, "monitor_id", "left")
     rows = rows.withColumn(
         "_need", F.greatest(F.lit(1), F.coalesce("confirmation_threshold", F.lit(1)))
-    ).withColumn("_seg", time_slot(F.col("start_check"), SLOT))
+    )
     key = ["monitor_id", "_seg"]
     inside = Window.partitionBy(*key).orderBy(*ORDER)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +63,7 @@ def replay_states(checks: DataFrame, monitors: DataFrame, carry: DataFrame | Non
     ).select(*key, "_carried", "_entry")
 
     run = F.col("_run") + F.when(F.col("_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
-    rows = rows.join(segments, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
+    rows = join_on_keys(rows, segments, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
     confirmed = F.when(F.col("is_up"), F.lit(True)).when(F.col("_down") >= F.col("_need"), F.lit(False))
     rows = rows.withColumn("_state", F.last(confirmed, ignorenulls=True).over(upto)).withColumn(
         "_previous", F.lag("_state").over(inside)
