@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import durations as D, text as X
 from ..functions.levels import is_error_status
 from ..operators import maintenance, spans as S
-from .registry import NOW, Tables, query, r6
+from .registry import Tables, query, r6
 
 START, END = datetime(2024, 1, 3), datetime(2024, 1, 29, 12)
 RANGE = "timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND timestamp < TIMESTAMP '2024-01-29 12:00:00'"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.maintenance import acceptable_spans
 from ..sources import telemetry_json as J
 from ..streaming import jobs
-from .monitoring import CHECKS_SQL, REPLAY_SQL, STATE_COLUMNS, checks as ordered_checks
+from .monitoring import REPLAY_SQL, STATE_COLUMNS, checks as ordered_checks
 from .registry import Tables, query
 
 
