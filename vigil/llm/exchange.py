@@ -1,6 +1,6 @@
 """Questions that groups of documents put to the whole corpus, and their answers.
 
-Documents are dealt out by a hash of their id into buckets of bounded size. A bucket reduces
+Documents are dealt out by a hash of their id, one bucket a shuffle partition. A bucket reduces
 what it asks to distinct sorted keys before anything is shuffled, so a key that a third of
 all documents share costs one entry a bucket, never one a document. Keys are dealt out by
 value; the task that holds a key sees one entry a bucket and answers each bucket in the
@@ -21,8 +21,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from . import kit
 
-#: Buckets for each shuffle partition.
-BUCKETS = 4
 PACKED = "bucket int, part int, blob binary"
 _PACKED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("blob", pa.binary())])
 
@@ -39,10 +37,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns of ``docs`` and a bucket, dealt out by bucket. The first column is the id."""
+    """The columns of ``docs`` and a bucket, one bucket a partition. The first column is the id."""
     parts = partitions(docs.sparkSession)
-    bucket = F.pmod(F.xxhash64(columns[0]), F.lit(BUCKETS * parts)).cast("int")
-    return docs.select(bucket.alias("bucket"), *columns).repartition(parts, "bucket")
+    bucket = F.pmod(F.xxhash64(columns[0]), F.lit(parts)).cast("int")
+    return docs.select(bucket.alias("bucket"), *columns).repartitionById(parts, "bucket")
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -103,6 +101,7 @@ def with_answers(buckets: DataFrame, answers: DataFrame, use: Callable[[pa.Table
             raise ValueError("an answer for a bucket without documents")
         return use(table, dict(zip(replies["part"].to_pylist(), replies["blob"].to_pylist(), strict=True)))
 
+    answers = answers.repartitionById(partitions(buckets.sparkSession), "bucket")
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
 
 

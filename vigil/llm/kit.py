@@ -65,8 +65,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts[1:] &= ~solid[:-1] | edge[1:-1]
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
-    begin = np.flatnonzero(starts)
-    return begin, np.flatnonzero(ends) + 1, np.searchsorted(begin, offsets)
+    kind = np.int32 if len(data) < 2**31 - 1 else np.int64
+    begin = np.flatnonzero(starts).astype(kind)
+    return begin, (np.flatnonzero(ends) + 1).astype(kind), np.searchsorted(begin, offsets)
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -110,13 +111,20 @@ def byte_values(data: np.ndarray, lane: int = 0) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A hash of each word's bytes."""
-    return span(prefix(byte_values(data, lane), lane), start, end, lane) if len(start) else np.zeros(0, U64)
+    """A hash of each word's bytes, worked out a few megabytes at a time."""
+    out, at = np.empty(len(start), U64), 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + (2 << 20), "right")))
+        low = int(start[at])
+        sums = prefix(byte_values(data[low: int(end[stop - 1])], lane), lane)
+        out[at:stop] = span(sums, start[at:stop] - low, end[at:stop] - low, lane)
+        at = stop
+    return out
 
 
 def doc_of(first: np.ndarray) -> np.ndarray:
     """The document of each item, from the index of each document's first item."""
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
 
 
 def pack(*arrays: np.ndarray) -> bytes:

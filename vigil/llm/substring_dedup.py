@@ -39,15 +39,14 @@ class _Bucket:
         self.start, self.end, self.first = kit.words(self.data, self.offsets)
         self.doc = kit.doc_of(self.first)
         self.hash = [kit.word_hashes(self.data, self.start, self.end, 0)]
-        n, sums = len(self.start), kit.prefix(self.hash[0])
+        n = len(self.start)
         # Probes: all places where half a window fits, in documents that hold a whole one.
-        last = self.first[self.doc + 1] if n else self.first[:0]
-        long = np.diff(self.first)[self.doc] >= window if n else np.zeros(0, bool)
-        self.last = last
-        self.at = np.flatnonzero(long & (np.arange(n) + self.block <= last))
+        length = np.diff(self.first)
+        self.last = np.repeat(self.first[1:], length).astype(np.int32)
+        self.at = np.flatnonzero(np.repeat(length >= window, length) & (np.arange(n) + self.block <= self.last)).astype(np.int32)
         shift = X.kept_bits(parts)
-        keys = kit.span(sums, self.at, self.at + self.block) >> shift << shift
-        self.order = np.argsort(keys)
+        keys = kit.span(kit.prefix(self.hash[0]), self.at, self.at + self.block) >> shift << shift
+        self.order = np.argsort(keys).astype(np.int32)
         self.sorted = keys[self.order]
         self.runs = kit.runs(self.sorted)
         self.keys = self.sorted[self.runs]
