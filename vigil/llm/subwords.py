@@ -75,6 +75,11 @@ class Encoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more at the end)."""
+        ids, at, first = self.encode_words(data, offsets)
+        return ids, at[first]
+
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, where each word's ids begin, and each text's first word (one more at the ends)."""
         raw = data.tobytes()
         words = [raw[a:b].split() for a, b in zip(offsets, offsets[1:], strict=False)]
         first = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
@@ -89,7 +94,7 @@ class Encoder:
         length = self.length[rows]
         at = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
         place = np.repeat(self.at[rows] - at[:-1], length) + np.arange(at[-1])
-        return self.flat[place], at[first]
+        return self.flat[place], at, first
 
 
 def _nowhere():
