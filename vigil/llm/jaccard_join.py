@@ -16,8 +16,11 @@ for it to fail two thirds of a set's shingles would have to share cells.
 
 Equal sets are one class with its smallest id as representative; only representatives are
 joined. A cell that at most ``SMALL`` documents share gives all its pairs. A more frequent one
-links its members to its first; only where that leaves members in different components are
-their pairs verified, so no link between components is missed and no pair inside one is listed.
+links its members to its first. Where that leaves members in different components, their bit
+sketches, 32 to 128 bits a shingle, are compared in blocks of ``BLOCK`` members, and only pairs
+from different components whose distance allows a link go on to be verified: first the nearest
+of each member, then all that still lie apart. So no link between components is missed, and
+no pair inside one is listed.
 
 Defined cases: a null or empty text, or one of white space, has the empty set, which is
 linked with nothing; a text without id joins the class of an equal set but no link; rows with one id are one document whose links are
@@ -38,6 +41,8 @@ from .graph import components
 
 #: Documents that share a cell, up to which all their pairs are candidates.
 SMALL = 16
+#: Members of a frequent cell in a block, when their sketches are compared.
+BLOCK = 2048
 #: Sets below this size have a cell for each shingle.
 TINY_LEVEL = 2
 U64 = np.uint64
@@ -217,7 +222,8 @@ def _emit(here: _Bucket, table: pa.Table, replies: dict[int, bytes], percent: in
         blobs = [(p, kit.pack(kit.gaps(key[few][s]), here.docs[here.doc[few]][s], size[here.doc[few]][s].astype(np.uint32))) for p, s in X.by_part(key[few], here.parts)]
         out.append(_rows(FEW, len(blobs), part=pa.array([p for p, _ in blobs], pa.int32()), blob=pa.array([b for _, b in blobs], pa.binary())))
         many = order[shared[order] > SMALL]
-        out.append(_rows(MANY, len(many), doc_id=kit.id_column(here.docs[here.doc[many]]), n=pa.array(size[here.doc[many]].astype(np.int64)), key=pa.array(key[many].view(np.int64))))
+        out.append(_rows(MANY, len(many), doc_id=kit.id_column(here.docs[here.doc[many]]), n=pa.array(size[here.doc[many]].astype(np.int64)), key=pa.array(key[many].view(np.int64)),
+                         part=pa.array(here.band[many].astype(np.int32))))
         rows = np.unique(here.doc[order])
         out.append(_rows(TEXT, len(rows), doc_id=kit.id_column(here.docs[rows]), text=table["text"].combine_chunks().take(pa.array(rows))))
     return pa.concat_tables(out)
@@ -274,6 +280,65 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _bit_sketches(width: int):
+    """Bit i is the parity of the shingles whose hashes end in i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, bands = Sets(batch["text"], width), batch["band"].to_numpy()
+            out = []
+            for i, band in enumerate(bands):
+                size = 32 << (2 * int(band))
+                place = (sets.hash[sets.first[i]: sets.first[i + 1]] & U64(size - 1)).astype(np.int64)
+                out.append(np.packbits(np.bincount(place, minlength=size) & 1).tobytes())
+            yield pa.record_batch([batch["a"], batch["band"], pa.array(out, pa.binary())], ["a", "band", "sketch"])
+
+    return run
+
+
+def _apart(percent: int, nearest: bool):
+    """Pairs of members of a cell's two blocks that lie in different components and may be linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, size, name, block = (table[c].to_numpy() for c in ("a", "n", "c", "block"))
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(doc), -1)
+        names, place, count = np.unique(name, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(place != np.argmax(count))
+        found = []
+        for i in rest:
+            # Pairs of one block are compared in its own group; of two members outside the largest component, once.
+            other = (name != name[i]) & ((place == np.argmax(count)) | (np.arange(len(doc)) > i) | nearest)
+            other &= block != block[i] if low != high else True
+            other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            at = np.flatnonzero(other)
+            if len(at):
+                apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+                near = apart * (100 + percent) <= (100 - percent) * (size[at] + size[i])
+                at, apart = at[near], apart[near]
+                if nearest and len(at):
+                    at = at[[np.argmin(apart)]]
+                found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at]
+        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
+def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (``a``, ``b``) that share a frequent cell, lie in different components and are near by their sketches."""
+    named = many.join(found.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", "band", F.coalesce("component", "a").alias("c"))
+    torn = named.groupBy("key").agg(F.min("c").alias("from"), F.max("c").alias("to"), F.count("*").alias("g")).where("`from` < `to`").select("key", "g")
+    torn = X.stored(named.join(torn, "key"), "torn")
+    sketches = texts.withColumnRenamed("doc_id", "a").join(torn.select("a", "band").distinct(), "a").select("a", "band", "text")
+    sketches = sketches.mapInArrow(_bit_sketches(width), "a long, band int, sketch binary").dropDuplicates(["a", "band"])
+    # A cell with more members than a block has a group for each pair of blocks.
+    blocks = torn.withColumn("blocks", F.expr(f"cast(ceil(g / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(a), blocks) as int)"))
+    pairs = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.join(sketches, ["a", "band"]).select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "a", "n", "c", "block", "sketch")
+    return pairs.groupBy("key", "low", "high").applyInArrow(_apart(percent, nearest), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, class_id`` (smallest id with the same set) and ``component_id`` (smallest id reachable by links)."""
     parts = X.partitions(docs.sparkSession)
@@ -286,21 +351,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     rows = X.stored(X.with_answers(buckets, counts, emit, _KINDS), "sketches")
     texts = rows.where(F.col("kind") == TEXT).select("doc_id", "text")
     few = rows.where(F.col("kind") == FEW).select("part", "blob").repartitionById(parts, "part").mapInArrow(_pairs(percent), "a long, b long")
-    many = rows.where(F.col("kind") == MANY).select("key", F.col("doc_id").alias("a"), "n")
+    many = rows.where(F.col("kind") == MANY).select("key", F.col("doc_id").alias("a"), "n", F.col("part").alias("band"))
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     heads = many.groupBy("key").agg(F.min(F.struct("a", "n")).alias("head"))
     to_head = many.join(heads, "key").selectExpr("a", "head.a AS b", "n", "head.n AS m").where(f"a <> b AND {fits}").select("a", "b")
     links = X.stored(verified(few.unionAll(to_head).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, width, percent), "links")
     found = X.stored(components(links), "components")
-    # Frequent cells whose members are not yet in one component: verify pairs across components.
-    named = many.join(found.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", F.coalesce("component", "a").alias("c"))
-    torn = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    torn = X.stored(named.join(torn, "key"), "torn")
-    if torn.take(1):
-        other = torn.selectExpr("key", "a AS b", "n AS m", "c AS d")
-        across = torn.join(other, "key").where(f"a < b AND c <> d AND {fits}").select("a", "b").distinct()
-        links = links.unionAll(verified(across, texts, width, percent))
-        found = components(links)
+    for nearest in (True, False):
+        more = X.stored(verified(across(many, found, texts, width, percent, nearest), texts, width, percent), "links")
+        if more.take(1):
+            links = links.unionAll(more)
+            found = X.stored(components(links), "components")
     every = rows.where(F.col("kind") == DOC).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     out = every.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
