@@ -1,20 +1,80 @@
-"""From raw documents to packed training sequences, in stages that are written and read again."""
+"""From raw documents to packed training sequences, in stages that are written and read again.
+
+Each stage takes the documents that the stage before has left and returns documents with the
+same columns; the last returns pieces of packed sequences.
+
+1. ``quality``: documents that the nearest-neighbour classifier rejects go (score below 0.5).
+2. ``line_dedup``: blocks of lines that an earlier document has are deleted from the later
+   one; ``n_chars`` follows, and a document left without a word goes.
+3. ``near_duplicates``: of each group of near-duplicates the one with the smallest id stays.
+4. ``mixing``: documents are written in the order of the source schedule, none is dropped.
+5. ``packing``: sequences of at most 4096 ids along the space-filling curve.
+
+Defined cases: empty texts pass all stages; documents without id are never near-duplicates and
+stay; rows that repeat an id count as one document in stage 3, and one of them stays; null
+sources, languages and other columns are carried along; columns named like those an operator
+adds are carried along unchanged; empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vigil.llm import exchange, jaccard_join, line_dedup, mixing, quality, queries
+from vigil.session import prepare, scratch_path
+
+CORE = ("doc_id", "text", "source")
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and all others in one, so that no name clashes."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
+    return docs.select(*CORE, (F.struct(*rest) if rest else F.lit(None).cast("struct<none:int>")).alias("_rest"))
+
+
+def _restored(carried: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return carried.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in CORE else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, queries.labels(spark, sf_dir))
+    return _restored(quality.with_score(_carried(docs), model).where("score >= 0.5"), docs)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(_carried(docs)).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    changed = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _restored(kept, docs, **changed)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionAll(docs.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(_carried(docs))
+    order = ["mix_slot", "mix_place", "doc_id"]
+    return _restored(mixed.repartitionByRange(exchange.partitions(spark), *order).sortWithinPartitions(*order), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.packed(docs)
 
-from vigil.session import scratch_path
 
-STAGES: list = []
+STAGES = [("quality", keep_good), ("line_dedup", drop_common_lines), ("near_duplicates", keep_one_of_each_group), ("mixing", mix), ("packing", pack)]
 #: Fitted models and alignments have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    """All stages over the documents of a data directory."""
+    docs = queries.documents(prepare(spark), sf_dir)
+    for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
