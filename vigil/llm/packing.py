@@ -68,8 +68,14 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 _IDS = "doc_id long, ids binary, n long, " + ", ".join(f"c{d} double" for d in range(DIMS))
 
 
+def narrow(tokenizer: str, end: int) -> str:
+    """The type in which ids are written and shuffled: two bytes if the vocabulary allows."""
+    return "<u2" if max(encoder(tokenizer).size, end + 1) <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """``doc_id``, all ids with ``end`` behind them as 32-bit little-endian bytes, their number, and the coordinates."""
+    """``doc_id``, all ids with ``end`` behind them as little-endian bytes (of type ``narrow``), their number, and the coordinates."""
+    kind = np.dtype(narrow(tokenizer, end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
@@ -84,7 +90,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                 n = np.diff(at)
                 # Every document has its end id, so no run is empty.
                 coordinates = [np.add.reduceat(table[ids, d], at[:-1]) / n for d in range(DIMS)]
-                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs_here, [None, pa.py_buffer(4 * at), pa.py_buffer(ids.astype("<u4"))])
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs_here, [None, pa.py_buffer(kind.itemsize * at), pa.py_buffer(ids.astype(kind))])
                 yield pa.record_batch([batch["doc_id"].slice(a, docs_here), raw.cast(pa.binary()), pa.array(n), *map(pa.array, coordinates)],
                                       ["doc_id", "ids", "n", *(f"c{d}" for d in range(DIMS))])
 
@@ -110,7 +116,9 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = int(ends[-1]) if len(n) else total
 
 
-def _cut(length: int):
+def _cut(length: int, kind: str):
+    wide = np.dtype(kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, n = batch["at"].to_numpy(), batch["n"].to_numpy()
@@ -121,8 +129,8 @@ def _cut(length: int):
             start = np.maximum(sequence * length, at[row]) - at[row]
             size = np.minimum((sequence + 1) * length, at[row] + n[row]) - at[row] - start
             ids = batch["ids"]
-            cut = [ids[int(r)].as_buffer().slice(4 * int(s), 4 * int(m)) for r, s, m in zip(row, start, size, strict=True)]
-            yield pa.record_batch([batch["doc_id"].take(pa.array(row)), pa.array(start), pa.array(size), pa.array([c.to_pybytes() for c in cut], pa.binary()),
+            cut = [np.frombuffer(ids[int(r)].as_buffer(), kind, int(m), wide * int(s)).astype("<u4").tobytes() for r, s, m in zip(row, start, size, strict=True)]
+            yield pa.record_batch([batch["doc_id"].take(pa.array(row)), pa.array(start), pa.array(size), pa.array(cut, pa.binary()),
                                    pa.array(n[row]), pa.array(sequence), pa.array((at[row] + start) % length), batch["key"].take(pa.array(row))],
                                   ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "key"])
 
@@ -145,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = END) ->
     sums = ordered.groupBy("part").agg(F.sum("n").alias("m"))
     base = sums.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("base"))
     places = ordered.join(base, "part").select("row", "key", (F.col("base") + F.col("before")).alias("at"))
-    return tokens.select("row", "doc_id", "ids", "n").join(places, "row").select("doc_id", "ids", "n", "at", "key").mapInArrow(_cut(length), PIECES)
+    return tokens.select("row", "doc_id", "ids", "n").join(places, "row").select("doc_id", "ids", "n", "at", "key").mapInArrow(_cut(length, narrow(tokenizer, end)), PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

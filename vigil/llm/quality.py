@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import kit, rules
 
@@ -195,5 +196,4 @@ def with_score(docs: DataFrame, model: Model) -> DataFrame:
         for rows, counts, repeats in _pieces(batches):
             yield pa.record_batch([*rows.columns, pa.array(shared.value.score(counts, repeats).astype(np.float64))], [*names, "score"])
 
-    schema = kept.schema.add("score", "double")
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType())]))
