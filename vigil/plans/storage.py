@@ -36,7 +36,7 @@ def tolerant_scan(t: Tables):
     """A broken file in the folder is skipped, everything else is read."""
     path = archived_events(t, "tolerant")
     schema = t.spark.read.parquet(path).schema
-    t("region").select("r_name").write.mode("append").text(f"{path}/organization_id=1/date=2024-01-03/broken.parquet")
+    t("region").select("r_name").write.mode("append").text(f"{path}/organization_id=1/date=2024-01-03/run_id=base/broken.parquet")
     return per_day(W.read_tolerant(t.spark, path, schema))
 
 
@@ -80,15 +80,62 @@ def promote_spans(t: Tables):
     return W.promote_spans(staged(t), t.scratch("spans"), NOW + timedelta(hours=12))
 
 
+@query("s05_promote_twice", f"""
+WITH {PROMOTED}
+SELECT organization_id, CAST(timestamp AS DATE) AS date, count(*) AS count FROM judged WHERE kept GROUP BY ALL""")
+def promote_twice(t: Tables):
+    """Every day is promoted in two runs, and the second is tried again: no span is lost or doubled."""
+    path, rows, now = t.scratch("spans-twice"), staged(t), NOW + timedelta(hours=12)
+    for run, odd in (("first", 0), ("second", 1), ("second", 1)):
+        W.promote_spans(rows.where(F.col("event_id") % 2 == odd), path, now, run_id=run)
+    return per_day(W.current(t.spark, path))
+
+
+@query("s05_left_in_staging", """
+SELECT span_id FROM spans WHERE timestamp >= TIMESTAMP '2024-01-31 11:55:00' OR event_id % 2 = 1""")
+def left_in_staging(t: Tables):
+    """Exactly what a run wrote, kept or rejected, leaves staging."""
+    path, rows = t.scratch("spans-left"), staged(t)
+    W.promote_spans(rows.where("event_id % 2 = 0"), path, NOW + timedelta(hours=12), run_id="first")
+    return W.unpromoted(rows, path).select("span_id")
+
+
 @query("s06_compact_hours", f"""
 WITH {PROMOTED}
 SELECT organization_id, CAST(timestamp AS DATE) AS date, CAST(hour(timestamp) AS INT) AS hour, count(*) AS count FROM judged WHERE kept GROUP BY ALL""")
 def compact_hours(t: Tables):
-    """Compacting a day changes its files, not its rows."""
-    path = t.scratch("compact-source")
-    W.promote_spans(staged(t), path, NOW + timedelta(hours=12))
-    table = W.compact_day(t.spark, path, 1, date(2024, 1, 12))
-    return per_day(table.withColumn("hour", F.hour("timestamp")), "hour")
+    """All days of all organisations are compacted, twice; their files change, their rows do not."""
+    path, rows, now = t.scratch("compact-source"), staged(t), NOW + timedelta(hours=12)
+    for run, rest in (("a", 0), ("b", 1), ("c", 2)):
+        W.promote_spans(rows.where(F.col("event_id") % 3 == rest), path, now, run_id=run)
+    for _ in range(2):
+        W.compact_days(t.spark, path, now, run_id="days")
+    W.drop_compacted(t.spark, path)
+    return per_day(W.current(t.spark, path).withColumn("hour", F.hour("timestamp")), "hour")
+
+
+@query("s06_seal_all_hours", f"""
+WITH {PROMOTED},
+early AS (SELECT organization_id, date_trunc('hour', timestamp) AS hour, count(*) AS count FROM judged WHERE kept AND span_id NOT IN (SELECT span_id FROM spans WHERE event_id % 5 = 0) GROUP BY ALL),
+late AS (SELECT j.organization_id, date_trunc('hour', j.timestamp) AS hour, count(*) AS count FROM judged j WHERE j.kept AND j.span_id IN (SELECT span_id FROM spans WHERE event_id % 5 = 0)
+ GROUP BY ALL),
+done AS (SELECT organization_id, hour, count FROM early WHERE hour + INTERVAL 1 HOUR < TIMESTAMP '2024-01-31 11:40:00')
+SELECT 'sealed' AS kind, organization_id, hour, CAST(count AS BIGINT) AS count FROM done
+UNION ALL SELECT 'sealed' AS kind, l.organization_id, l.hour, CAST(l.count AS BIGINT) AS count FROM late l LEFT JOIN early e ON e.organization_id = l.organization_id AND e.hour = l.hour
+ WHERE e.hour IS NULL AND l.hour + INTERVAL 1 HOUR < TIMESTAMP '2024-01-31 11:40:00'
+UNION ALL SELECT 'late' AS kind, l.organization_id, l.hour, CAST(l.count AS BIGINT) AS count FROM late l JOIN done d ON d.organization_id = l.organization_id AND d.hour = l.hour""")
+def seal_all_hours(t: Tables):
+    """Every sealed hour is rolled once; spans that come after the seal are rejected, those of an unknown hour make a new one."""
+    path, rollups, rows, now = t.scratch("seal"), t.scratch("seal-rollups"), staged(t), NOW + timedelta(hours=12)
+    roll = lambda spans: S.hourly_rollup(spans, exact=False)
+    W.promote_spans(rows.where("event_id % 5 <> 0"), path, now, run_id="first")
+    for _ in range(2):
+        closed = W.seal_hours(t.spark, path, rollups, now, roll, run_id="first")
+    W.promote_spans(rows.where("event_id % 5 = 0"), path, now, run_id="second", closed=closed)
+    W.seal_hours(t.spark, path, rollups, now, roll, run_id="second")
+    hours = t.spark.read.parquet(rollups).groupBy("organization_id", F.col("hour_bucket").alias("hour")).agg(F.sum("count").alias("count"))
+    late = t.spark.read.parquet(f"{path}-rejected").where("reason = 'late'").groupBy("organization_id", W.hour_of("timestamp").alias("hour")).agg(F.count(F.lit(1)).alias("count"))
+    return hours.select(F.lit("sealed").alias("kind"), "*").unionByName(late.select(F.lit("late").alias("kind"), "*"))
 
 
 @query("s06_sealed_hours", """
@@ -156,11 +203,28 @@ SELECT CASE WHEN timestamp >= TIMESTAMP '2024-01-24 00:00:00' THEN 'hot' ELSE 'c
 FROM logs WHERE CAST(CAST(timestamp AS DATE) AS TIMESTAMP) >= <<now>> - INTERVAL 25 DAY GROUP BY ALL""")
 def archive_then_expire(t: Tables):
     path = t.scratch("archive-expire")
-    hot = W.archive_then_expire(t.spark, t("logs"), path, "timestamp", sort="log_id", hot_days=7, days=25, now=NOW)
+    hot, _ = W.archive_then_expire(t.spark, t("logs"), path, "timestamp", sort="log_id", hot_days=7, days=25, now=NOW)
     cold = per_day(t.spark.read.parquet(path)).select(F.lit("cold").alias("tier"), "*")
     return cold.unionByName(per_day(hot.withColumn("date", F.to_date("timestamp"))).select(F.lit("hot").alias("tier"), "*"))
 
 
+@query("s13_archive_late_rows", """
+WITH cold AS (SELECT organization_id, CAST(timestamp AS DATE) AS date, count(*) AS count FROM logs WHERE timestamp < TIMESTAMP '2024-01-24 00:00:00' GROUP BY ALL),
+runs AS (SELECT log_id % 3 = 0 AS late, count(*) AS n FROM logs WHERE timestamp < TIMESTAMP '2024-01-24 00:00:00' GROUP BY ALL)
+SELECT 'cold' AS tier, organization_id, date, count FROM cold
+UNION ALL SELECT 'hot' AS tier, organization_id, CAST(timestamp AS DATE) AS date, count(*) AS count FROM logs WHERE timestamp >= TIMESTAMP '2024-01-24 00:00:00' AND log_id % 3 = 0 GROUP BY ALL
+UNION ALL SELECT CASE WHEN late THEN 'archived late' ELSE 'archived first' END AS tier, 0 AS organization_id, DATE '2024-01-31' AS date, n AS count FROM runs""")
+def archive_late_rows(t: Tables):
+    """Rows of archived days that come later join them; a retry changes nothing."""
+    path, logs, reports = t.scratch("archive-late"), t("logs"), {}
+    for run, rows in (("first", "log_id % 3 <> 0"), ("late", "log_id % 3 = 0"), ("late", "log_id % 3 = 0")):
+        hot, reports[run] = W.archive_then_expire(t.spark, logs.where(rows), path, "timestamp", sort="log_id", hot_days=7, days=90, now=NOW, run_id=run)
+    told = t.spark.createDataFrame([(f"archived {run}", 0, NOW.date(), r["archived"]) for run, r in reports.items()], "tier string, organization_id int, date date, count bigint")
+    cold = per_day(t.spark.read.parquet(path)).select(F.lit("cold").alias("tier"), "*")
+    warm = per_day(hot.withColumn("date", F.to_date("timestamp"))).select(F.lit("hot").alias("tier"), "*")
+    return cold.unionByName(warm).unionByName(told)
+
+
 @query("u05_concatenate_rollups", """
 SELECT organization_id, CAST(hour_bucket AS DATE) AS date, count(*) AS rollups, CAST(sum(count) AS BIGINT) AS spans FROM (
  SELECT organization_id, project_id, transaction_name, op, date_trunc('hour', timestamp) AS hour_bucket, count(*) AS count FROM (SELECT *, <<describe>> AS description FROM spans) d

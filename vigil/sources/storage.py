@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime, timedelta
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.timeparam import moment, utc
 from ..operators.maintenance import acceptable_spans
 
+log = logging.getLogger(__name__)
 SEAL_GRACE = timedelta(minutes=20)
+#: Folders removed at the same time.
+DELETERS = 16
 STAGING_DELAY = timedelta(minutes=5)
 POINT_LOOKUP = {
     # Small row groups and a bloom filter make single-id reads cheap.
@@ -36,71 +44,163 @@ def scan(
 
 
 def archive(
-    rows: DataFrame, path: str, time_column: str, *, sort: str, eligible: DataFrame | None = None, lookups: bool = False,
+    rows: DataFrame, path: str, time_column: str, *, sort: str, run_id: str = "base", eligible: DataFrame | None = None, lookups: bool = False,
     partitions: tuple[str, ...] = ("organization_id", "date"), max_records: int = 5_000_000,
 ) -> None:
-    """Write rows below organisation/day folders, sorted, zstd; a rerun replaces the same folders.
+    """Write rows below organisation/day/run folders, sorted, zstd.
+
+    A run adds to the days it has rows of; rows that other runs wrote stay. A retry of a run
+    replaces what that run wrote, so it changes nothing.
 
     Rows are rebalanced by (organisation, day): small days share a task, and AQE splits
     a day that is larger than the advisory partition size over as many as it needs.
     """
     if eligible is not None:
         rows = rows.join(eligible.select("organization_id").distinct(), "organization_id", "left_semi")
-    out = rows.withColumn("date", F.to_date(time_column))
+    out = rows.withColumn("date", F.to_date(time_column)).withColumn("run_id", F.lit(run_id))
     spread = out.hint("rebalance", "organization_id", "date").sortWithinPartitions(*partitions, sort)
-    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions)
+    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions, "run_id")
     writer = writer.option("compression", "zstd").option("maxRecordsPerFile", max_records)
     for key, value in (POINT_LOOKUP if lookups else {}).items():
         writer = writer.option(key, value)
     writer.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+
+
+def written_by(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
+    """What one run wrote; None if it wrote nothing."""
+    if not exists(spark, path):
+        return None
+    table = spark.read.parquet(path)
+    return table.where(F.col("run_id") == run_id) if "run_id" in table.columns else None
+
+
 def unarchived(rows: DataFrame, archived: DataFrame, time_column: str) -> DataFrame:
     """Rows whose (organisation, day) is not in the archive yet - makes a rerun a no-op."""
     days = archived.select("organization_id", "date").distinct()
     return rows.withColumn("date", F.to_date(time_column)).join(days, ["organization_id", "date"], "left_anti").drop("date")
 
 
-def promote_spans(staged: DataFrame, path: str, now: datetime) -> DataFrame:
+def promote_spans(staged: DataFrame, path: str, now: datetime, *, run_id: str = "base", closed: DataFrame | None = None) -> DataFrame:
     """Move staged spans older than five minutes to the span table, by day of event time.
 
+    Each run writes folders of its own: a later run of the same day adds to it, a retry of a
+    run replaces its own rows. Spans that cannot be used, and those of an hour that is already
+    sealed (``closed``: organization_id, hour_bucket), go to ``<path>-rejected`` with a reason.
     Hours are runs of the sort order, not folders: an hour folder per organisation
     would leave a large cluster with millions of tiny files.
 
-    Returns one row: consumed, kept and dropped spans (unusable ones are consumed too).
+    Returns one row, counted from what was written: consumed, kept and dropped spans.
     """
-    ready = staged.where(F.col("inserted") < moment(now - STAGING_DELAY))
-    judged = acceptable_spans(ready, now)
-    archive(judged.where("kept").drop("kept", "inserted"), path, "timestamp", sort="timestamp")
-    return judged.agg(
-        F.count(F.lit(1)).alias("consumed"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped")
-    )
+    spark = staged.sparkSession
+    ready = acceptable_spans(staged.where(F.col("inserted") < moment(now - STAGING_DELAY)), now)
+    reason = F.when(F.col("timestamp").isNull(), "missing").when(~F.col("kept"), "range")
+    if closed is not None:
+        hours = closed.select("organization_id", F.col("hour_bucket").alias("_hour")).distinct().withColumn("_sealed", F.lit(True))
+        ready = ready.withColumn("_hour", hour_of("timestamp")).join(hours, ["organization_id", "_hour"], "left").drop("_hour")
+        reason = reason.when(F.col("_sealed"), "late")
+    judged = ready.withColumn("reason", reason).drop("_sealed", "kept", "inserted")
+    archive(judged.where("reason IS NULL").drop("reason"), path, "timestamp", sort="timestamp", run_id=run_id)
+    rejected = judged.where("reason IS NOT NULL").withColumn("run_id", F.lit(run_id))
+    rejected.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}-rejected")
+    kept, dropped = (written_by(spark, p, run_id) for p in (path, f"{path}-rejected"))
+    zero = spark.range(1).select(F.lit(0).cast("bigint").alias("kept"), F.lit(0).cast("bigint").alias("dropped"))
+    counts = [zero, *[rows.agg(F.count(F.lit(1)).alias("n")).select(*columns) for rows, columns in (
+        (kept, (F.col("n").alias("kept"), F.lit(0).cast("bigint").alias("dropped"))),
+        (dropped, (F.lit(0).cast("bigint").alias("kept"), F.col("n").alias("dropped"))),
+    ) if rows is not None]]
+    total = reduce(DataFrame.unionByName, counts).agg(F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped"))
+    return total.select((F.col("kept") + F.col("dropped")).alias("consumed"), "kept", "dropped")
+
+
+def unpromoted(staged: DataFrame, path: str, key: str = "span_id") -> DataFrame:
+    """Staged rows that no run has written yet, neither as kept nor as rejected."""
+    spark = staged.sparkSession
+    for table in (path, f"{path}-rejected"):
+        if exists(spark, table):
+            staged = staged.join(spark.read.parquet(table).select(key), key, "left_anti")
+    return staged
+
+
+def hour_of(column: str):
+    return F.date_trunc("hour", column).cast("timestamp_ntz")
 
 
 def sealed(rows: DataFrame, now: datetime) -> DataFrame:
     """Rows of hours that ended more than 20 minutes ago."""
-    hour_end = F.date_trunc("hour", "timestamp").cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR")
+    hour_end = hour_of("timestamp") + F.expr("INTERVAL 1 HOUR")
     return rows.where(hour_end < moment(now - SEAL_GRACE))
 
 
-def compact_day(spark: SparkSession, path: str, organization_id: int, day: date, *, rows_per_file: int = 5_000_000) -> DataFrame:
-    """Rewrite one organisation-day into few sorted files.
+def seal_hours(spark: SparkSession, path: str, rollups: str, now: datetime, roll, *, run_id: str) -> DataFrame:
+    """Write the rollup of every sealed hour of every organisation that has none; returns the hours that have one.
 
-    The new files go to a staging folder first and replace the day in a second step,
-    since a folder cannot be overwritten while it is read.
+    An hour whose rollup is missing, say after a crash, is rolled by the next run. A retry of
+    a run works its own hours out again.
     """
-    from ..session import scratch_path
+    rows = sealed(current(spark, path), now).withColumn("_hour", hour_of("timestamp"))
+    if exists(spark, rollups):
+        done = spark.read.parquet(rollups).where(F.col("run_id") != run_id)
+        rows = rows.join(done.select("organization_id", F.col("hour_bucket").alias("_hour")).distinct(), ["organization_id", "_hour"], "left_anti")
+    archive(roll(rows.drop("_hour")), rollups, "hour_bucket", sort="hour_bucket", run_id=run_id)
+    return spark.read.parquet(rollups).select("organization_id", "hour_bucket").distinct()
 
-    table = spark.read.parquet(path)
-    part = table.where((F.col("organization_id") == organization_id) & (F.col("date") == F.lit(day)))
-    staging = scratch_path(spark, "compact")
-    layout = ["organization_id", "date"]
-    # Sorted by time across files, as many files as the size asks for.
-    part.repartitionByRange("timestamp").sortWithinPartitions("timestamp").write.option("compression", "zstd").option(
-        "maxRecordsPerFile", rows_per_file
-    ).partitionBy(*layout).parquet(staging)
-    replace_partitions(spark.read.parquet(staging), path, layout)
-    return spark.read.parquet(path)
+
+def compact_days(spark: SparkSession, path: str, now: datetime, *, run_id: str, rows_per_file: int = 5_000_000) -> DataFrame:
+    """Rewrite the runs of every closed day of every organisation into few sorted files, in one job.
+
+    The new files go to ``<path>-days``. The list of the runs they stand for, written last, makes
+    readers (``current``) turn to them, so a crash before leaves the day as it was and a retry
+    replaces its own files. ``drop_compacted`` removes the old folders at any later time.
+    """
+    raw = spark.read.parquet(path)
+    closed = F.col("date") < F.to_date(moment(now - SEAL_GRACE))
+    open_runs = raw.where(closed).select("organization_id", "date", "run_id").distinct()
+    before = compactions(spark, path)
+    if before is not None:
+        open_runs = open_runs.join(before.where(F.col("compaction") != run_id).select("organization_id", "date", "run_id"), ["organization_id", "date", "run_id"], "left_anti")
+    several = open_runs.groupBy("organization_id", "date").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("organization_id", "date")
+    todo = open_runs.join(several, ["organization_id", "date"])
+    rows = raw.join(todo, ["organization_id", "date", "run_id"], "left_semi").drop("run_id").withColumn("compaction", F.lit(run_id))
+    layout = ["compaction", "organization_id", "date"]
+    rows = rows.hint("rebalance", "organization_id", "date").sortWithinPartitions(*layout, "timestamp")
+    for part, target in ((rows, f"{path}-days"), (todo.withColumn("compaction", F.lit(run_id)).coalesce(1), f"{path}-compactions")):
+        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
+        writer.partitionBy(*(layout if part is rows else ["compaction"])).parquet(target)
+    return current(spark, path)
+
+
+def compactions(spark: SparkSession, path: str) -> DataFrame | None:
+    """organization_id, date, run_id, compaction: which compaction stands for which run."""
+    if not exists(spark, f"{path}-compactions"):
+        return None
+    return spark.read.schema("organization_id int, date date, run_id string, compaction string").parquet(f"{path}-compactions")
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The table's rows: those of compacted days, and of the runs that no compaction stands for."""
+    raw, listed = spark.read.parquet(path), compactions(spark, path)
+    columns = [c for c in raw.columns if c != "run_id"]
+    if listed is None:
+        return raw.select(*columns)
+    runs = raw.join(listed.select("organization_id", "date", "run_id"), ["organization_id", "date", "run_id"], "left_anti").select(*columns)
+    if not exists(spark, f"{path}-days"):
+        return runs
+    days = spark.read.parquet(f"{path}-days").join(listed.select("compaction", "organization_id", "date").distinct(), ["compaction", "organization_id", "date"], "left_semi")
+    return runs.unionByName(days.select(*columns))
+
+
+def drop_compacted(spark: SparkSession, path: str) -> int:
+    """Remove the folders of runs that a compaction stands for; the number removed."""
+    listed = compactions(spark, path)
+    if listed is None:
+        return 0
+    rows = listed.select("organization_id", "date", "run_id").distinct().toLocalIterator()
+    return drop_folders(spark, (f"{path}/organization_id={r['organization_id']}/date={r['date']}/run_id={r['run_id']}" for r in rows))
 
 
 def replace_partitions(rows: DataFrame, path: str, partitions: list[str]) -> None:
@@ -112,54 +212,67 @@ def rewrite_excluding(
 ) -> None:
     """Drop a project's (or a set of issues') rows from one organisation's folders.
 
-    Only days that hold such rows are rewritten; the rest of the table is not read.
-    A day left without rows is removed.
+    Only folders that hold such rows are rewritten, in one pass over them: a first scan of the
+    key column finds them. A folder left without rows is removed after the others have been
+    replaced; a run that dies in between leaves rows that the next run finds again.
     """
     from ..session import scratch_path
 
+    folder = ["organization_id", "date", "run_id"]
     table = spark.read.parquet(path).where(F.col("organization_id") == organization_id)
     if project_id is not None:
-        hit = table.where(F.col("project_id") == project_id)
+        hit, rest = table.where(F.col("project_id") == project_id), lambda rows: rows.where(F.col("project_id") != project_id)
     else:
-        hit = table.join(gone.select(key).distinct(), key, "left_semi")
-    days = hit.select("date").distinct()
-    affected = table.join(days, "date", "left_semi")
-    kept = affected.where(F.col("project_id") != project_id) if project_id is not None else affected.join(
-        gone.select(key).distinct(), key, "left_anti"
-    )
+        keys = gone.select(key).distinct()
+        hit, rest = table.join(keys, key, "left_semi"), lambda rows: rows.join(keys, key, "left_anti")
     staging = scratch_path(spark, "rewrite")
-    days.write.parquet(f"{staging}-days")
-    kept.write.option("compression", "zstd").partitionBy("organization_id", "date").parquet(staging)
-    emptied = spark.read.parquet(f"{staging}-days")
-    if kept.take(1):
-        survivors = read_tolerant(spark, staging, kept.schema)
-        replace_partitions(survivors, path, ["organization_id", "date"])
-        emptied = emptied.join(survivors.select("date").distinct(), "date", "left_anti")
-    # One folder per day of one organisation: a short list (days within retention).
-    drop_folders(spark, [f"{path}/organization_id={organization_id}/date={r['date']}" for r in emptied.collect()])
-
-
-def drop_folders(spark: SparkSession, folders: list[str]) -> int:
-    """Remove partition folders through the Hadoop file system; the number removed."""
+    hit.select(*folder).distinct().write.parquet(f"{staging}-folders")
+    folders = spark.read.parquet(f"{staging}-folders")
+    kept = rest(table.join(folders, folder, "left_semi"))
+    kept.write.option("compression", "zstd").parquet(staging)
+    survivors = spark.read.schema(kept.schema).parquet(staging)
+    replace_partitions(survivors, path, folder)
+    emptied = folders.join(survivors.select(*folder).distinct(), folder, "left_anti")
+    drop_folders(spark, (f"{path}/organization_id={r['organization_id']}/date={r['date']}/run_id={r['run_id']}" for r in emptied.toLocalIterator()))
+
+
+def drop_folders(spark: SparkSession, folders: Iterable[str]) -> int:
+    """Remove folders through the Hadoop file system, several at a time as they are named; the number removed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    removed = 0
-    for folder in folders:
+
+    def drop(folder: str) -> bool:
         target = jvm.org.apache.hadoop.fs.Path(folder)
-        removed += bool(target.getFileSystem(conf).delete(target, True))
+        return bool(target.getFileSystem(conf).delete(target, True))
+
+    removed, names = 0, iter(folders)
+    with ThreadPoolExecutor(DELETERS) as pool:
+        while some := list(islice(names, 100 * DELETERS)):
+            removed += sum(pool.map(drop, some))
     return removed
 
 
-def partition_folders(table: DataFrame, path: str, condition) -> list[str]:
-    """Folders of the (organisation, day) partitions that meet a condition - from file listing alone."""
-    parts = table.where(condition).select("organization_id", "date").distinct()
-    return [f"{path}/organization_id={r['organization_id']}/date={r['date']}" for r in parts.collect()]
+def day_folders(spark: SparkSession, path: str, before: date) -> Iterator[str]:
+    """Day folders of all organisations whose day is before ``before``, from the file system's listing; no file is opened."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    organizations = fs.listStatusIterator(root)
+    while organizations.hasNext():
+        organization = organizations.next().getPath()
+        if not organization.getName().startswith("organization_id="):
+            continue
+        days = fs.listStatusIterator(organization)
+        while days.hasNext():
+            day = days.next().getPath()
+            if day.getName().startswith("date=") and day.getName()[5:] < before.isoformat():
+                yield day.toString()
 
 
 def expire(spark: SparkSession, path: str, days: int, now: datetime) -> int:
     """Remove day folders whose day began before ``now`` minus ``days``."""
-    table = spark.read.parquet(path)
-    old = F.col("date").cast("timestamp_ntz") < moment(now - timedelta(days=days))
-    return drop_folders(spark, partition_folders(table, path, old))
+    edge = utc(now) - timedelta(days=days)
+    first = edge.date() if edge.time() == datetime.min.time() else edge.date() + timedelta(days=1)
+    return drop_folders(spark, day_folders(spark, path, first))
 
 
 def purge_organization(spark: SparkSession, paths: list[str], organization_id: int) -> int:
@@ -168,16 +281,33 @@ def purge_organization(spark: SparkSession, paths: list[str], organization_id: i
 
 
 def archive_then_expire(
-    spark: SparkSession, hot: DataFrame, path: str, time_column: str, *, sort: str, hot_days: int, days: int, now: datetime
-) -> DataFrame:
+    spark: SparkSession, hot: DataFrame, path: str, time_column: str, *, sort: str, hot_days: int, days: int, now: datetime, run_id: str = "base"
+) -> tuple[DataFrame, dict[str, int]]:
     """Archive days older than ``hot_days``, remove archived days past retention.
 
-    Returns the hot rows that remain.
+    Rows that come late for an archived day join it. Returns the hot rows that remain and how
+    many rows were archived, how many days failed, and how many day folders were deleted. A day
+    counts as archived if the run's folder holds as many rows as were to go there; the rows of
+    any other day, or of all if the write fails, remain hot.
     """
     edge = moment(datetime.combine(utc(now).date() - timedelta(days=hot_days), datetime.min.time()))
-    archive(hot.where(F.col(time_column) < edge), path, time_column, sort=sort)
-    expire(spark, path, days, now)
-    return hot.where(F.col(time_column) >= edge)
+    day = ["organization_id", "date"]
+    cold = hot.where(F.col(time_column) < edge)
+    wanted = cold.groupBy("organization_id", F.to_date(time_column).alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    try:
+        archive(cold, path, time_column, sort=sort, run_id=run_id)
+    except Exception as error:  # noqa: BLE001 - a table that cannot be written must not stop the others
+        log.warning("archive of %s failed: %s", path, error)
+    there = written_by(spark, path, run_id)
+    found = wanted.withColumn("m", F.lit(0).cast("bigint")) if there is None else wanted.join(
+        there.groupBy(*day).agg(F.count(F.lit(1)).alias("m")), day, "left")
+    complete = F.coalesce(F.col("n") == F.col("m"), F.lit(False))
+    counts = found.agg(F.sum(F.when(complete, F.col("n"))).alias("archived"), F.count_if(~complete).alias("failed")).first()
+    done = found.where(complete).select(*day)
+    remaining = hot.withColumn("date", F.to_date(time_column)).join(done.withColumn("_done", F.lit(True)), day, "left")
+    remaining = remaining.where((F.col(time_column) >= edge) | F.col(time_column).isNull() | F.col("_done").isNull()).select(*hot.columns)
+    deleted = expire(spark, path, days, now) if exists(spark, path) else 0
+    return remaining, {"archived": counts["archived"] or 0, "failed": counts["failed"], "deleted": deleted}
 
 
 def read_by_tier(chunks: DataFrame, hours: DataFrame, days: DataFrame) -> DataFrame:
