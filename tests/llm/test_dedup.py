@@ -58,8 +58,8 @@ def test_passages_of_odd_rows(odd, clashing):
 
 
 def test_removed_spans_are_the_removed_words(make):
-    r = substring_dedup.dedup_passages(make([(1, "a b c d e f"), (2, "x a b c d y c d e f")]), window=4).where("doc_id = 2").first()
-    assert [tuple(s) for s in r["removed"]] == [(1, 4)] and r["kept_text"] == "x y c d e f"
+    r = substring_dedup.dedup_passages(make([(1, "a b c d e f"), (2, "x a b c d y c d e")]), window=4).where("doc_id = 2").first()
+    assert [tuple(s) for s in r["removed"]] == [(1, 4)] and r["kept_text"] == "x y c d e"
 
 
 def as_bytes(rows, size):

@@ -167,7 +167,8 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     new[0] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
+    first = np.flatnonzero(new)
+    return first.astype(np.int32) if len(new) < 2**31 else first
 
 
 def cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
@@ -175,4 +176,4 @@ def cover(starts: np.ndarray, length: int, size: int) -> np.ndarray:
     step = np.zeros(size + length + 1, np.int32)
     step[starts] += 1
     step[starts + length] -= 1
-    return np.cumsum(step)[:size] > 0
+    return np.cumsum(step, out=step)[:size] > 0

@@ -40,6 +40,7 @@ class _Bucket:
         self.doc = kit.doc_of(self.first)
         self.hash = [kit.word_hashes(self.data, self.start, self.end, 0)]
         n = len(self.start)
+        self.runs = self.keys = None
         # Probes: all places where half a window fits, in documents that hold a whole one.
         length = np.diff(self.first)
         self.last = np.repeat(self.first[1:], length).astype(np.int32)
@@ -124,12 +125,6 @@ def _spans(flags: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), rows)
 
 
-def _strings(data: np.ndarray, keep: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """The kept bytes of each document as strings."""
-    sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(keep, out=sums[1:])
-    at = np.ascontiguousarray(sums[offsets])
-    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data[keep]))).cast(pa.string())
 
 
 def dedup_passages(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -165,8 +160,8 @@ def _kept_words(here: _Bucket, removed: np.ndarray) -> pa.Table:
     n = np.diff(here.first)
     gone = np.zeros(len(removed) + 1, np.int64)
     np.cumsum(removed, out=gone[1:])
-    data, kept = here.data.copy(), np.flatnonzero(~removed)
-    step = np.zeros(len(data) + 2, np.int32)
+    kept = np.flatnonzero(~removed)
+    data, step = here.data.copy(), np.zeros(len(here.data) + 2, np.int8)
     # A kept word takes the byte behind it along as the blank, but for the last kept word of a document.
     last = np.zeros(len(kept), bool)
     if len(kept):
@@ -177,6 +172,10 @@ def _kept_words(here: _Bucket, removed: np.ndarray) -> pa.Table:
     data[here.end[kept][~last]] = 0x20
     step[here.start[kept]] += 1
     step[tail] -= 1
-    keep = np.cumsum(step)[: len(data)] > 0
+    data = data[np.cumsum(step, out=step)[: len(data)] > 0]
+    size = np.zeros(len(kept) + 1, np.int64)
+    np.cumsum(tail - here.start[kept], out=size[1:])
+    at = size[np.searchsorted(kept, here.first)]
+    texts = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(at), pa.py_buffer(data)).cast(pa.string())
     return pa.table([kit.id_column(here.docs), pa.array(n, pa.int64()), pa.array(np.diff(gone[here.first]), pa.int64()),
-                     _strings(data, keep, here.offsets), _spans(removed, here.first)], schema=_WORDS)
+                     texts, _spans(removed, here.first)], schema=_WORDS)
