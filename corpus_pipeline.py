@@ -21,31 +21,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigil.llm import exchange, jaccard_join, line_dedup, mixing, quality, queries
+from vigil.llm.columns import carried, restored
 from vigil.session import prepare, scratch_path
 
 CORE = ("doc_id", "text", "source")
 
 
-def _carried(docs: DataFrame) -> DataFrame:
-    """The columns that operators read, and all others in one, so that no name clashes."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in CORE]
-    return docs.select(*CORE, (F.struct(*rest) if rest else F.lit(None).cast("struct<none:int>")).alias("_rest"))
-
-
-def _restored(carried: DataFrame, docs: DataFrame, **changed) -> DataFrame:
-    """The columns of ``docs`` again, in their order."""
-    return carried.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in CORE else F.col("_rest").getField(c).alias(c) for c in docs.columns])
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, queries.labels(spark, sf_dir))
-    return _restored(quality.with_score(_carried(docs), model).where("score >= 0.5"), docs)
+    return quality.with_score(carried(docs, CORE), model).where("score >= 0.5").select(*restored(docs, CORE))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(_carried(docs)).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    kept = line_dedup.dedup_lines(carried(docs, CORE)).where("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
     changed = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("_rest.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return _restored(kept, docs, **changed)
+    return kept.select(*restored(docs, CORE, **changed))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +46,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(_carried(docs))
+    mixed = mixing.mix_sources(carried(docs, CORE))
     order = ["mix_slot", "mix_place", "doc_id"]
-    return _restored(mixed.repartitionByRange(exchange.partitions(spark), *order).sortWithinPartitions(*order), docs)
+    return mixed.repartitionByRange(exchange.partitions(spark), *order).sortWithinPartitions(*order).select(*restored(docs, CORE))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .columns import carried, restored
 from .exchange import stored
 from .kit import NO_ID
 
@@ -127,11 +128,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE) -
     both = pairs.join(first, ["eid", "eh"]).join(sequences.withColumnRenamed("seq", "later"), ["id", "h"])
     found = both.select("id", "h", "later", "earlier", "lengths").mapInArrow(_align_batch(min_chars), "id long, h long, gone array<int>")
     gone = found.select("id", "h", F.explode("gone").alias("line")).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    added = {"n_lines", "removed", "n_removed"}
-    kept = docs.drop(*added).withColumns({"_id": key[0], "_h": key[1]})
+    core, added = ("doc_id", "text"), ("n_lines", "removed", "n_removed")
+    kept = carried(docs, core, added).withColumns({"_id": key[0], "_h": key[1]})
     joined = kept.join(gone, (F.col("_id") == F.col("id")) & (F.col("_h") == F.col("h")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
-    columns = [F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added]
+    columns = restored(docs, core, added, text=F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest))
     n_lines = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
                          F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"))

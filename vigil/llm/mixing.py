@@ -26,6 +26,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .columns import carried, restored
 from .exchange import partitions, stored
 
 BLOCK_DOCS = 64
@@ -72,9 +73,8 @@ def source_key() -> Column:
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS) -> DataFrame:
     """The documents with their block's number in its source, slot, release and deadline, and their place in the block."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ADDED]
-    order = ["_source", "_draw", "doc_id"]
-    dealt = docs.select(*[F.col(f"`{c}`") for c in kept], source_key().alias("_source"), F.xxhash64("doc_id").alias("_draw"))
+    core, order = ("doc_id", "source"), ["_source", "_draw", "doc_id"]
+    dealt = carried(docs, core, ADDED).select("*", source_key().alias("_source"), F.xxhash64("doc_id").alias("_draw"))
     dealt = dealt.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     dealt = stored(dealt.withColumn("_at", F.monotonically_increasing_id()), "dealt").withColumn("_part", F.shiftright("_at", 33))
     # A row for each source a partition holds: the partition's first place and the documents before it.
@@ -96,5 +96,5 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     placed = placed.join(F.broadcast(counts), "_source").withColumn("_block", block).withColumn("k", F.expr("_block % _share"))
     joined = placed.join(F.broadcast(table), ["_source", "k"])
     turn = F.expr(f"(_block div _share) * {max(total, 1)}")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], F.col("_block").alias("mix_block"), (turn + F.col("at")).alias("mix_slot"),
+    return joined.select(*restored(docs, core, ADDED), F.col("_block").alias("mix_block"), (turn + F.col("at")).alias("mix_slot"),
                          (turn + F.col("release")).alias("mix_release"), (turn + F.col("deadline")).alias("mix_deadline"), F.expr(f"_rank % {block_docs}").alias("mix_place"))

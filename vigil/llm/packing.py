@@ -159,4 +159,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = END) ->
 def sequences(pieces: DataFrame) -> DataFrame:
     """The packed ids of each sequence in order; a sequence holds a bounded number of ids."""
     joined = F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda p: p["ids"])
-    return pieces.groupBy("sequence_id").agg(F.aggregate(joined, F.lit(b""), F.concat).alias("ids"), F.sum("length").alias("length"))
+    return pieces.groupBy("sequence_id").agg(F.aggregate(joined, F.lit(bytearray()), lambda whole, part: F.concat(whole, part)).alias("ids"), F.sum("length").alias("length"))
