@@ -1,5 +1,6 @@
 """Expressions on literal cases."""
 
+import json
 import re
 from datetime import datetime, timezone
 
@@ -43,7 +44,7 @@ def test_parameterize_url(spark):
 
 def test_description_routing_and_limit(spark):
     rows = [("db.sql", "SELECT 1"), ("http.client", "/a/1?b=2"), ("view", "/a/1?b=2"), ("db", None), ("db", "x" * 600)]
-    out = [r[0] for r in values(spark, rows, "op string, d string", out=text.parameterize_description(F.col("op"), F.col("d")))]
+    out = [r[0] for r in values(spark, rows, "op string, d string", out=text.parameterize_description(F.col("op"), F.col("d"), 500))]
     assert out == ["SELECT %s", "/a/%s", "/a/1?b=2", "", "x" * 500]
 
 
@@ -119,7 +120,7 @@ def test_error_titles(spark):
     out = [r[0] for r in values(spark, [r[:4] for r in rows], "k string, v string, f string, s boolean",
                                 out=text.error_title(F.col("k"), F.col("v"), F.col("f"), F.col("s")))]
     assert out == [r[4] for r in rows]
-    long = column(spark, ["y" * 300], lambda c: text.error_title(F.lit("T"), c, F.lit(None).cast("string"), F.lit(False)))[0]
+    long = column(spark, ["y" * 300], lambda c: text.error_title(F.lit("T"), c, F.lit(None).cast("string"), F.lit(False), 100))[0]
     assert len(long) == 100 and long.endswith("…")
 
 
@@ -186,14 +187,23 @@ SENSITIVE = ["password", "auth_token", "userPassword", "X-Api-Key", "apiKey", "s
 HARMLESS = ["author", "tokenizer", "key", "card_count", "username", "spinning", "", "number"]
 
 
-def test_sensitive_keys_agree_in_column_and_python(spark):
-    base = dict(enabled=True, scrub_defaults=True, scrub_credit_cards=True, scrub_private_keys=True, scrub_emails=False, placeholder="X")
+SETTINGS = dict(enabled=True, scrub_defaults=True, sensitive_keys=[], safe_keys=[], aggressive_key_match=False,
+                scrub_credit_cards=True, scrub_private_keys=True, scrub_emails=True, placeholder="X")
+
+
+def scrubbed(spark, payloads, whole=False, **settings):
+    """(payload, rejected) of each."""
+    rows = spark.createDataFrame([(i, p, {**SETTINGS, **settings}) for i, p in enumerate(payloads)], f"n int, payload string, config {pii.CONFIG}")
+    out = pii.scrub_json(rows, "payload", "config", whole=whole, rejected="rejected").orderBy("n").collect()
+    return [(r["payload"], r["rejected"]) for r in out]
+
+
+def test_sensitive_keys_agree_alone_and_nested(spark):
     for aggressive, safe, extra in ((False, [], []), (True, [], []), (False, ["auth"], ["author"]), (True, ["auth"], ["user name"])):
         rules = dict(aggressive=aggressive, safe=safe, sensitive=extra)
         got = column(spark, SENSITIVE + HARMLESS, lambda c: pii.is_sensitive_key(c, **rules))
-        scrub = pii.make_scrubber({**base, "aggressive_key_match": aggressive, "safe_keys": safe, "sensitive_keys": extra})
-        want = [scrub({"extra": {k: "v"}})["extra"][k] == "X" for k in SENSITIVE + HARMLESS]
-        assert got == want
+        [(text, _)] = scrubbed(spark, [json.dumps({"extra": {k: "v" for k in SENSITIVE + HARMLESS}})], aggressive_key_match=aggressive, safe_keys=safe, sensitive_keys=extra)
+        assert got == [json.loads(text)["extra"][k] == "X" for k in SENSITIVE + HARMLESS]
         if rules == dict(aggressive=False, safe=[], sensitive=[]):
             assert got == [True] * len(SENSITIVE) + [False] * len(HARMLESS)
 
@@ -225,20 +235,43 @@ def test_cards_equal_plain_python(spark, texts):
     assert column(spark, texts, lambda c: pii.redact_cards(c, "#")) == want
 
 
-def test_nested_scrub_depth_and_pairs():
-    config = dict(enabled=True, scrub_defaults=True, sensitive_keys=[], safe_keys=[], aggressive_key_match=False,
-                  scrub_credit_cards=True, scrub_private_keys=True, scrub_emails=True, placeholder="X")
-    scrub = pii.make_scrubber(config)
-    event = {"release": "password", "request": {"headers": [["Cookie", "a"], ["Host", "h"], [1, "p"]]}, "extra": {"list": ["a@b.cd", 5, None]}}
-    assert scrub(event) == {"release": "password", "request": {"headers": [["Cookie", "X"], ["Host", "h"], [1, "p"]]}, "extra": {"list": ["X", 5, None]}}
-    deep = {"password": "secret"}
-    for _ in range(60):
-        deep = {"d": deep}
-    inner = scrub({"extra": deep})["extra"]
-    while "d" in inner:
-        inner = inner["d"]
-    assert inner == {"password": "secret"}
-    assert pii.make_scrubber({**config, "enabled": False})(event) is event
+def test_nested_scrub_depth_and_pairs(spark):
+    event = {"release": "password", "request": {"headers": [["Cookie", "a"], ["Host", "h"], [1, "p"], ["token"], ["pin", {"a": 1}, "rest"]]},
+             "extra": {"list": ["a@b.cd", 5, None], "token": {"a": [1, 2]}, "pin": 4, "n": 4111111111111111, "q": 'a "quoted" \\ a@b.cd', "é": "☃"}, "tags": None, "password": "top"}
+    want = {"release": "password", "request": {"headers": [["Cookie", "X"], ["Host", "h"], [1, "p"], ["token"], ["pin", "X", "rest"]]},
+            "extra": {"list": ["X", 5, None], "token": "X", "pin": "X", "n": 4111111111111111, "q": 'a "quoted" \\ X', "é": "☃"}, "tags": None, "password": "top"}
+    deep = '{"extra":' + '{"a":[' * 500 + '{"password":"secret","m":"a@b.cd"}' + "]}" * 500 + "}"
+    huge = '{"extra":' + "[" * 100_000 + '{"password":"secret"}' + "]" * 100_000 + "}"
+    texts = [json.dumps(event), json.dumps(event, ensure_ascii=False, indent=1), deep, huge, "[1, 2]", "null", "3", None, ""]
+    got = scrubbed(spark, texts)
+    assert json.loads(got[0][0]) == want == json.loads(got[1][0])
+    assert got[2][0] == deep.replace("secret", "X").replace("a@b.cd", "X") and got[3][0] == huge.replace("secret", "X")
+    assert [g[0] for g in got[4:]] == texts[4:] and [g[1] for g in got] == [False] * 7 + [False, True]
+    assert scrubbed(spark, texts[:2], enabled=False) == [(t, False) for t in texts[:2]]
+    assert json.loads(scrubbed(spark, ['{"password": "p", "m": ["token", "x"]}'], whole=True)[0][0]) == {"password": "X", "m": ["token", "x"]}
+
+
+def test_broken_payloads_are_scrubbed_and_flagged(spark):
+    got = scrubbed(spark, ['{"extra":{"password":"hunter2","a":1', '{"password":"hunter2', "call a@b.cd now", '{"a":}'])
+    assert got == [('{"extra":{"password":"X","a":1', True), ('{"password":"X"', True), ("call X now", True), ('{"a":}', True)]
+
+
+def test_rows_without_config_are_kept(spark):
+    rows = spark.createDataFrame([('{"extra":{"password":"p"}}', None)], f"payload string, config {pii.CONFIG}")
+    assert pii.scrub_json(rows, "payload", "config").first()[0] == '{"extra":{"password":"p"}}'
+
+
+def test_interpolation_takes_plain_names_only(spark):
+    assert payload.interpolate("a {x} {y:>3}", {"x": "1", "y": "2"}) == "a 1   2"
+    for template, params in (("{a.foo}", {"a": "x"}), ("{a[0]}", {"a": "x"}), ("{a.__class__}", {"a": "x"}), ("{a:9999999}", {"a": "x"}), ("{}", {"a": "x"}), ("{b}", {"a": "x"}),
+                             ("%999999999d", ["1"]), ("%*d", ["1"]), ("%d", ["x"]), ("%s %s", ["x"])):
+        assert payload.interpolate(template, params) == template
+    assert payload.interpolate("%s has %d", ["x", "3"]) == "x has 3" and payload.interpolate("%s", ["y" * 9000]) == "y" * 9000
+
+    from vigil.functions.register import register
+
+    assert register(spark) == ["interpolate_named", "interpolate_positional"]
+    assert spark.sql("SELECT interpolate_positional('%s!', array('a')), interpolate_named('{n}!', map('n', 'b'))").first() == ("a!", "b!")
 
 
 # -- driver-side helpers -----------------------------------------------------------------

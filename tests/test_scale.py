@@ -168,3 +168,60 @@ def test_top_n_is_cut_before_the_shuffle(spark, events):
     checks = events.selectExpr("k AS monitor_id", "at AS start_check", "id AS check_id")
     plan = uptime.latest_checks(checks, 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_newest_and_first_rows_need_no_sorted_aggregation(spark, sf_dir):
+    from vigil.operators import issues, upsert, uptime
+    from vigil.sources.domain import table
+
+    events = table(spark, sf_dir, "issue_events")
+    for df in (issues.latest_events(events.select("issue_id", "event_id", "received", "title")), issues.group_batch(events), issues.rollup_updates(events),
+               upsert.latest_per_key(events, ["issue_id"], ["received", "event_id"]), upsert.first_per_key(events, ["project_id", "hash"], ["received", "event_id"])):
+        assert "SortAggregate" not in plan_of(df)
+    del uptime
+
+
+def test_extremes_settle_ties_and_nulls(spark):
+    from vigil.operators import upsert
+
+    rows = [("a", 1, 5, "x"), ("a", 1, 7, "y"), ("a", None, 9, "z"), (None, 3, 1, "n"), (None, 2, 1, "m"), ("b", None, 1, "p"), ("b", None, 2, "q")]
+    df = spark.createDataFrame(rows, "k string, t int, u int, v string")
+    assert sorted(r["v"] for r in upsert.latest_per_key(df, ["k"], ["t", "u"]).collect()) == ["n", "q", "y"]
+    assert sorted(r["v"] for r in upsert.first_per_key(df, ["k"], ["t", "u"]).collect()) == ["m", "p", "x"]
+
+
+def test_alerts_and_heartbeats_scan_their_windows_only(spark, sf_dir):
+    from datetime import datetime
+
+    from vigil.operators import alerts, uptime
+    from vigil.session import scratch_path
+    from vigil.sources import storage
+    from vigil.sources.domain import table
+
+    now, path = datetime(2024, 1, 31), scratch_path(spark, "test-prune")
+    storage.archive(table(spark, sf_dir, "issue_events"), path, "received", sort="event_id")
+    rules = table(spark, sf_dir, "alert_rules").withColumn("project_id", F.col("project_id").cast("int"))
+    plan = plan_of(alerts.evaluate_alerts(rules, spark.read.parquet(path), now))
+    scan = plan.split("PartitionFilters:")[1]
+    assert "date" in scan.split("PushedFilters")[0] and "received" in scan.split("PushedFilters:")[1].split("ReadSchema")[0]
+    checks = scratch_path(spark, "test-checks")
+    table(spark, sf_dir, "monitor_checks").withColumn("date", F.to_date("start_check")).write.partitionBy("date").parquet(checks)
+    plan = plan_of(uptime.heartbeat_state(table(spark, sf_dir, "monitors"), spark.read.parquet(checks), datetime(2001, 10, 28, 0, 2)))
+    assert any("date" in p.split("PushedFilters")[0] and "start_check" in p.split("PushedFilters:")[1].split("ReadSchema")[0] for p in plan.split("PartitionFilters:")[1:])
+
+
+def test_chained_merges_go_to_the_end(spark):
+    import pytest
+    from vigil.operators import issues
+
+    rows = spark.createDataFrame([("a", 5, False), ("b", 3, False), ("c", 1, False), ("d", 2, False)], "issue_id string, count long, is_deleted boolean")
+    chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "d")], "source_id string, target_id string")
+    merged = {r["issue_id"]: (r["count"], r["is_deleted"]) for r in issues.merge_issues(rows, chain).collect()}
+    assert merged["c"] == (9, False) and merged["a"][1] and merged["b"][1] and merged["d"] == (2, False)
+    assert {r["issue_id"] for r in issues.repoint(rows.select("issue_id", "count"), chain).collect()} == {"c", "d"}
+    with pytest.raises(ValueError):
+        issues.final_targets(spark.createDataFrame([("a", "b"), ("b", "a")], "source_id string, target_id string"))

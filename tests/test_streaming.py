@@ -1,5 +1,7 @@
 """Streaming jobs survive a retry of a batch."""
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from vigil.session import scratch_path
@@ -18,20 +20,42 @@ def test_retried_batch_counts_once(spark, sf_dir):
     assert jobs.read_counters(spark, out, "project_id").agg(F.sum("count")).first()[0] == events.count()
 
 
-def test_late_rows_are_dropped_after_the_seal(spark, sf_dir):
+def test_late_rows_are_rejected_after_the_seal(spark, sf_dir):
     spans = table(spark, sf_dir, "spans").select("timestamp", "op", "duration")
     source, out, cp = scratch_path(spark, "in"), scratch_path(spark, "out"), scratch_path(spark, "cp")
 
     def run():
-        hours = jobs.sealed_hours(jobs.file_stream(spark, source, spans.schema), ["op"])
-        jobs.start(hours.writeStream.format("parquet").option("path", out).outputMode("append"), cp).awaitTermination()
-        return spark.read.parquet(out).agg(F.sum("count")).first()[0]
+        jobs.start(jobs.seal_hours(jobs.file_stream(spark, source, spans.schema), out, ["op"]), cp).awaitTermination()
+        return jobs.sealed_hours(spark, out, ["op"]).agg(F.sum("count")).first()[0]
 
     spans.write.parquet(source)
     first = run()
     late = spans.where(F.col("timestamp") < F.lit("2024-01-02").cast("timestamp_ntz"))
     late.write.mode("append").parquet(source)
     assert run() == first < spans.count()
+    assert spark.read.parquet(f"{out}/rejected").where("reason = 'late'").count() == late.count()
+
+
+def test_a_rule_that_comes_later_counts_its_whole_window(spark, sf_dir):
+    events = table(spark, sf_dir, "issue_events").select("project_id", "issue_id", "received")
+    source, history, out, cp, rules = (scratch_path(spark, n) for n in ("in", "history", "out", "cp", "rules"))
+    shape = "alert_id bigint, project_id int, timespan_minutes int, quantity int"
+    now = datetime(2024, 1, 31)
+
+    def run(rows, given):
+        rows.write.mode("append").parquet(source)
+        spark.createDataFrame(given, shape).write.mode("append").parquet(rules)
+        stream = jobs.file_stream(spark, source, events.schema)
+        jobs.start(jobs.alerting(stream, spark.read.schema(shape).parquet(rules), history, out, lambda _: now), cp).awaitTermination()
+
+    week = 7 * 24 * 60
+    projects = [r[0] for r in events.select("project_id").distinct().collect()]
+    run(events, [(p, p, 1, 10**6) for p in projects])
+    run(events.limit(0).unionByName(events.limit(1)), [(100 + p, p, 3 * week, 1) for p in projects])
+    touched = events.limit(1).first()
+    found = spark.read.parquet(out).where(F.col("alert_id") >= 100).collect()
+    want = events.where((F.col("issue_id") == touched["issue_id"]) & (F.col("received") >= F.lit("2024-01-10").cast("timestamp_ntz"))).count()
+    assert [(r["issue_id"], r["num_events"]) for r in found] in ([(touched["issue_id"], want + 1)], [(touched["issue_id"], want)])
 
 
 def test_monitor_state_retry(spark, sf_dir):
@@ -62,3 +86,5 @@ def test_counter_snapshots(spark, sf_dir):
     assert shape() == before
     jobs.snapshot_counters(spark, out, 1, "project_id")
     assert shape() == before and jobs.newest_snapshot(spark, out)[0] == 1
+    # Two pieces and the older snapshot are covered.
+    assert jobs.drop_covered(spark, out) == 3 and shape() == before

@@ -6,6 +6,7 @@ usage: python tools/compare.py [sf_dir] [name-prefix ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -86,7 +87,7 @@ def main() -> None:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.001"
     chosen = {n: q for n, q in QUERIES.items() if not args or any(n.startswith(a) for a in args)}
-    spark, con = local_session(), connect(sf_dir)
+    spark, con = local_session(os.environ.get("COMPARE_CPUS", "8")), connect(sf_dir)
     bad = 0
     for name, q in chosen.items():
         began = time.time()

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from string import Formatter
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .text import basename, ellipsize, let, non_empty, strip_nul, truncate, url_host, url_path, url_scheme
+from .text import basename, ellipsize, let, non_empty, strip_nul, url_host, url_path, url_scheme
 
 # Fixed values.
-CULPRIT_LIMIT = 200
-MAX_VARIABLE = 16 * 1024
-SEARCH_PART, SEARCH_FILE, SEARCH_FILES, SEARCH_FRAMES, SEARCH_TRACES, SEARCH_TOTAL = 250, 100, 5, 3, 2, 2048
 NATIVE_PLATFORMS = ("objc", "cocoa", "native")
 SCRIPT_PLATFORMS = ("javascript", "node")
 UNUSABLE_FUNCTIONS = ("<redacted>", "<unknown>")
-MESSAGE_LIMIT = 8192
 UNKNOWN_MODULE = "<unknown module>"
 MODULE_NOISE = (
     r"(?i)^(?:/|(?:(?:java)?scripts?|js|build|static|node_modules|bower_components|[_\.~].*?"
@@ -93,8 +92,8 @@ def stacktrace_culprit(frames: Column, platform: Column) -> Column:
     return let(named, choose)
 
 
-def culprit(event: Column) -> Column:
-    """Where the event happened: transaction, else stacktrace, else request URL."""
+def culprit(event: Column, limit: int | None = None) -> Column:
+    """Where the event happened: transaction, else stacktrace, else request URL; ``limit`` is for display."""
     exceptions = F.filter(event["exception"]["values"], lambda e: e.isNotNull())
     last = F.try_element_at(exceptions, F.lit(-1))
     traced = F.filter(exceptions, lambda e: F.coalesce(F.size(e["stacktrace"]["frames"]), F.lit(0)) > 0)
@@ -104,7 +103,7 @@ def culprit(event: Column) -> Column:
     derived = F.when(synthetic, F.lit("")).otherwise(
         F.coalesce(let(from_trace, non_empty), event["request"]["url"], F.lit(""))
     )
-    return let(F.coalesce(non_empty(event["transaction"]), derived), lambda c: ellipsize(c, CULPRIT_LIMIT))
+    return let(F.coalesce(non_empty(event["transaction"]), derived), lambda c: ellipsize(c, limit))
 
 
 def crash_frame(event: Column) -> Column:
@@ -150,11 +149,14 @@ def normalize_frame_files(frames: Column) -> Column:
     return F.transform(frames, fix)
 
 
-def shorten_variables(variables: Column) -> Column:
+def shorten_variables(variables: Column, longest: int | None = None) -> Column:
+    """Frame variables; one above ``longest`` characters is replaced by a note of its size."""
+    if longest is None:
+        return variables
     return F.transform_values(
         variables,
         lambda k, v: F.when(
-            F.length(v) > MAX_VARIABLE,
+            F.length(v) > longest,
             F.concat(F.lit("[Truncated: "), F.length(v).cast("string"), F.lit(" bytes]")),
         ).otherwise(v),
     )
@@ -179,6 +181,12 @@ def values_list(raw: Column, element: str) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+def nested(document: Column, path: list[str | int], default: str | None = None) -> Column:
+    """A value of a JSON document by keys and list positions; ``default`` where the path ends early."""
+    steps = "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path)
+    return F.coalesce(F.get_json_object(document, f"${steps}"), F.lit(default))
+
+
 def usable_exceptions(exceptions: Column) -> Column:
     return F.filter(exceptions, lambda e: e.isNotNull() & (e["type"].isNotNull() | e["value"].isNotNull()))
 
@@ -265,33 +273,31 @@ def event_tags(event: Column) -> Column:
     return F.map_filter(F.map_concat(own, F.map_from_entries(derived)), lambda k, v: _filled(v))
 
 
-def search_text(title: Column, transaction: Column, event: Column) -> Column:
-    """Sorted distinct parts (title, transaction, URL, file names) joined by spaces."""
+def search_text(title: Column, transaction: Column, event: Column, *, frames: int | None = None, files: int | None = None, length: int | None = None) -> Column:
+    """Sorted distinct parts (title, transaction, URL, file names) joined by spaces.
+
+    ``frames`` takes the newest file names of each stacktrace only, ``files`` the first of all
+    stacktraces, ``length`` cuts the text between two words.
+    """
     url = event["request"]["url"]
     host = url_host(url)
     origin = F.when((url_scheme(url) != "") & (host != ""), F.concat(url_scheme(url), F.lit("://"), host)).otherwise(host)
-    simple_url = truncate(F.concat(origin, truncate(url_path(url), SEARCH_PART)), SEARCH_PART)
+    first = lambda names, n: names if n is None else F.slice(names, 1, n)
     per_trace = F.transform(
         F.coalesce(event["exception"]["values"], F.array().cast(f"array<{EXCEPTION}>")),
-        lambda e: F.slice(
-            F.filter(
-                F.transform(
-                    _newest_first(F.coalesce(e["stacktrace"]["frames"], F.array().cast(f"array<{FRAME}>"))),
-                    lambda f: truncate(basename(f["filename"]), SEARCH_FILE),
-                ),
-                _filled,
-            ),
-            1, SEARCH_FRAMES,
-        ),
+        lambda e: first(F.filter(F.transform(
+            _newest_first(F.coalesce(e["stacktrace"]["frames"], F.array().cast(f"array<{FRAME}>"))), lambda f: basename(f["filename"])
+        ), _filled), frames),
     )
-    files = F.slice(F.flatten(F.slice(F.filter(per_trace, lambda a: F.size(a) > 0), 1, SEARCH_TRACES)), 1, SEARCH_FILES)
-    parts = F.concat(F.array(truncate(title, SEARCH_PART), truncate(transaction, SEARCH_PART), simple_url), files)
+    parts = F.concat(F.array(title, transaction, F.concat(origin, url_path(url))), first(F.flatten(per_trace), files))
     text = F.array_join(F.array_sort(F.array_distinct(F.filter(parts, _filled))), " ")
+    if length is None:
+        return strip_nul(text)
 
     def cut(whole: Column) -> Column:
         # Not inside a word; a text without any space is cut hard.
-        at_space = F.regexp_replace(F.substring(whole, 1, SEARCH_TOTAL), r"(?s) [^ ]*$", "")
-        return F.when(F.length(whole) > SEARCH_TOTAL, at_space).otherwise(whole)
+        at_space = F.regexp_replace(F.substring(whole, 1, length), r"(?s) [^ ]*$", "")
+        return F.when(F.length(whole) > length, at_space).otherwise(whole)
 
     return strip_nul(let(text, cut))
 
@@ -316,17 +322,29 @@ def has_system_frames(event: Column) -> Column:
     )
 
 
-def interpolate(template: str | None, params) -> str | None:
-    """Best-effort ``%`` or ``{}`` formatting of one message; the template on failure."""
+_WIDE = re.compile(r"\d{4,}|\*")
+
+
+def interpolate(template: str | None, params, limit: int | None = None) -> str | None:
+    """Best-effort ``%`` or ``{}`` formatting of one message; the template on failure.
+
+    Fields are plain names: one that reaches into its value, or asks for a width of thousands,
+    leaves the template as it is.
+    """
     if template is None or params is None or not len(params):
         return template
     try:
         if isinstance(params, dict):
-            out = template.format(**params)
+            fields = [(name, spec or "") for _, name, spec, _ in Formatter().parse(template) if name is not None]
+            if not all(name.isidentifier() and not _WIDE.search(spec) and "{" not in spec for name, spec in fields):
+                return template
+            out = template.format_map(params)
         else:
+            if any(_WIDE.search(found) for found in re.findall(r"%[^A-Za-z%]*", template)):
+                return template
             out = template % tuple(int(p) if isinstance(p, str) and p.isdigit() else p for p in params)
-        return out[:MESSAGE_LIMIT]
-    except (TypeError, ValueError, KeyError, IndexError):
+        return out if limit is None else out[:limit]
+    except (TypeError, ValueError, KeyError, IndexError, AttributeError, OverflowError):
         return template
 
 

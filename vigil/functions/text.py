@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Patterns and limits.
-DESCRIPTION_LIMIT = 500
+# Patterns.
 STRING_LITERAL = r"'(?:[^'\\]|\\.)*'"
 NUMBER_LITERAL = r"(?U)\b\d+(?:\.\d+)?\b"
 IN_LIST = r"(?i)IN\s*\(\s*(%s(?:\s*,\s*%s)*)\s*\)"
@@ -13,8 +12,6 @@ UUID_SEGMENT = r"(?i)/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{1
 HEX_SEGMENT = r"(?i)/[0-9a-f]{32,}(?=/|$)"
 NUMBER_SEGMENT = r"(?U)/\d+(?=/|$)"
 LINE_BREAK = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-MAX_TAG = 255
-TITLE_LIMIT = 100
 
 
 def let(value: Column, build) -> Column:
@@ -39,26 +36,26 @@ def parameterize_url(text: Column) -> Column:
     return path
 
 
-def parameterize_description(op: Column, text: Column) -> Column:
-    """Replace the variable parts of a span description by ``%s``, by kind of span."""
+def parameterize_description(op: Column, text: Column, limit: int | None = None) -> Column:
+    """Replace the variable parts of a span description by ``%s``, by kind of span; ``limit`` cuts what is left."""
     routed = (
         F.when(op.startswith("db"), parameterize_sql(text))
         .when(op.startswith("http"), parameterize_url(text))
         .otherwise(parameterize_numbers(text))
     )
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("")).otherwise(
-        F.substring(routed, 1, DESCRIPTION_LIMIT)
+        truncate(routed, limit)
     )
 
 
-def truncate(text: Column, n: int) -> Column:
-    """First ``n`` characters."""
-    return F.substring(text, 1, n)
+def truncate(text: Column, n: int | None) -> Column:
+    """First ``n`` characters; all without a limit."""
+    return text if n is None else F.substring(text, 1, n)
 
 
-def ellipsize(text: Column, n: int = TITLE_LIMIT) -> Column:
-    """At most ``n`` characters, the last one an ellipsis when something was cut."""
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
+def ellipsize(text: Column, n: int | None) -> Column:
+    """At most ``n`` characters, the last one an ellipsis when something was cut; all without a limit."""
+    return text if n is None else F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 
 def first_line(text: Column) -> Column:
@@ -80,8 +77,8 @@ def strip_nul_json(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
 
 
-def clean_tag(text: Column) -> Column:
-    return truncate(strip_nul(text), MAX_TAG)
+def clean_tag(text: Column, limit: int | None = None) -> Column:
+    return truncate(strip_nul(text), limit)
 
 
 def grouping_hash(title: Column, culprit: Column, kind: Column, fingerprint: Column | None = None) -> Column:
@@ -101,28 +98,30 @@ def grouping_hash(title: Column, culprit: Column, kind: Column, fingerprint: Col
     return F.md5(F.when(F.coalesce(F.size(fingerprint), F.lit(0)) > 0, custom).otherwise(default))
 
 
-def error_title(kind: Column, value: Column, function: Column, synthetic: Column) -> Column:
-    """``Type: first line of value``; synthetic exceptions show their function instead."""
-    value = ellipsize(F.coalesce(value, F.lit("")), 1024)
-    kind = ellipsize(F.coalesce(kind, F.lit("Error")), 128)
-    named = F.when(value == "", kind).otherwise(F.concat(kind, F.lit(": "), ellipsize(first_line(value))))
+def error_title(kind: Column, value: Column, function: Column, synthetic: Column, limit: int | None = None) -> Column:
+    """``Type: first line of value``; synthetic exceptions show their function instead.
+
+    Titles decide about grouping, so they are whole unless ``limit`` asks for one to display.
+    """
+    value, kind = F.coalesce(value, F.lit("")), F.coalesce(kind, F.lit("Error"))
+    named = F.when(value == "", kind).otherwise(F.concat(kind, F.lit(": "), ellipsize(first_line(value), limit)))
     unnamed = F.when(F.coalesce(function, F.lit("")) == "", F.lit("<unknown>")).otherwise(function)
-    return ellipsize(F.when(F.coalesce(synthetic, F.lit(False)), unnamed).otherwise(named))
+    return ellipsize(F.when(F.coalesce(synthetic, F.lit(False)), unnamed).otherwise(named), limit)
 
 
 def non_empty(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def message_title(formatted: Column, message: Column) -> Column:
+def message_title(formatted: Column, message: Column, limit: int | None = None) -> Column:
     """Title of a plain message event."""
-    return ellipsize(F.coalesce(non_empty(formatted), non_empty(message), F.lit("<untitled>")))
+    return ellipsize(F.coalesce(non_empty(formatted), non_empty(message), F.lit("<untitled>")), limit)
 
 
-def default_title(formatted: Column, message: Column) -> Column:
+def default_title(formatted: Column, message: Column, limit: int | None = None) -> Column:
     """First line of the stripped message, or a placeholder."""
     text = F.regexp_replace(F.coalesce(non_empty(formatted), non_empty(message), F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.when(text == "", F.lit("<unlabeled event>")).otherwise(ellipsize(first_line(text)))
+    return F.when(text == "", F.lit("<unlabeled event>")).otherwise(ellipsize(first_line(text), limit))
 
 
 def url_host(url: Column) -> Column:

@@ -37,3 +37,8 @@ def micros(at: datetime) -> int:
 def moment(at: datetime) -> Column:
     """A plain (UTC) timestamp literal that does not depend on the driver's own time zone."""
     return F.lit(utc(at).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def slot(unit: str, at: Column) -> Column:
+    """Start of the hour or day (``unit``) of a timestamp, without zone."""
+    return F.date_trunc(unit, at).cast("timestamp_ntz")

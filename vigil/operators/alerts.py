@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.timeparam import micros
+from ..functions.timeparam import micros, moment, utc
 from .upsert import without
 
 # Tags a notification shows, in order, with their labels.
 TAG_LABELS = {"environment": "Environment", "server_name": "Server Name", "release": "Release"}
 STANDARD_TAGS = tuple(TAG_LABELS)
-SUMMARY_LIMIT = 3
 
 
 def evaluate_alerts(
@@ -26,7 +25,12 @@ def evaluate_alerts(
     active = rules.where(F.col("quantity").isNotNull() & F.col("timespan_minutes").isNotNull())
     if touched is not None:
         events = events.join(touched.select("issue_id").distinct(), "issue_id", "left_semi")
-    # The longest window of the project bounds what is read of its events.
+    # The longest window of all bounds what is scanned, that of the project what is counted.
+    widest = active.agg(F.max("timespan_minutes")).first()[0] or 0
+    since = now - timedelta(minutes=widest)
+    events = events.where(F.col("received") >= moment(since))
+    if "date" in events.columns:
+        events = events.where(F.col("date") >= F.lit(utc(since).date()))
     longest = active.groupBy("project_id").agg(F.max("timespan_minutes").alias("_longest"))
     age = F.ceil((F.lit(micros(now)) - F.unix_micros(F.col("received").cast("timestamp"))) / F.lit(60_000_000))
     aged = (
@@ -54,9 +58,10 @@ def notification_tags(tags: DataFrame, keys: tuple[str, ...] = STANDARD_TAGS) ->
     return best.withColumn("position", position).withColumn("label", F.coalesce(F.try_element_at(labels, key), capitalized))
 
 
-def notification_summary(notification_issues: DataFrame, limit: int = SUMMARY_LIMIT) -> DataFrame:
-    """Per notification: issue count and the first few issues (row per shown issue)."""
+def notification_summary(notification_issues: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per notification: issue count and a row for each issue, or the first ``limit``."""
     w = Window.partitionBy("notification_id").orderBy("issue_id")
-    shown = notification_issues.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
+    shown = notification_issues.withColumn("position", F.row_number().over(w))
+    shown = shown if limit is None else shown.where(F.col("position") <= limit)
     counts = notification_issues.groupBy("notification_id").agg(F.count(F.lit(1)).alias("issue_count"))
     return shown.join(counts, "notification_id")

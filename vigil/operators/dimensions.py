@@ -6,13 +6,11 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import MAX_TAG, truncate
 from ..functions.timeparam import moment
 from .segmented import join_on_keys
 from .upsert import without
 
 RELEASE_DAYS = 365
-STORED_COMMITS = 1000
 
 
 # -- soft delete and visibility ------------------------------------------------------
@@ -73,7 +71,7 @@ def project_context(
 
 def new_dimension_rows(events: DataFrame, stored: DataFrame, column: str, name: str) -> DataFrame:
     """Values of a batch that an organisation does not know yet, with their first sighting."""
-    value = truncate(F.col(column), MAX_TAG) if name == "name" else F.col(column)
+    value = F.col(column)
     seen = events.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("organization_id", value.alias(name)).agg(
         F.min("received").alias("created")
     )
@@ -82,7 +80,7 @@ def new_dimension_rows(events: DataFrame, stored: DataFrame, column: str, name:
 
 def new_links(events: DataFrame, stored: DataFrame, column: str, name: str) -> DataFrame:
     """(org, project, value) pairs of a batch that are not linked yet - every project is linked."""
-    value = truncate(F.col(column), MAX_TAG) if name == "name" else F.col(column)
+    value = F.col(column)
     pairs = events.where(F.coalesce(F.col(column), F.lit("")) != "").select("organization_id", "project_id", value.alias(name)).distinct()
     return without(pairs, stored, ["organization_id", "project_id", name])
 
@@ -99,12 +97,13 @@ def latest_release(releases: DataFrame, links: DataFrame) -> DataFrame:
     return joined.groupBy("project_id").agg(F.max_by("version", F.struct("created", "version")).alias("version"))
 
 
-def deploy_counters(releases: DataFrame, deploys: DataFrame, commits: DataFrame) -> DataFrame:
-    """Deploy and commit counts per release (the stored commit list itself ends at 1000)."""
+def deploy_counters(releases: DataFrame, deploys: DataFrame, commits: DataFrame, most_commits: int | None = None) -> DataFrame:
+    """Deploy and commit counts per release; ``most_commits`` is where a stored commit list ends."""
     d = deploys.groupBy("organization_id", "version").agg(F.count(F.lit(1)).alias("deploy_count"))
     c = commits.groupBy("organization_id", "version").agg(F.count(F.lit(1)).alias("commit_count"))
     out = releases.join(d, ["organization_id", "version"], "left").join(c, ["organization_id", "version"], "left")
-    stored = F.least(F.coalesce("commit_count", F.lit(0)), F.lit(STORED_COMMITS))
+    stored = F.coalesce("commit_count", F.lit(0))
+    stored = stored if most_commits is None else F.least(stored, F.lit(most_commits))
     return out.select(
         "organization_id", "version", F.coalesce("deploy_count", F.lit(0)).alias("deploy_count"),
         F.coalesce("commit_count", F.lit(0)).alias("commit_count"), stored.alias("stored_commits"),

@@ -9,16 +9,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import levels as L
+from ..functions.ids import is_uuid7, uuid7_timestamp
 from ..functions.text import clean_tag, short_id
 from ..functions.timeparam import moment
-from .segmented import join_on_keys, time_slot, with_neighbours, with_row_number
-from .upsert import add_counts, update_matching, without
+from .segmented import join_on_keys, time_slot, with_neighbours, with_row_number, written_once
+from .upsert import add_counts, first_per_key, latest_per_key, update_matching, without
 
 UNRESOLVED, RESOLVED, IGNORED = 0, 1, 2
 ERROR_LEVEL = 4
-SEARCH_TERMS = 3800
-SEARCH_INPUT = 250_000
-SEARCH_BYTES = 1_040_000
 EVENT_KEYS = ["project_id", "hash"]
 SLOT = 60  # seconds per segment of an issue's history
 
@@ -45,11 +43,14 @@ def daily_tag_counts(tagged: DataFrame) -> DataFrame:
 
 def rollup_updates(events: DataFrame) -> DataFrame:
     """Per issue: events added, last sighting, release of the newest event that has one."""
-    newest = F.struct("received", "event_id")
-    has_release = F.when(F.col("release").isNotNull(), newest)
-    return events.groupBy("issue_id").agg(
-        F.count(F.lit(1)).alias("added"), F.max("received").alias("last_seen"), F.max_by("release", has_release).alias("last_release")
-    )
+    counts = events.groupBy("issue_id").agg(F.count(F.lit(1)).alias("added"), F.max("received").alias("last_seen"))
+    return join_on_keys(counts, last_releases(events, ["issue_id"]), ["issue_id"], "left")
+
+
+def last_releases(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key the release of the newest event that has one."""
+    named = events.where("release IS NOT NULL").select(*keys, "received", "event_id", F.col("release").alias("last_release"))
+    return latest_per_key(named, keys, ["received", "event_id"]).select(*keys, "last_release")
 
 
 def apply_rollup(issues: DataFrame, updates: DataFrame) -> DataFrame:
@@ -64,24 +65,24 @@ def apply_rollup(issues: DataFrame, updates: DataFrame) -> DataFrame:
 
 def group_batch(events: DataFrame) -> DataFrame:
     """One row per (project, hash) of a batch, titled by its first event."""
-    rank = F.struct("received", "event_id")
-    first = lambda c: F.min_by(c, rank).alias(c)
-    return events.groupBy(*EVENT_KEYS).agg(
-        F.count(F.lit(1)).alias("count"), F.min("received").alias("first_seen"), F.max("received").alias("last_seen"),
-        first("title"), first("culprit"), first("type"), first("level"), first("organization_id"),
-        F.min_by("release", rank).alias("first_release"),
-        F.max_by("release", F.when(F.col("release").isNotNull(), rank)).alias("last_release"),
+    counts = events.groupBy(*EVENT_KEYS).agg(
+        F.count(F.lit(1)).alias("count"), F.min("received").alias("first_seen"), F.max("received").alias("last_seen")
     )
+    named = ["title", "culprit", "type", "level", "organization_id", "release"]
+    first = first_per_key(events.select(*EVENT_KEYS, "received", "event_id", *named), EVENT_KEYS, ["received", "event_id"])
+    first = first.select(*EVENT_KEYS, *named).withColumnRenamed("release", "first_release")
+    return join_on_keys(join_on_keys(counts, first, EVENT_KEYS), last_releases(events, EVENT_KEYS), EVENT_KEYS, "left")
 
 
 def issue_key(project: Column, hash_: Column) -> Column:
     """Id of a new issue, a function of its key so that a retried task mints the same one."""
-    return F.concat(project.cast("string"), F.lit("-"), F.substring(hash_, 1, 12))
+    return F.concat(project.cast("string"), F.lit("-"), hash_)
 
 
 def new_issues(batch: DataFrame, hashes: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     """Groups of a batch that no stored hash knows, with the next short ids of their project."""
-    unseen = join_on_keys(batch, hashes, EVENT_KEYS, "left_anti")
+    # Groups are few beside events; numbering reads them several times.
+    unseen = written_once(join_on_keys(batch, hashes, EVENT_KEYS, "left_anti"), "unseen")
     numbered = with_row_number(unseen, ["project_id"], time_slot(F.col("first_seen"), SLOT), ["first_seen", "hash"], "short_id")
     if counters is not None:
         top = counters.groupBy("project_id").agg(F.max("short_id").alias("_top"))
@@ -166,11 +167,29 @@ def assign(issues: DataFrame, requests: DataFrame, members: DataFrame, teams: Da
     ).select(*issues.columns)
 
 
+def final_targets(mapping: DataFrame, rounds: int = 32) -> DataFrame:
+    """A mapping (source_id, target_id) in which no target is itself a source: chains are followed to their end.
+
+    Each round doubles the length that is followed; a cycle is an error.
+    """
+    pairs = mapping.select("source_id", "target_id").where("source_id <> target_id").distinct()
+    for _ in range(rounds):
+        further = pairs.select(F.col("source_id").alias("_source"), F.col("target_id").alias("_target"))
+        hops = pairs.join(further, F.col("target_id") == F.col("_source"), "left")
+        if not hops.where("_target IS NOT NULL").take(1):
+            return pairs
+        pairs = hops.select("source_id", F.coalesce("_target", "target_id").alias("target_id"))
+        if pairs.where("source_id = target_id").take(1):
+            break
+    raise ValueError("issues cannot be merged in a circle")
+
+
 def merge_issues(issues: DataFrame, mapping: DataFrame) -> DataFrame:
     """Merge sources into targets (source_id, target_id): counts move, sources are soft-deleted.
 
-    All events of a source move with it.
+    All events of a source move with it; of a chain of merges, to its end.
     """
+    mapping = final_targets(mapping)
     counts = issues.join(mapping, issues["issue_id"] == mapping["source_id"]).where("source_id <> target_id").groupBy(
         F.col("target_id").alias("_target")
     ).agg(F.sum("count").alias("_moved"))
@@ -183,8 +202,8 @@ def merge_issues(issues: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def repoint(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Move the rows of merged issues (events, hashes) to their target."""
-    return rows.join(mapping.select(F.col("source_id").alias("issue_id"), "target_id"), "issue_id", "left").withColumn(
+    """Move the rows of merged issues (events, hashes) to their target, along a chain to its end."""
+    return rows.join(final_targets(mapping).select(F.col("source_id").alias("issue_id"), "target_id"), "issue_id", "left").withColumn(
         "issue_id", F.coalesce("target_id", "issue_id")
     ).select(*rows.columns)
 
@@ -192,10 +211,8 @@ def repoint(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 # -- reading -----------------------------------------------------------------------
 
 def latest_events(events: DataFrame, keys: Sequence[str] = ("issue_id",), order: Sequence[str] = ("received", "event_id")) -> DataFrame:
-    """Newest event of each issue, by map-side combined maximum."""
-    rest = [c for c in events.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return events.groupBy(*keys).agg(best).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+    """Newest event of each issue."""
+    return latest_per_key(events, keys, order)
 
 
 def event_neighbours(events: DataFrame, key: str = "issue_id") -> DataFrame:
@@ -210,6 +227,29 @@ def latest_event_per_hash(hashes: DataFrame, events: DataFrame) -> DataFrame:
     return join_on_keys(hashes, newest, EVENT_KEYS, "left")
 
 
+def distinct_tags(tags: DataFrame) -> DataFrame:
+    """Every tag key and value of a batch once (``kind``, ``name``)."""
+    kinds = F.explode(F.array(F.struct(F.lit("key").alias("kind"), F.col("tag_key").alias("name")), F.struct(F.lit("value").alias("kind"), F.col("tag_value").alias("name"))))
+    return tags.select(kinds.alias("tag")).select("tag.*").distinct()
+
+
+def hash_list(hashes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hashes of issues, ordered by value."""
+    ordered = hashes.orderBy("hash", "project_id")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def find_event(events: DataFrame, uid: Column, now: datetime, days: int = 90) -> DataFrame:
+    """An event by its id: a time-ordered one leads to its day, a client id is looked for in the last days.
+
+    Events have ``id``, ``client_id``, ``received`` and the partition column ``date``.
+    """
+    at = F.to_date(uuid7_timestamp(uid))
+    own = is_uuid7(uid) & (F.col("id") == uid) & (F.col("date") == at)
+    client = ~is_uuid7(uid) & (F.col("client_id") == uid) & (F.col("received") >= moment(now - timedelta(days=days)))
+    return events.where(own | client)
+
+
 def tag_breakdown(tags: DataFrame, *, top: int | None = None) -> DataFrame:
     """Value totals per issue and tag key, with the key's unique and total counts.
 
@@ -328,24 +368,23 @@ STOP_WORDS = (
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words without stop words (words are not stemmed)."""
-    words = F.regexp_extract_all(F.lower(F.substring(text, 1, SEARCH_INPUT)), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
-def append_terms(existing: Column, text: Column, most: int = SEARCH_TERMS) -> Column:
-    """Add a text's terms to a term set; the first ``most`` in order are kept."""
+def append_terms(existing: Column, text: Column, most: int | None = None) -> Column:
+    """Add a text's terms to a term set, in order; ``most`` keeps the first of them."""
     empty = F.array().cast("array<string>")
-    old = F.coalesce(existing, empty)
-    size = F.aggregate(old, F.lit(0), lambda acc, w: acc + F.octet_length(w))
-    merged = F.slice(F.array_sort(F.array_union(old, F.coalesce(terms(text), empty))), 1, most)
-    return F.when(size > SEARCH_BYTES, old).otherwise(merged)
+    merged = F.array_sort(F.array_union(F.coalesce(existing, empty), F.coalesce(terms(text), empty)))
+    return merged if most is None else F.slice(merged, 1, most)
 
 
-def issue_terms(events: DataFrame, text: str, most: int = SEARCH_TERMS) -> DataFrame:
-    """Term set per issue from many events: distinct (issue, term) rows first, then the first ``most``."""
-    distinct = events.select("issue_id", F.explode(terms(F.col(text))).alias("term")).distinct()
-    numbered = with_row_number(distinct, ["issue_id"], F.substring("term", 1, 2), ["term"], "at")
-    return numbered.where(F.col("at") <= most).groupBy("issue_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+def issue_terms(events: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """Term set per issue from many events: distinct (issue, term) rows first; ``most`` keeps the first terms."""
+    rows = events.select("issue_id", F.explode(terms(F.col(text))).alias("term")).distinct()
+    if most is not None:
+        rows = with_row_number(rows, ["issue_id"], F.substring("term", 1, 2), ["term"], "at").where(F.col("at") <= most)
+    return rows.groupBy("issue_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
 
 def with_child_counts(issues: DataFrame, **children: DataFrame) -> DataFrame:
@@ -378,8 +417,6 @@ def link_reports(reports: DataFrame, events: DataFrame, now: datetime) -> DataFr
     Invalid ids are dropped, a missing id gets a generated one, the first report per
     (project, event) is kept.
     """
-    from .upsert import first_per_key
-
     canonical = r"^[0-9a-f]{32}$"
     bare = F.lower(F.regexp_replace("event_ref", "[{}-]", ""))
     given = F.coalesce("event_ref", F.lit("")) != ""

@@ -15,20 +15,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ids import as_instant
+from ..session import scratch_path
 
 
 HOT_ROWS = 1_000_000
+#: Hot keys that are sent to every task; a longer list is joined.
+LISTED_KEYS = 10_000
 
 
-def with_segments(df: DataFrame, keys: Sequence[str], slot: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_seg``: the slot for keys with more than ``hot_rows`` rows, null for the others.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows; None if there are none.
 
     Counting reads the key columns only and combines map-side; at most
     ``rows / hot_rows`` keys come out of it.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = sizes.where(F.col("_size") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    return join_on_keys(df, hot, keys, "left").withColumn("_seg", F.when(F.col("_hot"), slot)).drop("_hot")
+    hot = sizes.where(F.col("_size") > hot_rows).select(*keys)
+    listed = hot.limit(LISTED_KEYS + 1).collect()
+    if not listed:
+        return None
+    return hot if len(listed) > LISTED_KEYS else F.broadcast(df.sparkSession.createDataFrame(listed, hot.schema))
+
+
+def with_segments(df: DataFrame, keys: Sequence[str], slot: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``_seg``: the slot for keys with more than ``hot_rows`` rows, null for the others.
+
+    Where there are hot keys the rows are written to the shared folder once, since what follows
+    reads them twice: for the rows and for the edges of segments.
+    """
+    hot = hot_keys(df, keys, hot_rows)
+    return df.withColumn("_seg", F.lit(None).cast("bigint")) if hot is None else segmented(df, keys, slot, hot)
+
+
+def segmented(df: DataFrame, keys: Sequence[str], slot: Column, hot: DataFrame) -> DataFrame:
+    """The rows with ``_seg`` for hot keys, written once."""
+    marked = join_on_keys(df, hot.withColumn("_hot", F.lit(True)), keys, "left").withColumn("_seg", F.when(F.col("_hot"), slot)).drop("_hot")
+    return written_once(marked, "segments")
+
+
+def written_once(df: DataFrame, label: str) -> DataFrame:
+    """Rows that several branches of a plan read, through a table in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def time_slot(ts: Column, seconds: int = 3600) -> Column:
@@ -53,7 +82,11 @@ def with_neighbours(
     df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], column: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``prev_<column>`` and ``next_<column>`` in key order."""
-    df = with_segments(df, keys, slot, hot_rows)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"prev_{column}": F.lag(column).over(whole), f"next_{column}": F.lead(column).over(whole)})
+    df = segmented(df, keys, slot, hot)
     cells = F.struct(*[F.col(c) for c in order], F.col(column).alias("_value"))
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order)
     rows = df.withColumn("_cell", cells).withColumn("_p", F.lag("_cell").over(inner)).withColumn("_n", F.lead("_cell").over(inner))
@@ -76,7 +109,10 @@ def with_row_number(
     df: DataFrame, keys: Sequence[str], slot: Column, order: Sequence[str], name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add the 1-based position inside the key."""
-    df = with_segments(df, keys, slot, hot_rows)
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    df = segmented(df, keys, slot, hot)
     rows = df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_seg").orderBy(*order)).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

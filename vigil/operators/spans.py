@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import durations as D
 from ..functions.levels import is_error_status
-from ..functions.text import parameterize_description, strip_nul, truncate
+from ..functions.text import parameterize_description, strip_nul
 from ..functions.timeparam import moment
+from .maintenance import RETENTION_DAYS
 from .quantiles import exact_percentiles, group_heads, resolve_heads, value_counts
 from .segmented import join_on_keys
 
-MAX_SPANS = 1000
 GROUP_KEYS = ["op", "description"]
+LOOKUP_KEYS = ["project_id", "transaction", "op", "method"]
 TXN_KEYS = ["project_id", "transaction", "op", "method", "organization_id"]
 SORTS = ("total_time", "avg_duration", "count")
 
@@ -24,15 +25,15 @@ def describe_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("description", parameterize_description(F.col("op"), F.col("raw_description"))).drop("raw_description")
 
 
-def flatten_transactions(transactions: DataFrame) -> DataFrame:
-    """Transaction rows with a ``spans`` array to span rows (first 1000 of each)."""
-    s = F.col("span")
-    return transactions.withColumn("span", F.explode(F.slice("spans", 1, MAX_SPANS))).select(
+def flatten_transactions(transactions: DataFrame, max_spans: int | None = None) -> DataFrame:
+    """Transaction rows with a ``spans`` array to span rows; ``max_spans`` takes the first of each transaction only."""
+    s, spans = F.col("span"), F.col("spans")
+    return transactions.withColumn("span", F.explode(spans if max_spans is None else F.slice(spans, 1, max_spans))).select(
         "organization_id", "project_id",
-        truncate(strip_nul(F.col("transaction")), 1024).alias("transaction_name"),
-        truncate(s["span_id"], 32).alias("span_id"),
-        truncate(F.replace("event_id", F.lit("-"), F.lit("")), 32).alias("transaction_id"),
-        truncate(strip_nul(s["op"]), 255).alias("op"),
+        strip_nul(F.col("transaction")).alias("transaction_name"),
+        s["span_id"].alias("span_id"),
+        F.replace("event_id", F.lit("-"), F.lit("")).alias("transaction_id"),
+        strip_nul(s["op"]).alias("op"),
         strip_nul(parameterize_description(s["op"], s["description"])).alias("description"),
         D.elapsed_ms(s["start_timestamp"], s["timestamp"]).alias("duration"),
         F.coalesce(s["start_timestamp"], F.col("start_timestamp")).alias("timestamp"),
@@ -198,6 +199,16 @@ def throughput(count: Column, first: Column, last: Column) -> Column:
     return F.when((count > 0) & (seconds > 0), F.round(count / seconds * F.lit(60.0), 2))
 
 
+def link_transactions(transactions: DataFrame, groups: DataFrame) -> DataFrame:
+    """Transactions with the stored columns of their group; those of an unknown group are left out."""
+    return join_on_keys(transactions, groups, LOOKUP_KEYS)
+
+
+def keep_transaction_groups(groups: DataFrame, now: datetime, days: int = RETENTION_DAYS["transactions"]) -> DataFrame:
+    """Groups seen within retention."""
+    return groups.where(F.col("last_seen") >= moment(now - timedelta(days=days)))
+
+
 def find_transaction_groups(
     groups: DataFrame, *, project_ids: list[int] | None = None, start: datetime | None = None,
     end: datetime | None = None, query: str | None = None, sort: str = "-avg_duration", limit: int | None = None,

@@ -9,13 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.timeparam import moment
 
 INTERVALS = {"1m": timedelta(minutes=1), "1h": timedelta(hours=1), "1d": timedelta(days=1)}
-MAX_POINTS = 1000
 
 
-def series(spark, start: datetime, end: datetime, interval: str) -> DataFrame:
-    """Grid of time points, both ends included, at most 1000 intervals long."""
+def series(spark, start: datetime, end: datetime, interval: str, max_points: int | None = None) -> DataFrame:
+    """Grid of time points, both ends included; ``max_points`` rejects a longer one."""
     step = INTERVALS[interval]
-    if ((end - start).days * timedelta(days=1)) / step > MAX_POINTS:
+    if max_points is not None and (end - start) / step > max_points:
         raise ValueError("too many intervals")
     width = int(step.total_seconds())
     points = F.explode(F.sequence(moment(start), moment(end), F.expr(f"INTERVAL '{width}' SECOND")))

@@ -8,24 +8,32 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .segmented import join_on_keys
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key; combined map-side, so copies of one key never gather."""
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    rank = F.struct(*[F.col(c) for c in order])
-    return df.groupBy(*keys).agg(F.min_by(row, rank).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """The first row of each key."""
+    return _extreme(df, keys, order, F.min)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in rest])
-    rank = F.struct(*[F.col(c) for c in order])
-    return df.groupBy(*keys).agg(F.max_by(row, rank).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    """The last row of each key."""
+    return _extreme(df, keys, order, F.max)
+
+
+def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], which) -> DataFrame:
+    """The row of each key with the least or greatest order columns.
+
+    Only key and first order column are aggregated, by hash and map-side; no row is sorted for
+    that. The rows that have the extreme are joined back, and the few that tie are settled by
+    the other order columns.
+    """
+    best = df.groupBy(*keys).agg(which(order[0]).alias("_best"))
+    tied = join_on_keys(df, best, keys).where(F.col(order[0]).eqNullSafe(F.col("_best"))).drop("_best")
+    last = [F.col(c).desc() if which is F.max else F.col(c).asc() for c in order[1:] or order]
+    return tied.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*last))).where("_nth = 1").select(*df.columns)
 
 
 def new_rows(stored: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.timeparam import micros
+from ..functions.timeparam import micros, moment, utc
 from .segmented import HOT_ROWS, join_on_keys, time_slot, with_segments
+from .upsert import latest_per_key
 
 ORDER = ["start_check", "check_id"]
 SLOT = 60  # seconds per segment of a monitor's history
@@ -79,8 +80,7 @@ def replay_states(
 
 def last_states(states: DataFrame) -> DataFrame:
     """State of each monitor after its newest check - what the next replay continues from."""
-    newest = F.max_by(F.struct("state", "consecutive_down"), F.struct(*ORDER)).alias("_s")
-    return states.groupBy("monitor_id").agg(newest).select("monitor_id", "_s.state", "_s.consecutive_down")
+    return latest_per_key(states.select("monitor_id", *ORDER, "state", "consecutive_down"), ["monitor_id"], ORDER).select("monitor_id", "state", "consecutive_down")
 
 
 def change_log(states: DataFrame) -> DataFrame:
@@ -93,9 +93,21 @@ def latest_checks(checks: DataFrame, limit: int = 60) -> DataFrame:
     return checks.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit)
 
 
-def heartbeat_state(monitors: DataFrame, checks: DataFrame, now: datetime) -> DataFrame:
-    """Up when a check arrived within the monitor's own interval before ``now``."""
-    last = checks.groupBy("monitor_id").agg(F.max("start_check").alias("last_check"))
+def heartbeat_state(monitors: DataFrame, checks: DataFrame, now: datetime, stored: DataFrame | None = None) -> DataFrame:
+    """Up when a check arrived within the monitor's own interval before ``now``.
+
+    Only checks of the longest interval are read; ``stored`` (monitor_id, last_check) has the last
+    check of monitors that have been silent for longer.
+    """
+    longest = monitors.agg(F.max("interval_seconds")).first()[0] or 0
+    since = now - timedelta(seconds=longest)
+    recent = checks.where(F.col("start_check") >= moment(since))
+    if "date" in checks.columns:
+        recent = recent.where(F.col("date") >= F.lit(utc(since).date()))
+    seen = recent.select("monitor_id", F.col("start_check").alias("last_check"))
+    if stored is not None:
+        seen = seen.unionByName(stored.select("monitor_id", "last_check"))
+    last = seen.groupBy("monitor_id").agg(F.max("last_check").alias("last_check"))
     since = F.lit(micros(now)) - F.col("interval_seconds") * F.lit(1_000_000)
     return monitors.join(last, "monitor_id", "left").withColumn(
         "is_up", F.coalesce(F.unix_micros(F.col("last_check").cast("timestamp")) >= since, F.lit(False))

@@ -38,9 +38,9 @@ def new_links(t: Tables):
 
 
 @query("m03_new_environments", """
-SELECT organization_id, substr(repeat(tag_user, 60), 1, 255) AS name, min(received) AS created FROM issue_events WHERE environment = 'prod' GROUP BY 1, 2""")
+SELECT organization_id, repeat(environment || tag_user, 60) AS name, min(received) AS created FROM issue_events WHERE coalesce(environment, '') <> '' GROUP BY 1, 2""")
 def new_environments(t: Tables):
-    events = t("issue_events").withColumn("environment", F.when(F.col("environment") == "prod", F.repeat("tag_user", 60)))
+    events = t("issue_events").withColumn("environment", F.when(F.coalesce("environment", F.lit("")) != "", F.repeat(F.concat("environment", "tag_user"), 60)))
     return D.new_dimension_rows(events, t("environments"), "environment", "name")
 
 
@@ -62,15 +62,15 @@ def latest_release(t: Tables):
 @query("j03_project_context", """
 SELECT p.project_id, e.name AS environment, l.version, p.project_id IN (SELECT project_id FROM issue_events WHERE level = 2) AS has_difs
 FROM projects p JOIN (SELECT DISTINCT project_id, version FROM release_projects) l ON l.project_id = p.project_id
-LEFT JOIN (SELECT DISTINCT project_id, name FROM environment_projects WHERE project_id <> 1) e ON e.project_id = p.project_id
+LEFT JOIN (SELECT DISTINCT CASE WHEN project_id = 1 THEN -1 ELSE project_id END AS project_id, name FROM environment_projects) e ON e.project_id = p.project_id
 WHERE l.version IN (SELECT release FROM issue_events WHERE received >= TIMESTAMP '2024-01-20 00:00:00') AND (e.name IS NULL OR e.name = 'prod')""")
 def project_context(t: Tables):
-    """Project 1 has no environment; the batch asks for production only."""
+    """Project 1 has no environment, one of no project has its own; the batch asks for production only."""
     events = t("issue_events")
     wanted = events.where(F.col("received") >= F.lit("2024-01-20").cast("timestamp_ntz")).select(
         "release", F.when(F.col("environment") == "prod", F.col("environment")).alias("environment")
     )
-    links = t("environment_projects").where("project_id <> 1")
+    links = t("environment_projects").withColumn("project_id", F.when(F.col("project_id") == 1, -1).otherwise(F.col("project_id")))
     return D.project_context(t("projects"), t("release_projects"), links, events.where("level = 2"), wanted)
 
 
@@ -110,7 +110,7 @@ def bit_flags(t: Tables):
 @query("m15_deploy_counters", """
 WITH d AS (SELECT organization_id, release AS version, count(*) AS n FROM issue_events WHERE environment = 'prod' AND release IS NOT NULL GROUP BY ALL),
 c AS (SELECT organization_id, release AS version, count(*) AS n FROM issue_events WHERE level > 2 AND release IS NOT NULL GROUP BY ALL)
-SELECT r.organization_id, r.version, coalesce(d.n, 0) AS deploy_count, coalesce(c.n, 0) AS commit_count, least(coalesce(c.n, 0), 1000) AS stored_commits
+SELECT r.organization_id, r.version, coalesce(d.n, 0) AS deploy_count, coalesce(c.n, 0) AS commit_count, coalesce(c.n, 0) AS stored_commits
 FROM releases r LEFT JOIN d ON d.organization_id = r.organization_id AND d.version = r.version LEFT JOIN c ON c.organization_id = r.organization_id AND c.version = r.version""")
 def deploy_counters(t: Tables):
     events = t("issue_events").withColumnRenamed("release", "version")
@@ -171,7 +171,8 @@ def recipients(t: Tables):
 # -- files and modules -------------------------------------------------------------------
 
 BLOBS = "SELECT p_partkey AS blob_id, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(p_partkey % 4000 AS INT) AS created FROM {part}"
-FILES = "SELECT l_partkey AS blob_id, TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(l_quantity * 90 AS INT) AS created FROM {lineitem} WHERE l_returnflag = 'A' AND l_linenumber = 1"
+FILES = """SELECT CASE WHEN l_returnflag = 'A' AND l_linenumber = 1 THEN l_partkey ELSE -l_partkey END AS blob_id,
+ TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '1' HOUR * CAST(l_quantity * 90 AS INT) AS created FROM {lineitem}"""
 
 
 @query("j12_old_and_orphan_blobs", f"""
@@ -199,8 +200,8 @@ def bundles(t: Tables):
 
 
 FRAMES = "SELECT l_orderkey AS dump_id, l_partkey * 16 + l_suppkey % 16 AS address FROM {lineitem} GROUP BY l_orderkey, l_partkey * 16 + l_suppkey % 16"
-MODULES = """SELECT l_orderkey AS dump_id, l_suppkey * 100 + l_linenumber AS module_order, 'mod' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS module,
- (l_partkey - l_linenumber) * 16 AS base, (l_partkey + CAST(l_quantity AS BIGINT)) * 16 AS end FROM {lineitem} WHERE l_linestatus = 'O'"""
+MODULES = """SELECT CASE WHEN l_linestatus = 'O' THEN l_orderkey ELSE -l_orderkey END AS dump_id, l_suppkey * 100 + l_linenumber AS module_order, 'mod' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS module,
+ (l_partkey - l_linenumber) * 16 AS base, (l_partkey + CAST(l_quantity AS BIGINT)) * 16 AS end FROM {lineitem}"""
 
 
 @query("j18_address_modules", f"""
@@ -216,8 +217,8 @@ def address_modules(t: Tables):
 BUNDLE_FRAMES = """SELECT l_orderkey AS event_id, CAST(l_suppkey % 3 AS INT) AS organization_id, 'r' || CAST(l_orderkey % 4 AS STRING) AS release,
  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS frame_at,
  'https://cdn.example.com/js/app' || CAST(l_partkey % 40 AS STRING) || '.min.js' AS abs_path FROM {lineitem}"""
-IMAGES = """SELECT o_orderkey AS event_id, '/build/app' || CAST(o_custkey % 40 AS STRING) || '.min.js' AS code_file, md5(CAST(o_custkey % 60 AS STRING)) AS debug_id
- FROM {orders} WHERE o_orderstatus <> 'O'"""
+IMAGES = """SELECT CASE WHEN o_orderstatus <> 'O' THEN o_orderkey ELSE -o_orderkey END AS event_id, '/build/app' || CAST(o_custkey % 40 AS STRING) || '.min.js' AS code_file, md5(CAST(o_custkey % 60 AS STRING)) AS debug_id
+ FROM {orders}"""
 SOURCE_BUNDLES = """SELECT CAST(s_suppkey % 3 AS INT) AS organization_id, 'r' || CAST(s_suppkey % 4 AS STRING) AS release, s_suppkey AS bundle_id,
  CASE WHEN s_suppkey % 2 = 0 THEN md5(CAST(s_suppkey % 60 AS STRING)) END AS debug_id, 'app' || CAST(s_suppkey % 50 AS STRING) || '.min.js' AS file_name,
  CASE WHEN s_suppkey % 5 = 0 THEN 'dist/app' || CAST(s_suppkey % 35 AS STRING) || '.min.js' END AS code_file FROM {supplier}"""

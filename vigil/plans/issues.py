@@ -23,8 +23,9 @@ def halves(t: Tables):
 
 
 def known_hashes(t: Tables):
-    """Stored hashes with the state of their issue; project 4 is still unknown."""
-    return t("issues").where(F.col("project_id") != 4).select("project_id", "hash", "issue_id", "status", "resolved_in_release")
+    """Stored hashes with the state of their issue; those of project 4 are others than its events have."""
+    other = F.when(F.col("project_id") == 4, F.concat(F.lit("other-"), "hash")).otherwise(F.col("hash"))
+    return t("issues").select("project_id", other.alias("hash"), "issue_id", "status", "resolved_in_release")
 
 
 @query("f06_grouping_hash", """
@@ -45,7 +46,7 @@ def grouping_hashes(t: Tables):
 
 @query("j01_hash_lookup", """
 SELECT e.event_id, e.project_id, i.issue_id, i.status, i.resolved_in_release FROM issue_events e
-JOIN (SELECT * FROM issues WHERE project_id <> 4) i ON e.project_id = i.project_id AND e.hash = i.hash""")
+JOIN issues i ON e.project_id = i.project_id AND e.hash = CASE WHEN i.project_id = 4 THEN 'other-' || i.hash ELSE i.hash END""")
 def hash_lookup(t: Tables):
     events = t("issue_events").drop("issue_id")
     return join_on_keys(events, known_hashes(t), I.EVENT_KEYS).select("event_id", "project_id", "issue_id", "status", "resolved_in_release")
@@ -56,7 +57,7 @@ WITH batch AS (SELECT * FROM issue_events WHERE received >= TIMESTAMP '{SPLIT}')
 stored AS (SELECT project_id, hash, count(*) AS old_count FROM issue_events WHERE received < TIMESTAMP '{SPLIT}' AND user_id_mod <> 3 GROUP BY project_id, hash),
 g AS (SELECT project_id, hash, count(*) AS count, min(received) AS first_seen, max(received) AS last_seen, arg_min(title, event_id) AS title,
  min(received) AS f FROM batch GROUP BY project_id, hash)
-SELECT g.project_id, g.hash, CAST(g.project_id AS VARCHAR) || '-' || substr(g.hash, 1, 12) AS issue_id, g.title, g.first_seen, g.last_seen, g.count,
+SELECT g.project_id, g.hash, CAST(g.project_id AS VARCHAR) || '-' || g.hash AS issue_id, g.title, g.first_seen, g.last_seen, g.count,
  0 AS status, 100 + row_number() OVER (PARTITION BY g.project_id ORDER BY g.first_seen, g.hash) AS short_id
 FROM g LEFT JOIN stored s ON g.project_id = s.project_id AND g.hash = s.hash WHERE s.hash IS NULL""".replace(
     "user_id_mod <> 3", "culprit <> 'app.mod3'"))
@@ -221,12 +222,8 @@ UNION ALL SELECT event_id, 'client' AS by_id FROM issue_events WHERE event_id =
 def point_lookup(t: Tables):
     """A time-ordered id leads to its day; a client id is looked for within 90 days."""
     rows = minted(t)
-    wanted = rows.where(F.col("event_id") == F.floor(t("issue_events").agg(F.max("event_id")).scalar() / 2)).select(
-        F.col("id").alias("_id"), K.uuid7_timestamp(F.col("id")).alias("_at")
-    )
-    own = rows.join(wanted, (F.col("id") == F.col("_id")) & (F.col("date") == F.to_date("_at")) & K.is_uuid7(F.col("_id")))
-    since = moment(NOW - timedelta(days=90))
-    client = rows.where((F.col("received") >= since) & (F.col("client_id") == F.md5(F.lit("c17"))))
+    wanted = rows.where(F.col("event_id") == F.floor(t("issue_events").agg(F.max("event_id")).scalar() / 2)).select("id").first()["id"]
+    own, client = I.find_event(rows, F.lit(wanted), NOW), I.find_event(rows, F.md5(F.lit("c17")), NOW)
     return own.select("event_id", F.lit("own").alias("by_id")).unionByName(client.select("event_id", F.lit("client").alias("by_id")))
 
 
@@ -349,25 +346,22 @@ def priority(t: Tables):
 
 @query("l07_hash_list", "SELECT hash, project_id, issue_id FROM issues ORDER BY hash, project_id LIMIT 40")
 def hash_list(t: Tables):
-    return t("issues").select("hash", "project_id", "issue_id").orderBy("hash", "project_id").limit(40)
+    return I.hash_list(t("issues").select("hash", "project_id", "issue_id"), 40)
 
 
 @query("u04_distinct_tags", """
 SELECT DISTINCT 'key' AS kind, tag_key AS name FROM event_tags UNION ALL SELECT DISTINCT 'value' AS kind, tag_value AS name FROM event_tags""")
 def distinct_tags(t: Tables):
-    tags = t("event_tags")
-    return tags.select(F.lit("key").alias("kind"), F.col("tag_key").alias("name")).distinct().unionByName(
-        tags.select(F.lit("value").alias("kind"), F.col("tag_value").alias("name")).distinct()
-    )
+    return I.distinct_tags(t("event_tags"))
 
 
 @query("f13_search_terms", """
 WITH words AS (SELECT DISTINCT issue_id, unnest(regexp_extract_all(lower(title || ' ' || culprit || ' the error by user ' || tag_user), '[\\p{L}\\p{N}_]+')) AS term FROM issue_events),
 kept AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY term) AS pos FROM words WHERE term NOT IN ('the', 'by', 'in'))
-SELECT issue_id, string_agg(term, ' ' ORDER BY term) AS terms FROM kept WHERE pos <= 25 GROUP BY issue_id""")
+SELECT issue_id, string_agg(term, ' ' ORDER BY term) AS terms FROM kept GROUP BY issue_id""")
 def search_terms(t: Tables):
     text = F.concat_ws(" ", "title", "culprit", F.lit("the error by user"), "tag_user")
-    found = I.issue_terms(t("issue_events").withColumn("text", text), "text", most=25)
+    found = I.issue_terms(t("issue_events").withColumn("text", text), "text")
     return found.select("issue_id", F.array_join("terms", " ").alias("terms"))
 
 
@@ -375,11 +369,11 @@ def search_terms(t: Tables):
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents UNION ALL SELECT doc_id, 'zzz' FROM documents UNION ALL SELECT doc_id, 'aaa' FROM documents),
 uniq AS (SELECT DISTINCT doc_id, term FROM words WHERE term IN ('aaa', 'zzz') OR term NOT IN ({stops})),
 kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS pos FROM uniq)
-SELECT doc_id, md5(string_agg(term, ' ' ORDER BY term)) AS terms, count(*) AS n FROM kept WHERE pos <= 300 GROUP BY doc_id""".replace(
+SELECT doc_id, md5(string_agg(term, ' ' ORDER BY term)) AS terms, count(*) AS n FROM kept GROUP BY doc_id""".replace(
     "{stops}", ", ".join(f"'{w}'" for w in I.STOP_WORDS)))
 def append_terms(t: Tables):
     old = F.array(F.lit("zzz"), F.lit("aaa"))
-    terms = I.append_terms(old, F.col("text"), most=300)
+    terms = I.append_terms(old, F.col("text"))
     return t("documents").select("doc_id", F.md5(F.array_join(terms, " ")).alias("terms"), F.size(terms).cast("bigint").alias("n"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions.timeparam import moment, slot
 from ..operators import alerts as A, issues as I, stats as T, uptime as M
 from ..operators.upsert import without
 from .registry import NOW, Tables, query
@@ -57,7 +58,10 @@ SELECT m.monitor_id, m.interval_seconds, max(c.start_check) AS last_check,
  coalesce(max(c.start_check) >= TIMESTAMP '2001-10-28 00:02:00' - to_seconds(m.interval_seconds), FALSE) AS is_up
 FROM monitors m LEFT JOIN monitor_checks c ON c.monitor_id = m.monitor_id GROUP BY m.monitor_id, m.interval_seconds""")
 def heartbeats(t: Tables):
-    seen = M.heartbeat_state(t("monitors"), t("monitor_checks"), datetime(2001, 10, 28, 0, 2))
+    now, checks = datetime(2001, 10, 28, 0, 2), t("monitor_checks")
+    # What earlier runs have stored: the last check of each monitor up to five minutes before.
+    stored = checks.where(F.col("start_check") < moment(now - timedelta(minutes=5))).groupBy("monitor_id").agg(F.max("start_check").alias("last_check"))
+    seen = M.heartbeat_state(t("monitors"), checks, now, stored)
     return seen.select("monitor_id", "interval_seconds", "last_check", "is_up")
 
 
@@ -118,7 +122,7 @@ def notification_tags(t: Tables):
 @query("n02_notification_summary", f"""
 WITH {HITS_SQL}
 SELECT notification_id, issue_id, position, issue_count FROM (SELECT alert_id AS notification_id, issue_id,
- CAST(row_number() OVER (PARTITION BY alert_id ORDER BY issue_id) AS INT) AS position, count(*) OVER (PARTITION BY alert_id) AS issue_count FROM hits) x WHERE position <= 3""")
+ CAST(row_number() OVER (PARTITION BY alert_id ORDER BY issue_id) AS INT) AS position, count(*) OVER (PARTITION BY alert_id) AS issue_count FROM hits) x""")
 def notification_summary(t: Tables):
     hits = A.evaluate_alerts(rules(t), t("issue_events"), NOW)
     return A.notification_summary(hits.select(F.col("alert_id").alias("notification_id"), "issue_id"))
@@ -165,7 +169,7 @@ def global_counts(t: Tables):
 @query("f28_truncate_time", """
 SELECT event_id, date_trunc('hour', ts) AS hour, date_trunc('day', ts) AS day FROM events""")
 def truncate_time(t: Tables):
-    return t("events").select("event_id", F.date_trunc("hour", "ts").alias("hour"), F.date_trunc("day", "ts").alias("day"))
+    return t("events").select("event_id", slot("hour", F.col("ts")).alias("hour"), slot("day", F.col("ts")).alias("day"))
 
 
 @query("m10_stale_issues", """

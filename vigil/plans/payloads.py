@@ -94,9 +94,8 @@ def hydrate_stacktraces(t: Tables):
 WITH {SQL_TABLES},
 b AS (SELECT event_key, ex, pos, split_part(filename, '/', -1) AS name FROM f WHERE filename IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_key, ex ORDER BY pos DESC) AS n FROM b),
-r5 AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY ex, n) AS k FROM r WHERE n <= 3),
 parts AS (SELECT event_key, exc_type || ': ' || exc_value AS p FROM e UNION SELECT event_key, transaction FROM e WHERE transaction IS NOT NULL
- UNION SELECT event_key, 'https://shop.example.com/orders/' || CAST(event_key AS VARCHAR) FROM e WHERE url IS NOT NULL UNION SELECT event_key, name FROM r5 WHERE k <= 5)
+ UNION SELECT event_key, 'https://shop.example.com/orders/' || CAST(event_key AS VARCHAR) FROM e WHERE url IS NOT NULL UNION SELECT event_key, name FROM r)
 SELECT event_key, string_agg(p, ' ' ORDER BY p) AS words FROM parts GROUP BY event_key""")
 def search_texts(t: Tables):
     last = F.element_at("event.exception.values", -1)
@@ -129,7 +128,7 @@ def script_modules(t: Tables):
 @query("f40_large_variables", """
 SELECT doc_id, CASE WHEN length(text) > 16384 THEN '[Truncated: ' || CAST(length(text) AS VARCHAR) || ' bytes]' ELSE md5(text) END AS value FROM documents""")
 def large_variables(t: Tables):
-    short = P.shorten_variables(F.create_map(F.lit("v"), F.col("text")))["v"]
+    short = P.shorten_variables(F.create_map(F.lit("v"), F.col("text")), longest=16 * 1024)["v"]
     return t("documents").select("doc_id", F.when(short.startswith("[Truncated: "), short).otherwise(F.md5(short)).alias("value"))
 
 
@@ -201,15 +200,11 @@ def reports(t: Tables):
 FIRST = "regexp_extract({0}, '^[^\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]*', 0)"
 
 
-def _cut(expr: str, n: int) -> str:
-    return f"CASE WHEN length({expr}) > {n} THEN substr({expr}, 1, {n - 1}) || '…' ELSE {expr} END"
-
-
 @query("f14_error_title", f"""
-WITH x AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN NULL ELSE source END AS kind, CASE WHEN doc_id % 7 = 1 THEN '' ELSE {_cut('text', 1024)} END AS v, doc_id % 10 = 3 AS synthetic FROM documents),
+WITH x AS (SELECT doc_id, CASE WHEN doc_id % 6 = 1 THEN NULL ELSE source END AS kind, CASE WHEN doc_id % 7 = 1 THEN '' ELSE text END AS v, doc_id % 10 = 3 AS synthetic FROM documents),
 y AS (SELECT *, coalesce(kind, 'Error') AS k, {FIRST.format('v')} AS line FROM x),
-z AS (SELECT doc_id, CASE WHEN synthetic THEN CASE WHEN doc_id % 20 = 3 THEN 'main' ELSE '<unknown>' END WHEN v = '' THEN k ELSE k || ': ' || {_cut('line', 100)} END AS title FROM y)
-SELECT doc_id, {_cut('title', 100)} AS title FROM z""")
+z AS (SELECT doc_id, CASE WHEN synthetic THEN CASE WHEN doc_id % 20 = 3 THEN 'main' ELSE '<unknown>' END WHEN v = '' THEN k ELSE k || ': ' || line END AS title FROM y)
+SELECT doc_id, title FROM z""")
 def error_titles(t: Tables):
     key = F.col("doc_id")
     kind = F.when(key % 6 != 1, F.col("source"))
@@ -221,7 +216,7 @@ def error_titles(t: Tables):
 @query("f15_message_title", f"""
 WITH x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN '' ELSE '' END AS m FROM conversations),
 y AS (SELECT *, {FIRST.format("regexp_replace(regexp_replace(m, '^[\\s]+', ''), '[\\s]+$', '')")} AS line FROM x)
-SELECT conv_id, turn, CASE WHEN m = '' THEN '<untitled>' ELSE {_cut('m', 100)} END AS title, CASE WHEN m = '' THEN '<unlabeled event>' ELSE {_cut('line', 100)} END AS metadata_title FROM y""")
+SELECT conv_id, turn, CASE WHEN m = '' THEN '<untitled>' ELSE m END AS title, CASE WHEN m = '' THEN '<unlabeled event>' ELSE line END AS metadata_title FROM y""")
 def message_titles(t: Tables):
     n = F.col("turn") % 4
     formatted, message = F.when(n == 0, F.col("text")).otherwise(F.lit("")), F.when(n == 1, F.col("text"))
@@ -271,8 +266,8 @@ SELECT doc_id, substr(text, 1, 255) AS tag, md5(substr(text, 1, 1024)) AS transa
 def truncations(t: Tables):
     text = F.col("text")
     return t("documents").select(
-        "doc_id", X.clean_tag(text).alias("tag"), F.md5(X.truncate(text, 1024)).alias("transaction"), X.truncate(text, 32).alias("span_id"),
-        F.length(X.truncate(text, X.DESCRIPTION_LIMIT)).alias("n"),
+        "doc_id", X.clean_tag(text, 255).alias("tag"), F.md5(X.truncate(text, 1024)).alias("transaction"), X.truncate(text, 32).alias("span_id"),
+        F.length(X.truncate(text, 500)).alias("n"),
     )
 
 
@@ -339,8 +334,8 @@ SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS VARCHAR), 'n
 def nested_get(t: Tables):
     items = F.array(F.lit("first"), F.col("event_type"))
     return t("events").select(
-        "event_id", F.coalesce(F.get_json_object("props", "$.k"), F.lit("none")).alias("found"),
-        F.coalesce(F.get_json_object("props", "$.x.y[3]"), F.lit("none")).alias("missing"), F.try_element_at(items, F.lit(-1)).alias("last"),
+        "event_id", P.nested(F.col("props"), ["k"], "none").alias("found"),
+        P.nested(F.col("props"), ["x", "y", 3], "none").alias("missing"), F.try_element_at(items, F.lit(-1)).alias("last"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import pii
@@ -107,3 +109,24 @@ def scrub_json(t: Tables):
         "event_id", get("$.extra.deep[0].password").alias("password"), get("$.request.headers[0][1]").alias("header"), get("$.message").alias("message"),
         get("$.extra.deep[0].color").alias("color"), get("$.breadcrumbs.values[0].data.note").alias("card"), get("$.password").alias("outside"),
     )
+
+
+@query("x03_broken_and_deep", """
+SELECT event_id, event_id % 4 AS kind, CASE event_id % 4 WHEN 0 THEN '{"extra":{"password":"[Filtered]","n":"card [Filtered]"},"top":"cut' WHEN 1 THEN '[Filtered]'
+ WHEN 2 THEN '{"password":"kept' || CAST(user_id AS VARCHAR) || '"}' ELSE 'plain [Filtered] text' END AS clean, event_id % 4 IN (0, 3) AS rejected FROM events""")
+def scrub_broken_and_deep(t: Tables):
+    """Cut-off JSON, a password below 200 levels, a row without config, and text that is no JSON."""
+    user, levels = F.col("user_id").cast("string"), 200
+    kinds = {
+        0: F.concat(F.lit('{"extra":{"password":"x'), user, F.lit('","n":"card 4111111111111111"},"top":"cut')),
+        1: F.concat(F.lit('{"extra":' + '{"a":[' * levels + '{"password":"x'), user, F.lit('"}' + "]}" * levels + "}")),
+        2: F.concat(F.lit('{"password":"kept'), user, F.lit('"}')),
+        3: F.lit("plain 4111111111111111 text"),
+    }
+    kind = (F.col("event_id") % 4).cast("int")
+    payload = reduce(lambda chain, k: chain.when(kind == k, kinds[k]), (1, 2, 3), F.when(kind == 0, kinds[0]))
+    on = pii.resolve_config(F.lit('{"enabled": true}'), F.lit(None).cast("string"))
+    rows = t.spread("events").select("event_id", F.col("event_id") % 4, payload.alias("payload"), F.when(kind != 2, on).alias("config")).toDF("event_id", "kind", "payload", "config")
+    clean = pii.scrub_json(rows, "payload", "config", rejected="rejected")
+    deep = F.get_json_object("payload", "$.extra" + ".a[0]" * levels + ".password")
+    return clean.select("event_id", "kind", F.when(F.col("kind") == 1, deep).otherwise(F.col("payload")).alias("clean"), "rejected")

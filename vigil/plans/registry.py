@@ -85,12 +85,12 @@ _D = "raw_description"
 SNIPPETS = {
     "now": NOW_SQL,
     "describe": (
-        f"CASE WHEN coalesce({_D}, '') = '' THEN '' ELSE substr(CASE "
+        f"CASE WHEN coalesce({_D}, '') = '' THEN '' ELSE CASE "
         f"WHEN op LIKE 'db%' THEN regexp_replace(regexp_replace(regexp_replace({_D}, '''(?:[^''\\\\]|\\\\.)*''', '%s', 'g'),"
         f" '\\b\\d+(?:\\.\\d+)?\\b', '%s', 'g'), '(?i)IN\\s*\\(\\s*(%s(?:\\s*,\\s*%s)*)\\s*\\)', 'IN (%s)', 'g') "
         f"WHEN op LIKE 'http%' THEN regexp_replace(regexp_replace(regexp_replace({_D}, '(?s)[?#].*', ''),"
         f" '/\\d+(/|$)', '/%s\\1', 'g'), '/\\d+(/|$)', '/%s\\1', 'g') "
-        f"ELSE regexp_replace(regexp_replace({_D}, '/\\d+(/|$)', '/%s\\1', 'g'), '/\\d+(/|$)', '/%s\\1', 'g') END, 1, 500) END"
+        f"ELSE regexp_replace(regexp_replace({_D}, '/\\d+(/|$)', '/%s\\1', 'g'), '/\\d+(/|$)', '/%s\\1', 'g') END END"
     ),
     "level": (
         "CASE lower(level_name) WHEN 'trace' THEN 0 WHEN 'debug' THEN 1 WHEN 'info' THEN 2 WHEN 'warn' THEN 3 "

@@ -184,19 +184,17 @@ SELECT t.transaction_key, t.project_id, t.method, k.seen FROM transactions t JOI
  ON t.project_id = k.project_id AND t.transaction = k.transaction AND t.op = k.op AND t.method = k.method""")
 def transaction_group_lookup(t: Tables):
     rows = t("transactions")
-    keys = ["project_id", "transaction", "op", "method"]
-    known = rows.where(F.col("received") < F.lit("1998-01-01").cast("timestamp_ntz")).groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
-    return rows.join(known, keys).select("transaction_key", "project_id", "method", "seen")
+    known = rows.where(F.col("received") < F.lit("1998-01-01").cast("timestamp_ntz")).groupBy(*S.LOOKUP_KEYS).agg(F.count(F.lit(1)).alias("seen"))
+    return S.link_transactions(rows, known).select("transaction_key", "project_id", "method", "seen")
 
 
 @query("l05_transaction_group_sort", f"""
 WITH {STATS_SQL}
 SELECT project_id, transaction, op, method, organization_id, count, round(total_duration / count, 8) AS avg_duration, first_seen
-FROM grouped ORDER BY first_seen DESC, project_id DESC, transaction DESC, op DESC, method DESC, organization_id DESC LIMIT 25""")
+FROM grouped ORDER BY first_seen DESC, project_id, transaction, op, method, organization_id LIMIT 25""")
 def transaction_group_sort(t: Tables):
     groups = S.transaction_groups(S.transaction_stats(t("transactions")))
-    keys = [F.col(k).desc() for k in S.TXN_KEYS]
-    page = groups.orderBy(F.col("first_seen").desc(), *keys).limit(25)
+    page = S.find_transaction_groups(groups, sort="-created", limit=25)
     return page.select(*S.TXN_KEYS, "count", F.round("avg_duration", 8).alias("avg_duration"), "first_seen")
 
 
@@ -216,8 +214,7 @@ WITH {STATS_SQL}
 SELECT project_id, transaction, op, method, organization_id, count FROM grouped WHERE last_seen >= TIMESTAMP '2001-07-15 00:00:00'""")
 def transaction_group_retention(t: Tables):
     groups = S.transaction_stats(t("transactions"))
-    now = datetime(2001, 7, 15) + timedelta(days=maintenance.RETENTION_DAYS["transactions"])
-    kept = groups.where(F.col("last_seen") >= F.lit(str(now - timedelta(days=90))).cast("timestamp_ntz"))
+    kept = S.keep_transaction_groups(groups, datetime(2001, 7, 15) + timedelta(days=maintenance.RETENTION_DAYS["transactions"]))
     return kept.select(*S.TXN_KEYS, "count")
 
 

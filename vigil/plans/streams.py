@@ -7,8 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.maintenance import acceptable_spans
+from ..functions.timeparam import moment
 from ..sources import telemetry_json as J
 from ..streaming import jobs
+from .logs import LEVELLED, levelled
 from .monitoring import REPLAY_SQL, STATE_COLUMNS, checks as ordered_checks
 from .registry import Tables, query
 
@@ -35,25 +37,44 @@ def by_half(rows: DataFrame, time: str, at: str) -> list[DataFrame]:
 
 @query("st01_stream_dedupe", "SELECT event_id, event_type FROM events")
 def stream_dedupe(t: Tables):
-    """Every event arrives twice."""
+    """Every event arrives twice in one batch."""
     out, events = t.scratch("dedupe"), t("events").select("event_id", "ts", "event_type")
-    path = source(t, events.unionByName(events), "dedupe")
-    unique = jobs.deduplicate(jobs.file_stream(t.spark, path, events.schema))
-    writer = unique.writeStream.format("parquet").option("path", out).outputMode("append")
-    jobs.start(writer, t.scratch("dedupe-checkpoint")).awaitTermination()
+    drain(t, "dedupe", [events.unionByName(events)], lambda s: jobs.deduplicate(s, out))
     return t.spark.read.parquet(out).select("event_id", "event_type")
 
 
-@query("st02_sealed_hours", """
-SELECT date_trunc('hour', timestamp) AS hour_bucket, organization_id, op, count(*) AS count, round(sum(duration), 6) AS sum_duration FROM spans
-WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM spans) - INTERVAL 20 MINUTE GROUP BY ALL""")
+@query("st01_late_events", "SELECT event_id, event_type FROM events")
+def stream_late_events(t: Tables):
+    """The newer half comes first, the older one days later, a third of the newer ones again with it."""
+    out, events = t.scratch("dedupe-late"), t("events").select("event_id", "ts", "event_type")
+    older, newer = by_half(events, "ts", "2024-01-10")
+    drain(t, "dedupe-late", [newer, older.unionByName(newer.where("event_id % 3 = 0")), older], lambda s: jobs.deduplicate(s, out))
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
+SEALED_SQL = """SELECT date_trunc('hour', timestamp) AS hour_bucket, organization_id, op, count(*) AS count, round(sum(duration), 6) AS sum_duration FROM {source}
+WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM spans) - INTERVAL 20 MINUTE GROUP BY ALL"""
+
+
+@query("st02_sealed_hours", SEALED_SQL.format(source="spans"))
 def stream_sealed_hours(t: Tables):
-    out, spans = t.scratch("sealed"), t("spans").select("timestamp", "organization_id", "op", "duration")
-    path = source(t, spans, "sealed")
-    hours = jobs.sealed_hours(jobs.file_stream(t.spark, path, spans.schema), ["organization_id", "op"])
-    writer = hours.writeStream.format("parquet").option("path", out).outputMode("append")
-    jobs.start(writer, t.scratch("sealed-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(out).withColumn("sum_duration", F.round("sum_duration", 6))
+    out, keys, spans = t.scratch("sealed"), ["organization_id", "op"], t("spans").select("timestamp", "organization_id", "op", "duration")
+    drain(t, "sealed", [spans], lambda s: jobs.seal_hours(s, out, keys))
+    hours = jobs.sealed_hours(t.spark, out, keys)
+    return hours.select("hour_bucket", *keys, F.col("count"), F.round("sum_duration", 6).alias("sum_duration")).withColumn("count", F.col("count").cast("bigint"))
+
+
+@query("st02_late_spans", """
+WITH early AS (SELECT * FROM spans WHERE event_id % 4 <> 0), edge AS (SELECT max(timestamp) - INTERVAL 20 MINUTE AS stop FROM early)
+SELECT date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT stop FROM edge) AS late, event_id % 4 = 0 AS second, count(*) AS count FROM spans GROUP BY ALL""")
+def stream_late_spans(t: Tables):
+    """A quarter of all spans comes after the others: those of sealed hours are rejected, none vanishes."""
+    out, spans = t.scratch("sealed-late"), t("spans").select("event_id", "timestamp", "duration")
+    drain(t, "sealed-late", [spans.where("event_id % 4 <> 0"), spans.where("event_id % 4 = 0")], lambda s: jobs.seal_hours(s, out, ["event_id"]))
+    edge = jobs.sealed_until(t.spark, out, batch_id=1)
+    totals = t.spark.read.parquet(f"{out}/totals").select((F.col("hour_bucket") + F.expr("INTERVAL 1 HOUR") <= moment(edge)).alias("late"), "event_id", "count")
+    rejected = t.spark.read.parquet(f"{out}/rejected").where("reason = 'late'").select(F.lit(True).alias("late"), "event_id", F.lit(1).cast("bigint").alias("count"))
+    return totals.unionByName(rejected).groupBy("late", (F.col("event_id") % 4 == 0).alias("second")).agg(F.sum("count").alias("count"))
 
 
 @query("st03_hour_counters", "SELECT project_id, organization_id, date, CAST(count AS BIGINT) AS count FROM project_hourly")
@@ -64,6 +85,35 @@ def stream_hour_counters(t: Tables):
     return jobs.read_counters(t.spark, out, *keys)
 
 
+def in_parts(rows: DataFrame, key: str, n: int = 3) -> list[DataFrame]:
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+@query("st03_tag_counters", "SELECT issue_id, organization_id, tag_key, tag_value, CAST(date AS TIMESTAMP) AS date, CAST(count AS BIGINT) AS count FROM issue_tags")
+def stream_tag_counters(t: Tables):
+    """Daily tag counts, folded into a snapshot after the second of three batches."""
+    out, tagged = t.scratch("tag-counters"), t("event_tags").select("event_id", "issue_id", "organization_id", "received", "tag_key", "tag_value")
+    drain(t, "tag-counters", in_parts(tagged, "event_id"), lambda s: jobs.tag_counters(s, out, snapshot_every=2))
+    return jobs.read_counters(t.spark, out, *jobs.TAG_KEYS)
+
+
+@query("st03_log_stats", f"""
+WITH {LEVELLED}
+SELECT date_trunc('hour', timestamp) AS date, project_id, organization_id, level, <<hash_bucket(service)>> AS service_bucket,
+ <<hash_bucket(environment)>> AS environment_bucket, CAST(count(*) AS BIGINT) AS count FROM levelled GROUP BY ALL""")
+def stream_log_stats(t: Tables):
+    out, rows = t.scratch("log-counters"), levelled(t)
+    drain(t, "log-counters", in_parts(rows, "log_id"), lambda s: jobs.log_counters(s, out, snapshot_every=1))
+    return jobs.read_counters(t.spark, out, *jobs.LOG_KEYS)
+
+
+@query("st03_uptime", "SELECT organization_id, date_trunc('hour', start_check) AS date, CAST(count(*) AS BIGINT) AS count FROM monitor_checks GROUP BY ALL")
+def stream_uptime(t: Tables):
+    out, checks = t.scratch("check-counters"), t("monitor_checks")
+    drain(t, "check-counters", in_parts(checks, "monitor_id"), lambda s: jobs.check_counters(s, out))
+    return jobs.read_counters(t.spark, out, *jobs.CHECK_KEYS)
+
+
 @query("st04_monitor_states", f"WITH {REPLAY_SQL} SELECT * FROM states")
 def stream_monitor_states(t: Tables):
     out, checks, monitors = t.scratch("states"), ordered_checks(t), t("monitors")

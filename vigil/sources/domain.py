@@ -38,7 +38,7 @@ SELECT o_orderkey AS transaction_key, CAST(o_custkey % 5 AS INT) AS project_id,
  CASE o_orderstatus WHEN 'F' THEN 'internal_error' WHEN 'P' THEN 'cancelled' ELSE 'ok' END AS trace_status,
  o_totalprice / 10 AS duration_ms, o_orderdate AS received FROM {orders}""",
     "issue_events": """
-SELECT *, CAST(project_id AS STRING) || '-' || substr(hash, 1, 12) AS issue_id FROM (
+SELECT *, CAST(project_id AS STRING) || '-' || hash AS issue_id FROM (
 SELECT *, md5(title || culprit || CAST(type AS STRING)) AS hash FROM (
 SELECT event_id, CAST(user_id % 5 AS INT) AS project_id, CAST(user_id % 5 % 3 AS INT) AS organization_id, ts AS received,
  event_type || ' in module ' || CAST(user_id % 7 AS STRING) AS title, 'app.mod' || CAST(user_id % 7 AS STRING) AS culprit, 1 AS type,

@@ -8,19 +8,26 @@ twice; readers fold the pieces.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.timeparam import utc
-from ..operators import alerts, issues, uptime
+from ..functions.timeparam import moment, slot, utc
+from ..operators import alerts, issues, logs, uptime
 from ..operators.segmented import join_on_keys
-from ..operators.upsert import update_matching
+from ..operators.upsert import first_per_key, update_matching
+from ..sources.storage import drop_folders, exists
 
-LATENESS = "20 minutes"
-DEDUPE_HORIZON = "24 hours"
+TAG_KEYS = ("issue_id", "organization_id", "tag_key", "tag_value")
+LOG_KEYS = ("project_id", "organization_id", "level", "service_bucket", "environment_bucket")
+CHECK_KEYS = ("organization_id",)
+
+LATENESS = timedelta(minutes=20)
+#: Batches between two snapshots of counters.
+SNAPSHOT_EVERY = 100
 
 
 def start(writer, checkpoint: str, *, once: bool = True, every: str = "60 seconds") -> StreamingQuery:
@@ -40,23 +47,73 @@ def piece(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-# -- stateless and watermark jobs ---------------------------------------------------
+# -- dedupe and sealing -------------------------------------------------------------
+
+def deduplicate(events: DataFrame, path: str, time: str = "ts", key: str = "event_id"):
+    """First occurrence of every event id, whenever it comes.
+
+    What has been written is the table of known ids, by day of event time: a batch meets the
+    days it has events of, so no event is late and none is dropped but a duplicate. A retried
+    batch is compared with earlier batches only.
+    """
 
-def deduplicate(events: DataFrame, time: str = "ts", key: str = "event_id", horizon: str = DEDUPE_HORIZON):
-    """First occurrence of every event id within the horizon (event time)."""
-    zoned = events.withColumn(time, F.col(time).cast("timestamp"))
-    return zoned.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
+    def write(batch: DataFrame, batch_id: int) -> None:
+        first = first_per_key(batch, [key], [time]).withColumn("date", F.to_date(time))
+        known = earlier_pieces(batch.sparkSession, path, batch_id)
+        if known is not None:
+            days = first.select("date").distinct()
+            known = known.select(key, "date").join(days, "date", "left_semi")
+            first = join_on_keys(first, known, [key, "date"], "left_anti")
+        first.write.mode("overwrite").partitionBy("date").parquet(piece(path, batch_id))
 
+    return events.writeStream.foreachBatch(write)
 
-def sealed_hours(spans: DataFrame, keys: list[str], lateness: str = LATENESS):
-    """Hourly totals, emitted once an hour is complete; later spans are dropped.
 
-    The hour is sealed by event time (the watermark), not by the wall clock.
+def earlier_pieces(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What batches before ``batch_id`` wrote; None for the first."""
+    if not exists(spark, path):
+        return None
+    return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+
+
+def seal_hours(spans: DataFrame, path: str, keys: list[str], lateness: timedelta = LATENESS):
+    """Hourly totals of spans; those that come after their hour's seal go to ``rejected``.
+
+    The clock is the newest event time of earlier batches. An hour is sealed once the clock is
+    ``lateness`` past its end, so what ``sealed_hours`` has read never changes.
     """
-    rows = spans.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
-    return rows.groupBy(F.window("timestamp", "1 hour"), *keys).agg(
-        F.count(F.lit(1)).alias("count"), F.sum("duration").alias("sum_duration")
-    ).select(F.col("window.start").alias("hour_bucket"), *keys, "count", "sum_duration")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        edge = sealed_until(spark, path, lateness, batch_id)
+        hour = slot("hour", F.col("timestamp"))
+        late = F.lit(False) if edge is None else F.coalesce(hour + F.expr("INTERVAL 1 HOUR") <= moment(edge), F.lit(False))
+        reason = F.when(F.col("timestamp").isNull(), "missing").when(late, "late")
+        judged = batch.withColumn("hour_bucket", hour).withColumn("reason", reason).persist()
+        judged.where("reason IS NOT NULL").drop("hour_bucket").write.mode("overwrite").parquet(piece(f"{path}/rejected", batch_id))
+        good = judged.where("reason IS NULL")
+        good.groupBy("hour_bucket", *keys).agg(F.count(F.lit(1)).alias("count"), F.sum("duration").alias("sum_duration")).write.mode("overwrite").parquet(piece(f"{path}/totals", batch_id))
+        good.agg(F.max("timestamp").alias("newest")).write.mode("overwrite").parquet(piece(f"{path}/clock", batch_id))
+        judged.unpersist()
+
+    return spans.writeStream.foreachBatch(write)
+
+
+def sealed_until(spark: SparkSession, path: str, lateness: timedelta = LATENESS, batch_id: int | None = None) -> datetime | None:
+    """Hours that end by this time are sealed, by the events of all batches or of those before ``batch_id``."""
+    if not exists(spark, f"{path}/clock"):
+        return None
+    clock = spark.read.schema("newest timestamp_ntz, batch_id bigint").parquet(f"{path}/clock")
+    newest = (clock if batch_id is None else clock.where(F.col("batch_id") < batch_id)).agg(F.max("newest")).first()[0]
+    return None if newest is None else newest - lateness
+
+
+def sealed_hours(spark: SparkSession, path: str, keys: list[str], lateness: timedelta = LATENESS) -> DataFrame:
+    """Totals of the hours that are complete."""
+    edge = sealed_until(spark, path, lateness)
+    totals = spark.read.parquet(f"{path}/totals")
+    done = totals.where(F.lit(False) if edge is None else F.col("hour_bucket") + F.expr("INTERVAL 1 HOUR") <= moment(edge))
+    return done.groupBy("hour_bucket", *keys).agg(F.sum("count").alias("count"), F.sum("sum_duration").alias("sum_duration"))
 
 
 def append_files(rows: DataFrame, path: str, partitions: list[str]):
@@ -75,25 +132,64 @@ def in_pieces(rows: DataFrame, path: str, build: Callable[[DataFrame], DataFrame
     return rows.writeStream.foreachBatch(write)
 
 
-def hourly_counters(events: DataFrame, path: str, *keys: str, time: str = "received"):
-    """Additive hour counters."""
-    return in_pieces(events, path, lambda batch: issues.hourly_counts(batch, *keys, time=time))
+def hourly_counters(events: DataFrame, path: str, *keys: str, time: str = "received", snapshot_every: int = SNAPSHOT_EVERY):
+    """Additive hour counters of events."""
+    return counters(events, path, lambda batch: issues.hourly_counts(batch, *keys, time=time), keys, snapshot_every)
+
+
+def tag_counters(tagged: DataFrame, path: str, snapshot_every: int = SNAPSHOT_EVERY):
+    """Daily counts of issue tags (rows of ``tag_rows``)."""
+    return counters(tagged, path, issues.daily_tag_counts, TAG_KEYS, snapshot_every)
+
+
+def log_counters(levelled: DataFrame, path: str, snapshot_every: int = SNAPSHOT_EVERY):
+    """Hourly counts of logs by level, service and environment bucket."""
+    return counters(levelled, path, logs.hourly_stats, LOG_KEYS, snapshot_every)
+
+
+def check_counters(checks: DataFrame, path: str, snapshot_every: int = SNAPSHOT_EVERY):
+    """Hourly uptime checks per organisation."""
+    return counters(checks, path, uptime.hourly_checks, CHECK_KEYS, snapshot_every)
+
+
+def counters(rows: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], keys: Sequence[str], snapshot_every: int = SNAPSHOT_EVERY):
+    """Additive counters (``keys``, ``date``, ``count``); every so many batches the pieces are folded and removed."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        build(batch).write.mode("overwrite").parquet(piece(path, batch_id))
+        if (batch_id + 1) % snapshot_every == 0:
+            snapshot_counters(spark, path, batch_id, *keys)
+            drop_covered(spark, path)
+
+    return rows.writeStream.foreachBatch(write)
+
+
+def drop_covered(spark: SparkSession, path: str) -> int:
+    """Remove pieces that the newest complete snapshot covers, and older snapshots; the number of folders removed."""
+    upto, snapshot = newest_snapshot(spark, path)
+    if snapshot is None:
+        return 0
+    numbered = lambda root, mark: ((int(n[len(mark):]), f"{root}/{n}") for n in folder_names(spark, root) if n.startswith(mark))
+    covered = [folder for n, folder in numbered(path, "batch_id=") if n <= upto]
+    covered += [folder for n, folder in numbered(f"{path}-snapshots", "upto=") if n < upto]
+    return drop_folders(spark, covered)
 
 
 def read_counters(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     """Totals: the newest snapshot plus the pieces written after it."""
     upto, snapshot = newest_snapshot(spark, path)
-    pieces = spark.read.parquet(path)
-    if snapshot is not None:
-        pieces = pieces.where(F.col("batch_id") > upto).select(*keys, "date", "count").unionByName(snapshot.select(*keys, "date", "count"))
-    return pieces.groupBy(*keys, "date").agg(F.sum("count").alias("count"))
+    names = [n for n in folder_names(spark, path) if n.startswith("batch_id=") and int(n[9:]) > upto]
+    parts = [spark.read.parquet(*(f"{path}/{n}" for n in names)).select(*keys, "date", "count")] if names else []
+    parts += [] if snapshot is None else [snapshot.select(*keys, "date", "count")]
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys, "date").agg(F.sum("count").alias("count"))
 
 
 def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str) -> None:
     """Fold all pieces up to a batch into one snapshot, which readers then start from.
 
-    The pieces stay: they may be dropped at any later time, and a run that dies half
-    way leaves a snapshot without its success mark, which nobody reads.
+    A run that dies half way leaves a snapshot without its success mark, which nobody reads;
+    pieces may be removed (``drop_covered``) once it is there.
     """
     before, snapshot = newest_snapshot(spark, path)
     pieces = spark.read.parquet(path).where(F.col("batch_id").between(before + 1, upto)).select(*keys, "date", "count")
@@ -103,14 +199,15 @@ def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str) ->
     folded.write.mode("overwrite").parquet(f"{path}-snapshots/upto={upto}")
 
 
-def newest_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots")
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder: batches since the last snapshot, or snapshots."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return -1, None
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [int(n.split("=")[1]) for n in names if n.startswith("upto=")
-            and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}-snapshots/{n}/_SUCCESS"))]
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+
+
+def newest_snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame | None]:
+    done = [int(n[5:]) for n in folder_names(spark, f"{path}-snapshots") if n.startswith("upto=") and exists(spark, f"{path}-snapshots/{n}/_SUCCESS")]
     if not done:
         return -1, None
     return max(done), spark.read.parquet(f"{path}-snapshots/upto={max(done)}")
@@ -120,9 +217,10 @@ def split_good_bad(rows: DataFrame, path: str, reason):
     """Good rows to ``good``, the others with their reason to ``rejected`` - never lost, never fatal."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = batch.withColumn("reason", reason)
+        judged = batch.withColumn("reason", reason).persist()
         judged.where("reason IS NULL").drop("reason").write.mode("overwrite").parquet(piece(f"{path}/good", batch_id))
         judged.where("reason IS NOT NULL").write.mode("overwrite").parquet(piece(f"{path}/rejected", batch_id))
+        judged.unpersist()
 
     return rows.writeStream.foreachBatch(write)
 
@@ -148,13 +246,13 @@ def monitor_states(checks: DataFrame, monitors: DataFrame, path: str):
 
 
 def latest_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The newest complete version of a table written by an earlier batch."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for earlier in range(batch_id - 1, -1, -1):
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{piece(path, earlier)}/_SUCCESS")):
-            return spark.read.parquet(piece(path, earlier))
-    return None
+    """The newest complete version of a table written by an earlier batch; versions before it are removed."""
+    numbers = sorted(int(n[9:]) for n in folder_names(spark, path) if n.startswith("batch_id="))
+    done = [n for n in numbers if n < batch_id and exists(spark, f"{piece(path, n)}/_SUCCESS")]
+    if not done:
+        return None
+    drop_folders(spark, [piece(path, n) for n in numbers if n < done[-1]])
+    return spark.read.parquet(piece(path, done[-1]))
 
 
 def read_earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
@@ -171,15 +269,16 @@ def alerting(events: DataFrame, rules: DataFrame, history: str, path: str, clock
     """After each batch evaluate the rules for the issues it touched, and note what is new.
 
     ``history`` collects the events (pieces per batch and day); ``clock`` gives the
-    evaluation time.  Only the days of the longest rule window are read back.
+    evaluation time.  Only the days of the longest rule window are read back; the rules are
+    read anew for each batch, so one that is added later counts its whole window.
     """
-    longest = rules.agg(F.max("timespan_minutes")).first()[0] or 0
     pair = "alert_id bigint, issue_id string, num_events bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = batch.select("project_id", "issue_id", "received")
         columns.withColumn("date", F.to_date("received")).write.mode("overwrite").partitionBy("date").parquet(piece(history, batch_id))
+        longest = rules.agg(F.max("timespan_minutes")).first()[0] or 0
         horizon = (utc(clock(batch_id)) - timedelta(minutes=longest)).date()
         seen = spark.read.parquet(history).where((F.col("batch_id") <= batch_id) & (F.col("date") >= F.lit(horizon)))
         sent = read_earlier(spark, path, batch_id, pair)
