@@ -17,9 +17,9 @@ for it to fail two thirds of a set's shingles would have to share cells.
 Equal sets are one class with its smallest id as representative; only representatives are
 joined. A cell that at most ``SMALL`` documents share gives all its pairs. A more frequent one
 links its members to its first. Where that leaves members in different components, their bit
-sketches, 32 to 128 bits a shingle, are compared in blocks of ``BLOCK`` members, and only pairs
-from different components whose distance allows a link go on to be verified: first the nearest
-of each member, then all that still lie apart. So no link between components is missed, and
+sketches, 8 to 32 bits a shingle, are compared in blocks of ``BLOCK`` members: those outside the
+largest component with all. Only pairs from different components whose distance allows a link
+go on to be verified: first the nearest of each member, then all that still lie apart. So no link between components is missed, and
 no pair inside one is listed.
 
 Defined cases: a null or empty text, or one of white space, has the empty set, which is
@@ -41,8 +41,10 @@ from .graph import components
 
 #: Documents that share a cell, up to which all their pairs are candidates.
 SMALL = 16
-#: Members of a frequent cell in a block, when their sketches are compared.
-BLOCK = 2048
+#: Members of a group in a block, when their sketches are compared.
+BLOCK = 4096
+#: How many times the documents of its largest cell a group of cells may have.
+WIDER = 8
 #: Sets below this size have a cell for each shingle.
 TINY_LEVEL = 2
 U64 = np.uint64
@@ -297,46 +299,57 @@ def _bit_sketches(width: int):
 
 
 def _apart(percent: int, nearest: bool):
-    """Pairs of members of a cell's two blocks that lie in different components and may be linked."""
+    """Pairs of a visitor of a block and a resident that lie in different components and may be linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, size, name, block = (table[c].to_numpy() for c in ("a", "n", "c", "block"))
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        doc, size, name, visits = (table[c].to_numpy() for c in ("a", "n", "c", "visits"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(doc), -1)
-        names, place, count = np.unique(name, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(place != np.argmax(count))
-        found = []
-        for i in rest:
-            # Pairs of one block are compared in its own group; of two members outside the largest component, once.
-            other = (name != name[i]) & ((place == np.argmax(count)) | (np.arange(len(doc)) > i) | nearest)
-            other &= block != block[i] if low != high else True
-            other &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-            at = np.flatnonzero(other)
-            if len(at):
-                apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
-                near = apart * (100 + percent) <= (100 - percent) * (size[at] + size[i])
-                at, apart = at[near], apart[near]
-                if nearest and len(at):
-                    at = at[[np.argmin(apart)]]
-                found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at]
-        pairs = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+        here, found = np.flatnonzero(~visits), set()
+        for i in np.flatnonzero(visits):
+            at = here[(name[here] != name[i]) & (100 * np.minimum(size[here], size[i]) >= percent * np.maximum(size[here], size[i]))]
+            apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (size[at] + size[i])
+            at, apart = at[near], apart[near]
+            if nearest and len(at):
+                at = at[[np.argmin(apart)]]
+            found.update((min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at)
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return run
 
 
-def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
-    """Pairs (``a``, ``b``) that share a frequent cell, lie in different components and are near by their sketches."""
+def torn_groups(many: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of frequent cells that span components: ``g, band, a, n, c`` (the component) and ``main`` (the group's largest one).
+
+    Cells of like documents have nearly the same members, so cells that share members form one
+    group; only where that would be more than ``WIDER`` times its largest cell is each cell its own.
+    """
     named = many.join(found.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", "band", F.coalesce("component", "a").alias("c"))
-    torn = named.groupBy("key").agg(F.min("c").alias("from"), F.max("c").alias("to"), F.count("*").alias("g")).where("`from` < `to`").select("key", "g")
-    torn = X.stored(named.join(torn, "key"), "torn")
-    sketches = texts.withColumnRenamed("doc_id", "a").join(torn.select("a", "band").distinct(), "a").select("a", "band", "text")
+    cells = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("a").alias("head"), F.count("*").alias("members"))
+    torn = X.stored(named.join(cells.where("low < high").select("key", "head", "members"), "key"), "torn")
+    groups = components(torn.select("a", F.col("head").alias("b")))
+    wide = torn.join(groups.withColumnRenamed("node", "a"), "a").withColumnRenamed("component", "super")
+    size = wide.select("super", "band", "a", "members").groupBy("super", "band").agg(F.count_distinct("a").alias("docs"), F.max("members").alias("largest"))
+    chosen = F.when(F.col("docs") <= WIDER * F.col("largest"), F.col("super")).otherwise(F.col("key"))
+    members = X.stored(wide.join(size, ["super", "band"]).select(chosen.alias("g"), "band", "a", "n", "c").distinct(), "groups")
+    main = members.groupBy("g", "band", "c").agg(F.count("*").alias("m")).groupBy("g", "band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("docs"))
+    return members.join(main.select("g", "band", F.col("top.c").alias("main"), "docs"), ["g", "band"])
+
+
+def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (``a``, ``b``) that share a frequent cell, lie in different components and are near by their sketches.
+
+    A group's members are dealt out over blocks; those outside its largest component visit every block.
+    """
+    members = torn_groups(many, found)
+    sketches = texts.withColumnRenamed("doc_id", "a").join(members.select("a", "band").distinct(), "a").select("a", "band", "text")
     sketches = sketches.mapInArrow(_bit_sketches(width), "a long, band int, sketch binary").dropDuplicates(["a", "band"])
-    # A cell with more members than a block has a group for each pair of blocks.
-    blocks = torn.withColumn("blocks", F.expr(f"cast(ceil(g / {BLOCK}) as int)")).withColumn("block", F.expr("cast(pmod(xxhash64(a), blocks) as int)"))
-    pairs = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.join(sketches, ["a", "band"]).select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "a", "n", "c", "block", "sketch")
-    return pairs.groupBy("key", "low", "high").applyInArrow(_apart(percent, nearest), "a long, b long").distinct()
+    placed = members.join(sketches, ["a", "band"]).withColumn("blocks", F.expr(f"cast(ceil(docs / {BLOCK}) as int)"))
+    resident = placed.withColumn("block", F.expr("cast(pmod(xxhash64(a), blocks) as int)")).withColumn("visits", F.lit(False))
+    visitor = placed.where("c <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
+    columns = ["g", "band", "block", "a", "n", "c", "visits", "sketch"]
+    return resident.select(*columns).unionAll(visitor.select(*columns)).groupBy("g", "band", "block").applyInArrow(_apart(percent, nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
