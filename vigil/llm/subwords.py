@@ -17,10 +17,10 @@ from tokenizers import Tokenizer
 
 from . import kit
 
-#: Distinct words a worker keeps; beyond that it begins anew.
-TABLE_WORDS = 1_500_000
+#: Distinct words a worker keeps, in some 30 MB; beyond that it begins anew.
+TABLE_WORDS = 500_000
 #: Words that wait before they are sorted into the table.
-RECENT_WORDS = 200_000
+RECENT_WORDS = 100_000
 #: Bytes of the longest run that is encoded in bulk.
 LONGEST = 32
 _ENCODERS: dict[str, Encoder] = {}
@@ -45,7 +45,7 @@ def _byte_names() -> list[str]:
 class Merges:
     """The merge list of a byte-level vocabulary with marked word ends, applied to many runs at a time."""
 
-    SLOTS = 1 << 21
+    SLOT_BITS = 19
 
     def __init__(self, model: dict):
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
@@ -62,7 +62,7 @@ class Merges:
         for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
             place = self._place(keys, odd)
             _, chosen = np.unique(place, return_index=True)
-            slot_key, slot_rank = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, _NONE, np.int32)
+            slot_key, slot_rank = np.full(1 << self.SLOT_BITS, -1, np.int64), np.full(1 << self.SLOT_BITS, _NONE, np.int32)
             slot_key[place[chosen]], slot_rank[place[chosen]] = keys[chosen], rank[chosen]
             self.tables.append((odd, slot_key, slot_rank))
             rest = np.ones(len(keys), bool)
@@ -72,7 +72,7 @@ class Merges:
         self.made = made
 
     def _place(self, keys: np.ndarray, odd: int) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(odd) >> np.uint64(64 - 21)).astype(np.int64)
+        return (keys.astype(np.uint64) * np.uint64(odd) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) * self.size + b
