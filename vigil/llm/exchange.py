@@ -1,6 +1,6 @@
 """Questions that groups of documents put to the whole corpus, and their answers.
 
-Documents are dealt out by a hash of their id, one bucket a shuffle partition. A bucket reduces
+Documents are dealt out by a hash of their id, one or a few buckets a shuffle partition. A bucket reduces
 what it asks to distinct sorted keys before anything is shuffled, so a key that a third of
 all documents share costs one entry a bucket, never one a document. Keys are dealt out by
 value; the task that holds a key sees one entry a bucket and answers each bucket in the
@@ -36,11 +36,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns of ``docs`` and a bucket, one bucket a partition. The first column is the id."""
+def bucketed(docs: DataFrame, *columns: str, per_part: int = 1) -> DataFrame:
+    """The columns of ``docs`` and a bucket, ``per_part`` buckets a partition. The first column is the id.
+
+    More buckets take less memory each; there is an answer for each bucket and partition.
+    """
     parts = partitions(docs.sparkSession)
-    bucket = F.pmod(F.xxhash64(columns[0]), F.lit(parts)).cast("int")
-    return docs.select(bucket.alias("bucket"), *columns).repartitionById(parts, "bucket")
+    bucket = F.pmod(F.xxhash64(columns[0]), F.lit(parts * per_part)).cast("int")
+    rows = docs.select(bucket.alias("bucket"), *columns)
+    return rows.repartitionById(parts, "bucket") if per_part == 1 else rows.repartition(parts, "bucket")
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -93,15 +97,16 @@ def answer(asked: DataFrame, combine: Callable[[list[bytes]], list[bytes]]) -> D
     return asked.repartitionById(parts, "part").mapInArrow(run, PACKED)
 
 
-def with_answers(buckets: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str) -> DataFrame:
-    """``use`` gets a bucket's documents and the answers by partition."""
+def with_answers(buckets: DataFrame, answers: DataFrame, use: Callable[[pa.Table, dict[int, bytes]], pa.Table], schema: str, per_part: int = 1) -> DataFrame:
+    """``use`` gets a bucket's documents and the answers by partition; ``per_part`` is that of ``buckets``."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             raise ValueError("an answer for a bucket without documents")
         return use(table, dict(zip(replies["part"].to_pylist(), replies["blob"].to_pylist(), strict=True)))
 
-    answers = answers.repartitionById(partitions(buckets.sparkSession), "bucket")
+    parts = partitions(buckets.sparkSession)
+    answers = answers.repartitionById(parts, "bucket") if per_part == 1 else answers.repartition(parts, "bucket")
     return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
 
 

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import exchange as X, kit
 from .graph import components
 
+#: Buckets of documents for each partition.
+BUCKETS = 4
 #: Documents that share a cell, up to which all their pairs are candidates.
 SMALL = 16
 #: Members of a group in a block, when their sketches are compared.
@@ -355,13 +357,13 @@ def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, perc
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, class_id`` (smallest id with the same set) and ``component_id`` (smallest id reachable by links)."""
     parts = X.partitions(docs.sparkSession)
-    buckets = X.bucketed(docs, "doc_id", "text")
+    buckets = X.bucketed(docs, "doc_id", "text", per_part=BUCKETS)
     counts = X.answer(X.ask(buckets, lambda t: _Bucket(t, width, percent, parts).question()), _count)
 
     def emit(table, replies):
         return _emit(_Bucket(table, width, percent, parts), table, replies, percent)
 
-    rows = X.stored(X.with_answers(buckets, counts, emit, _KINDS), "sketches")
+    rows = X.stored(X.with_answers(buckets, counts, emit, _KINDS, BUCKETS), "sketches")
     texts = rows.where(F.col("kind") == TEXT).select("doc_id", "text")
     few = rows.where(F.col("kind") == FEW).select("part", "blob").repartitionById(parts, "part").mapInArrow(_pairs(percent), "a long, b long")
     many = rows.where(F.col("kind") == MANY).select("key", F.col("doc_id").alias("a"), "n", F.col("part").alias("band"))

@@ -85,14 +85,12 @@ def weighted(counts: np.ndarray, repeats: np.ndarray, rarity: np.ndarray) -> np.
     return np.concatenate([b / np.maximum(np.sqrt((b * b).sum(1, keepdims=True)), 1e-9) for b in blocks], 1)
 
 
-def latent(x: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mean of the rows and their leading directions around it, by subspace iteration."""
-    mean = x.mean(0)
-    centred = x - mean
-    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((x.shape[1], min(rank, *x.shape))).astype(np.float32))[0]
+def latent(centred: np.ndarray, rank: int) -> np.ndarray:
+    """The leading directions of rows around their mean, by subspace iteration."""
+    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((centred.shape[1], min(rank, *centred.shape))).astype(np.float32))[0]
     for _ in range(8):
         basis = np.linalg.qr(centred.T @ (centred @ basis))[0]
-    return mean, basis
+    return basis
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -161,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, counts, repeats in _pieces(batches):
-            blobs = [np.concatenate([c, r]).astype(np.float32).tobytes() for c, r in zip(counts, repeats, strict=True)]
+            blobs = [x.tobytes() for x in weighted(counts, repeats, rarity).astype(np.float16)]
             yield pa.record_batch([rows["doc_id"], rows["quality"], pa.array(blobs, pa.binary())], ["doc_id", "quality", "terms"])
 
     # The sample is bounded, and so is what it sends: one row of terms each. Rows that repeat an id count once.
@@ -169,10 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
     rows = rows.groupBy("doc_id").agg(F.max(F.struct("quality", "terms")).alias("r")).select("doc_id", "r.*").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return Model(rarity, None, None, None, np.zeros(0))
-    x = np.frombuffer(b"".join(rows["terms"].to_pylist()), np.float32).reshape(rows.num_rows, TERMS + REPEATS)
-    x = weighted(x[:, :TERMS], x[:, TERMS:], rarity)
-    mean, basis = latent(x, RANK)
-    return Model(rarity, mean, basis, unit((x - mean) @ basis), rows["quality"].to_numpy().astype(np.float32))
+    x = np.frombuffer(b"".join(rows["terms"].to_pylist()), np.float16).reshape(rows.num_rows, TERMS + REPEATS).astype(np.float32)
+    mean = x.mean(0)
+    x -= mean
+    basis = latent(x, RANK)
+    return Model(rarity, mean, basis, unit(x @ basis), rows["quality"].to_numpy().astype(np.float32))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
