@@ -9,10 +9,11 @@ from datetime import date, datetime, timedelta
 from functools import reduce
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.timeparam import moment, utc
 from ..operators.maintenance import acceptable_spans
+from ..operators.segmented import written_once
 
 log = logging.getLogger(__name__)
 SEAL_GRACE = timedelta(minutes=20)
@@ -157,7 +158,7 @@ def compact_days(spark: SparkSession, path: str, now: datetime, *, run_id: str,
     readers (``current``) turn to them, so a crash before leaves the day as it was and a retry
     replaces its own files. ``drop_compacted`` removes the old folders at any later time.
     """
-    raw = spark.read.parquet(path)
+    raw = runs_of(spark, path)
     closed = F.col("date") < F.to_date(moment(now - SEAL_GRACE))
     open_runs = raw.where(closed).select("organization_id", "date", "run_id").distinct()
     before = compactions(spark, path)
@@ -181,9 +182,17 @@ def compactions(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema("organization_id int, date date, run_id string, compaction string").parquet(f"{path}-compactions")
 
 
+def runs_of(spark: SparkSession, path: str) -> DataFrame:
+    """What the runs wrote and is still there, which may be nothing once all days are compacted."""
+    if not exists(spark, f"{path}-days"):
+        return spark.read.parquet(path)
+    schema = spark.read.parquet(f"{path}-days").drop("compaction").schema
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])).parquet(path)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table's rows: those of compacted days, and of the runs that no compaction stands for."""
-    raw, listed = spark.read.parquet(path), compactions(spark, path)
+    raw, listed = runs_of(spark, path), compactions(spark, path)
     columns = [c for c in raw.columns if c != "run_id"]
     if listed is None:
         return raw.select(*columns)
@@ -303,7 +312,7 @@ def archive_then_expire(
         there.groupBy(*day).agg(F.count(F.lit(1)).alias("m")), day, "left")
     complete = F.coalesce(F.col("n") == F.col("m"), F.lit(False))
     counts = found.agg(F.sum(F.when(complete, F.col("n"))).alias("archived"), F.count_if(~complete).alias("failed")).first()
-    done = found.where(complete).select(*day)
+    done = written_once(found.where(complete).select(*day), "archived-days")
     remaining = hot.withColumn("date", F.to_date(time_column)).join(done.withColumn("_done", F.lit(True)), day, "left")
     remaining = remaining.where((F.col(time_column) >= edge) | F.col(time_column).isNull() | F.col("_done").isNull()).select(*hot.columns)
     deleted = expire(spark, path, days, now) if exists(spark, path) else 0
