@@ -150,7 +150,8 @@ def small_model():
     counts = rng.integers(0, 50, 300).astype(float)
     of, share = attention.classes(counts, rng.random(300) < 0.5)
     p = attention.start(np.bincount(of, weights=counts, minlength=attention.CLASSES))
-    return p, attention.embedding_rows(counts), of, share
+    pairs = np.unique(rng.integers(0, attention.CLASSES * 300, 2000))
+    return p, attention.embedding_rows(counts), of, attention.shares_behind(pairs, rng.integers(1, 9, len(pairs)), of, share)
 
 
 def test_id_probabilities_add_up(small_model):
@@ -179,7 +180,7 @@ def test_each_id_is_scored_once_by_its_window(small_model):
             x = p["embed"][rows[context[low: k + 1]]] + p["place"][: k + 1 - low]
             weight = np.exp(x[-1] @ p["q"] @ (x @ p["k"]).T / math.sqrt(attention.DIM))
             z = (x[-1] + weight @ (x @ p["v"]) / weight.sum() @ p["o"]) @ p["out"] + p["bias"]
-            assert math.isclose(logs[a + k], z[of[text[k]]] - math.log(np.exp(z).sum()) + share[text[k]], abs_tol=1e-3)
+            assert math.isclose(logs[a + k], z[of[text[k]]] - math.log(np.exp(z).sum()) + share[of[context[k]], text[k]], abs_tol=1e-3)
 
 
 def test_gradients(small_model):
