@@ -192,6 +192,26 @@ def stream_grouping(t: Tables):
     return folded.select("issue_id", "title", "count", "first_seen", "last_seen", "last_release", "status")
 
 
+@query("st08_short_ids_and_notifications", """
+WITH stored AS (SELECT issue_id, project_id, hash, status, resolved_in_release, count AS short_id FROM issues WHERE culprit <> 'app.mod3'),
+fresh AS (SELECT issue_id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY first_seen, hash) AS n FROM issues WHERE culprit = 'app.mod3'),
+top AS (SELECT project_id, max(short_id) AS top FROM stored GROUP BY project_id),
+links AS (SELECT event_id // 10 AS notification_id, issue_id FROM issue_events GROUP BY ALL),
+hits AS (SELECT DISTINCT s.issue_id FROM stored s JOIN issue_events e ON e.issue_id = s.issue_id WHERE s.status = 1 AND (s.resolved_in_release IS NULL OR (e.release IS NOT NULL AND e.release <> s.resolved_in_release)))
+SELECT 'issue' AS kind, issue_id, CAST(short_id AS BIGINT) AS number FROM stored
+UNION ALL SELECT 'issue' AS kind, f.issue_id, CAST(f.n + coalesce(t.top, 0) AS BIGINT) AS number FROM fresh f LEFT JOIN top t ON t.project_id = f.project_id
+UNION ALL SELECT 'link' AS kind, issue_id, notification_id AS number FROM links WHERE notification_id NOT IN (SELECT notification_id FROM links WHERE issue_id IN (SELECT issue_id FROM hits))""")
+def stream_short_ids(t: Tables):
+    """New issues get the next numbers of their project, reopened ones lose their notifications."""
+    out, events = t.scratch("short-ids"), t("issue_events").drop("issue_id")
+    drain(t, "short-ids", by_half(events, "received", "2024-01-16"), lambda s: jobs.group_events(s, out))
+    stored, deltas = t("issues").where("culprit <> 'app.mod3'").withColumn("short_id", F.col("count")), t.spark.read.parquet(out)
+    links = t("issue_events").select(F.expr("event_id div 10").alias("notification_id"), "issue_id").distinct()
+    folded = jobs.fold_issues(deltas, stored).select(F.lit("issue").alias("kind"), "issue_id", F.col("short_id").alias("number"))
+    kept = jobs.fold_notifications(deltas, stored, links)
+    return folded.unionByName(kept.select(F.lit("link").alias("kind"), "issue_id", F.col("notification_id").alias("number")))
+
+
 @query("st09_poison_records", """
 SELECT event_id % 13 = 0 AS broken, count(*) AS count FROM events GROUP BY 1""")
 def stream_poison_records(t: Tables):

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timeparam import moment, slot, utc
 from ..operators import alerts, issues, logs, uptime
-from ..operators.segmented import join_on_keys
+from ..operators.segmented import join_on_keys, time_slot, with_row_number, written_once
 from ..operators.upsert import first_per_key, update_matching
 from ..sources.storage import drop_folders, exists
 
@@ -300,6 +300,25 @@ def group_events(events: DataFrame, path: str):
     return in_pieces(events, path, build)
 
 
+def reopened_by(folded: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored resolved issues that the folded events reopen.
+
+    A release other than the resolving one occurred iff the smallest or largest differs.
+    """
+    state = stored.select(*issues.EVENT_KEYS, "status", "resolved_in_release")
+    other = (F.col("release_min") != F.col("resolved_in_release")) | (F.col("release_max") != F.col("resolved_in_release"))
+    hit = (F.col("status") == issues.RESOLVED) & (F.col("resolved_in_release").isNull() | F.coalesce(other, F.lit(False)))
+    return join_on_keys(folded, state, issues.EVENT_KEYS).where(hit)
+
+
+def fold_notifications(deltas: DataFrame, stored: DataFrame, links: DataFrame) -> DataFrame:
+    """Notification links without the notifications of issues that the deltas reopen."""
+    releases = deltas.groupBy(*issues.EVENT_KEYS).agg(F.min("release_min").alias("release_min"), F.max("release_max").alias("release_max"))
+    named = stored.select(*issues.EVENT_KEYS, F.col("issue_id"))
+    gone = join_on_keys(reopened_by(releases, stored), named, issues.EVENT_KEYS).select("issue_id")
+    return issues.drop_notifications(links, gone)
+
+
 def fold_issues(deltas: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Issues from the change rows of all batches (``batch_id`` column), on top of a stored table.
 
@@ -316,17 +335,17 @@ def fold_issues(deltas: DataFrame, stored: DataFrame | None = None) -> DataFrame
     ).withColumn("issue_id", issues.issue_key(F.col("project_id"), F.col("hash")))
     if stored is None:
         return folded.drop("release_min", "release_max")
-    # A release other than the resolving one occurred iff the smallest or largest differs.
-    state = stored.select(*issues.EVENT_KEYS, "status", "resolved_in_release")
-    touched = join_on_keys(folded, state, issues.EVENT_KEYS)
-    other = (F.col("release_min") != F.col("resolved_in_release")) | (F.col("release_max") != F.col("resolved_in_release"))
-    reopened = touched.where(
-        (F.col("status") == issues.RESOLVED) & (F.col("resolved_in_release").isNull() | F.coalesce(other, F.lit(False)))
-    )
+    reopened = reopened_by(folded, stored)
     added = folded.select("issue_id", F.col("count").alias("added"), "last_seen", "last_release")
     known = issues.apply_rollup(stored, added)
     known = update_matching(known, reopened, ["issue_id"], status=F.lit(issues.UNRESOLVED), resolved_in_release=F.lit(None).cast("string"))
     fresh = join_on_keys(folded.drop("release_min", "release_max"), stored, issues.EVENT_KEYS, "left_anti")
     fresh = fresh.withColumn("status", F.lit(issues.UNRESOLVED)).withColumn("resolved_in_release", F.lit(None).cast("string"))
     columns = [*issues.EVENT_KEYS, "issue_id", "title", "count", "first_seen", "last_seen", "last_release", "status", "resolved_in_release"]
+    if "short_id" in stored.columns:
+        # New issues go on where their project's numbers end.
+        fresh = with_row_number(written_once(fresh, "fresh"), ["project_id"], time_slot(F.col("first_seen"), issues.SLOT), ["first_seen", "hash"], "short_id")
+        top = stored.groupBy("project_id").agg(F.max("short_id").alias("_top"))
+        fresh = fresh.join(top, "project_id", "left").withColumn("short_id", F.col("short_id") + F.coalesce("_top", F.lit(0)))
+        columns.append("short_id")
     return known.select(*columns).unionByName(fresh.select(*columns))
