@@ -56,10 +56,10 @@ def test_near_copies_around_the_threshold(make, size, edits):
     assert found(jaccard_join.near_duplicates(make(rows))) == brute(rows)
 
 
-@pytest.mark.parametrize("wider", [8, 0])
-def test_blocks_of_a_frequent_cell(make, monkeypatch, wider):
+@pytest.mark.parametrize("most", [jaccard_join.MOST_PAIRS, (0.0, 0.0, float("inf"))])
+def test_blocks_of_a_frequent_cell(make, monkeypatch, most):
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "WIDER", wider)
+    monkeypatch.setattr(jaccard_join, "MOST_PAIRS", most)
     rows = list(enumerate(near_copies(9, 70, 40, 4)))
     assert found(jaccard_join.near_duplicates(make(rows))) == brute(rows)
 

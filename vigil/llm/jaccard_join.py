@@ -19,7 +19,7 @@ joined. A cell that at most ``SMALL`` documents share gives all its pairs. A mor
 links its members to its first. Where that leaves members in different components, their bit
 sketches, 8 to 32 bits a shingle, are compared in blocks of ``BLOCK`` members: those outside the
 largest component with all. Only pairs from different components whose distance allows a link
-go on to be verified: first the nearest of each member, then all that still lie apart. So no link between components is missed, and
+go on to be verified; where those are many, the nearest first, then what still lies apart. So no link between components is missed, and
 no pair inside one is listed.
 
 Defined cases: a null or empty text, or one of white space, has the empty set, which is
@@ -45,8 +45,8 @@ BUCKETS = 4
 SMALL = 16
 #: Members of a group in a block, when their sketches are compared.
 BLOCK = 4096
-#: How many times the documents of its largest cell a group of cells may have.
-WIDER = 8
+#: Near pairs for each member above which a round takes each visitor's nearest only; the last round takes all.
+MOST_PAIRS = (8.0, 8.0, 8.0, float("inf"))
 #: Sets below this size have a cell for each shingle.
 TINY_LEVEL = 2
 U64 = np.uint64
@@ -300,23 +300,28 @@ def _bit_sketches(width: int):
     return run
 
 
-def _apart(percent: int, nearest: bool):
-    """Pairs of a visitor of a block and a resident that lie in different components and may be linked."""
+def _apart(percent: int, most: float):
+    """Pairs of a visitor of a block and a resident that lie in different components and may be linked.
+
+    If there are more than ``most`` for each member, those of each visitor with its nearest, and ``again``.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         doc, size, name, visits = (table[c].to_numpy() for c in ("a", "n", "c", "visits"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(doc), -1)
-        here, found = np.flatnonzero(~visits), set()
+        here, every, nearest = np.flatnonzero(~visits), [], []
         for i in np.flatnonzero(visits):
             at = here[(name[here] != name[i]) & (100 * np.minimum(size[here], size[i]) >= percent * np.maximum(size[here], size[i]))]
             apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1, dtype=np.int64)
             near = apart * (100 + percent) <= (100 - percent) * (size[at] + size[i])
             at, apart = at[near], apart[near]
-            if nearest and len(at):
-                at = at[[np.argmin(apart)]]
-            found.update((min(doc[i], doc[j]), max(doc[i], doc[j])) for j in at)
-        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            if len(at):
+                nearest.append((doc[i], doc[at[np.argmin(apart)]]))
+                every.append(np.stack([np.full(len(at), doc[i]), doc[at]], 1))
+        again = sum(map(len, every)) > most * len(doc)
+        pairs = np.array(nearest, np.int64).reshape(-1, 2) if again or not every else np.concatenate(every)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "again": pa.array(np.full(len(pairs), again))})
 
     return run
 
@@ -324,25 +329,20 @@ def _apart(percent: int, nearest: bool):
 def torn_groups(many: DataFrame, found: DataFrame) -> DataFrame:
     """Members of frequent cells that span components: ``g, band, a, n, c`` (the component) and ``main`` (the group's largest one).
 
-    Cells of like documents have nearly the same members, so cells that share members form one
-    group; only where that would be more than ``WIDER`` times its largest cell is each cell its own.
+    Cells of like documents have nearly the same members; those with the same first member form one group.
     """
     named = many.join(found.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", "band", F.coalesce("component", "a").alias("c"))
-    cells = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("a").alias("head"), F.count("*").alias("members"))
-    torn = X.stored(named.join(cells.where("low < high").select("key", "head", "members"), "key"), "torn")
-    groups = components(torn.select("a", F.col("head").alias("b")))
-    wide = torn.join(groups.withColumnRenamed("node", "a"), "a").withColumnRenamed("component", "super")
-    size = wide.select("super", "band", "a", "members").groupBy("super", "band").agg(F.count_distinct("a").alias("docs"), F.max("members").alias("largest"))
-    chosen = F.when(F.col("docs") <= WIDER * F.col("largest"), F.col("super")).otherwise(F.col("key"))
-    members = X.stored(wide.join(size, ["super", "band"]).select(chosen.alias("g"), "band", "a", "n", "c").distinct(), "groups")
+    cells = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("a").alias("g")).where("low < high").select("key", "g")
+    members = X.stored(named.join(cells, "key").select("g", "band", "a", "n", "c").distinct(), "torn")
     main = members.groupBy("g", "band", "c").agg(F.count("*").alias("m")).groupBy("g", "band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("docs"))
     return members.join(main.select("g", "band", F.col("top.c").alias("main"), "docs"), ["g", "band"])
 
 
-def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, nearest: bool) -> DataFrame:
+def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, most: float) -> DataFrame:
     """Pairs (``a``, ``b``) that share a frequent cell, lie in different components and are near by their sketches.
 
     A group's members are dealt out over blocks; those outside its largest component visit every block.
+    ``again`` tells of groups that have given the nearest pairs only.
     """
     members = torn_groups(many, found)
     sketches = texts.withColumnRenamed("doc_id", "a").join(members.select("a", "band").distinct(), "a").select("a", "band", "text")
@@ -351,7 +351,7 @@ def across(many: DataFrame, found: DataFrame, texts: DataFrame, width: int, perc
     resident = placed.withColumn("block", F.expr("cast(pmod(xxhash64(a), blocks) as int)")).withColumn("visits", F.lit(False))
     visitor = placed.where("c <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
     columns = ["g", "band", "block", "a", "n", "c", "visits", "sketch"]
-    return resident.select(*columns).unionAll(visitor.select(*columns)).groupBy("g", "band", "block").applyInArrow(_apart(percent, nearest), "a long, b long").distinct()
+    return resident.select(*columns).unionAll(visitor.select(*columns)).groupBy("g", "band", "block").applyInArrow(_apart(percent, most), "a long, b long, again boolean")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -372,11 +372,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     to_head = many.join(heads, "key").selectExpr("a", "head.a AS b", "n", "head.n AS m").where(f"a <> b AND {fits}").select("a", "b")
     links = X.stored(verified(few.unionAll(to_head).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, width, percent), "links")
     found = X.stored(components(links), "components")
-    for nearest in (True, False):
-        more = X.stored(verified(across(many, found, texts, width, percent, nearest), texts, width, percent), "links")
+    for most in MOST_PAIRS:
+        near = X.stored(across(many, found, texts, width, percent, most), "near")
+        more = X.stored(verified(near.select("a", "b").distinct(), texts, width, percent), "links")
         if more.take(1):
             links = links.unionAll(more)
             found = X.stored(components(links), "components")
+        if not near.where("again").take(1):
+            break
     every = rows.where(F.col("kind") == DOC).select("doc_id", F.col("n").alias("n_shingles"), "class_id")
     out = every.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
