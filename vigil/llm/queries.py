@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
 from . import fingerprints, jaccard_join, line_dedup, lm, mixing, packing, quality, rules, substring_dedup, suffix_dedup
+from .checks import SQL  # noqa: F401 - registered beside the queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: Results that SQL can state.
-SQL: dict[str, str] = {}
 
 
 def query(run):
@@ -30,13 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.dedup_passages(documents(spark, sf_dir), window=50)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "removed")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_duplicates(documents(spark, sf_dir), width=5, percent=75)
-    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query
