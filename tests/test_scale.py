@@ -175,14 +175,13 @@ def plan_of(df):
 
 
 def test_newest_and_first_rows_need_no_sorted_aggregation(spark, sf_dir):
-    from vigil.operators import issues, upsert, uptime
+    from vigil.operators import issues, upsert
     from vigil.sources.domain import table
 
     events = table(spark, sf_dir, "issue_events")
     for df in (issues.latest_events(events.select("issue_id", "event_id", "received", "title")), issues.group_batch(events), issues.rollup_updates(events),
                upsert.latest_per_key(events, ["issue_id"], ["received", "event_id"]), upsert.first_per_key(events, ["project_id", "hash"], ["received", "event_id"])):
         assert "SortAggregate" not in plan_of(df)
-    del uptime
 
 
 def test_extremes_settle_ties_and_nulls(spark):
