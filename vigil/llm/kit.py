@@ -19,6 +19,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: A null document id orders after every other.
 NO_ID = np.iinfo(np.int64).max
 
+#: Powers are kept in steps of so many; bytes are hashed fewer than 16 steps at a time.
+STEP = 1 << 16
+CHUNK = 15 * STEP
+
 _LANES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _TABLES = [np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.int64).astype(U64) | U64(1) for seed in (11, 29)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -87,7 +91,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(lane)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = -(-n // STEP) * STEP
         base = _LANES[lane]
         up, down = np.full(size, U64(base)), np.full(size, U64(pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
@@ -111,10 +115,10 @@ def byte_values(data: np.ndarray, lane: int = 0) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
-    """A hash of each word's bytes, worked out a few megabytes at a time."""
+    """A hash of each word's bytes, worked out ``CHUNK`` bytes at a time."""
     out, at = np.empty(len(start), U64), 0
     while at < len(start):
-        stop = max(at + 1, int(np.searchsorted(end, start[at] + (2 << 20), "right")))
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK, "right")))
         low = int(start[at])
         sums = prefix(byte_values(data[low: int(end[stop - 1])], lane), lane)
         out[at:stop] = span(sums, start[at:stop] - low, end[at:stop] - low, lane)
