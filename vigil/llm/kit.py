@@ -91,7 +91,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _powers(n: int, lane: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(lane)
     if have is None or len(have[0]) < n:
-        size = -(-n // STEP) * STEP
+        size = max(-(-n // STEP), 1) * STEP
         base = _LANES[lane]
         up, down = np.full(size, U64(base)), np.full(size, U64(pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
