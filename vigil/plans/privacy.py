@@ -51,8 +51,11 @@ def scrub_conversations(t: Tables):
 KEYS = """CASE event_id % 16 WHEN 0 THEN 'auth_token' WHEN 1 THEN 'author' WHEN 2 THEN 'userPassword' WHEN 3 THEN 'X-Api-Key' WHEN 4 THEN 'tokenizer' WHEN 5 THEN 'sessionId'
  WHEN 6 THEN 'card_number' WHEN 7 THEN 'HTTPAuthHeader' WHEN 8 THEN 'my secret.value' WHEN 9 THEN 'pinned' WHEN 10 THEN event_type WHEN 11 THEN 'publicToken' WHEN 12 THEN 'internal-code'
  WHEN 13 THEN '' WHEN 14 THEN 'PIN' ELSE 'Set_Cookie' END"""
-TOKEN_LIST = ", ".join(f"'{k}'" for k in pii.KEY_TOKENS)
-WHOLE_LIST = ", ".join(f"'{k}'" for k in pii.WHOLE_KEYS)
+# Fixed values, written out so that the check does not follow a mistake in the package's lists.
+TOKEN_LIST = """'password', 'passwd', 'passphrase', 'pwd', 'pin', 'secret', 'auth', 'bearer', 'credentials', 'token', 'session', 'cookie', 'csrf', 'xsrf', 'ssn',
+ 'cvv', 'cvc'"""
+WHOLE_LIST = """'apikey', 'xapikey', 'authorization', 'csrftoken', 'xcsrftoken', 'sessionid', 'setcookie', 'connectsid', 'aiohttpsession', 'mysqlpwd', 'xforwardedfor',
+ 'privatekey', 'creditcard', 'cardnumber', 'socialsecurity'"""
 
 
 @query("x02_scrub_map", f"""
