@@ -110,6 +110,15 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) ->
     return mix((sums[end] - sums[start]) * _powers(len(sums), lane)[1][start])
 
 
+def neighbours(sums: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """A hash of each run of ``width`` neighbouring values; lightly mixed, to be compared or mixed again."""
+    h = sums[width:] - sums[:-width]
+    h *= _powers(len(h), lane)[1]
+    h ^= h >> U64(32)
+    h *= U64(0xFF51AFD7ED558CCD)
+    return h
+
+
 def byte_values(data: np.ndarray, lane: int = 0) -> np.ndarray:
     return _TABLES[lane][data]
 
