@@ -332,6 +332,7 @@ def torn_groups(many: DataFrame, found: DataFrame) -> DataFrame:
     Cells of like documents have nearly the same members; those with the same first member form one group.
     """
     named = many.join(found.withColumnRenamed("node", "a"), "a", "left").select("key", "a", "n", "band", F.coalesce("component", "a").alias("c"))
+    named = X.stored(named, "named")
     cells = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("a").alias("g")).where("low < high").select("key", "g")
     members = X.stored(named.join(cells, "key").select("g", "band", "a", "n", "c").distinct(), "torn")
     main = members.groupBy("g", "band", "c").agg(F.count("*").alias("m")).groupBy("g", "band").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("docs"))
