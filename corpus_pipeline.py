@@ -8,7 +8,8 @@ same columns; the last returns pieces of packed sequences.
    one; ``n_chars`` follows, and a document left without a word goes.
 3. ``near_duplicates``: of each group of near-duplicates the one with the smallest id stays.
 4. ``mixing``: documents are written in the order of the source schedule, none is dropped.
-5. ``packing``: sequences of at most 4096 ids along the space-filling curve.
+5. ``packing``: sequences of at most 4096 ids that follow the source schedule of stage 4, along
+   the space-filling curve inside each run of ``packing.TURN_SLOTS`` slots.
 
 Defined cases: empty texts pass all stages; documents without id are never near-duplicates and
 stay; rows that repeat an id count as one document in stage 3, and one of them stays; null
@@ -52,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.packed(docs)
+    return queries.packed(docs, scheduled=True)
 
 
 STAGES = [("quality", keep_good), ("line_dedup", drop_common_lines), ("near_duplicates", keep_one_of_each_group), ("mixing", mix), ("packing", pack)]

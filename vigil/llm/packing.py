@@ -6,7 +6,13 @@ mean and spread of each coordinate, they give a Hilbert key. Documents are range
 that key and form one stream of ids along the curve, cut every ``length`` ids: neighbours on
 the curve, documents of like content, share sequences, and only the last sequence is padded.
 
-The ids are written once. The order is worked out on (key, row, number of ids) alone: a range
+With ``scheduled`` the stream follows the source schedule of ``mixing.py``: the documents of
+``TURN_SLOTS`` consecutive slots form a turn, turns come in order, and the curve orders the
+documents of a turn. So up to the end of any turn each source has had its weight's share to
+within less than a block of documents, until a source runs out. The schedule follows from ids
+and sources, so it is worked out from those and does not depend on how files are read.
+
+The ids are written once. The order is worked out on (turn, key, row, number of ids) alone: a range
 shuffle, running sums inside its partitions, and the sum of the partitions before. Documents
 with equal keys, such as copies, are spread by row, so no partition has to hold them all.
 
@@ -24,13 +30,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import exchange as X, kit
+from . import exchange as X, kit, mixing
 from .subwords import encoder
 
 HASHED = 512
 DIMS = 4
 BITS = 12
 END = 2
+#: Slots of the source schedule whose documents the curve orders among themselves.
+TURN_SLOTS = 16
 
 
 def projection(vocabulary: int) -> np.ndarray:
@@ -65,7 +73,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-_IDS = "doc_id long, ids binary, n long, " + ", ".join(f"c{d} double" for d in range(DIMS))
+_IDS = "doc_id long, source string, ids binary, n long, " + ", ".join(f"c{d} double" for d in range(DIMS))
 
 
 def narrow(tokenizer: str, end: int) -> str:
@@ -74,7 +82,7 @@ def narrow(tokenizer: str, end: int) -> str:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """``doc_id``, all ids with ``end`` behind them as little-endian bytes (of type ``narrow``), their number, and the coordinates."""
+    """``doc_id``, ``source`` (null without such a column), all ids with ``end`` behind them as little-endian bytes (of type ``narrow``), their number, and the coordinates."""
     kind = np.dtype(narrow(tokenizer, end))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +99,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                 # Every document has its end id, so no run is empty.
                 coordinates = [np.add.reduceat(table[ids, d], at[:-1]) / n for d in range(DIMS)]
                 raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), docs_here, [None, pa.py_buffer(kind.itemsize * at), pa.py_buffer(ids.astype(kind))])
-                yield pa.record_batch([batch["doc_id"].slice(a, docs_here), raw.cast(pa.binary()), pa.array(n), *map(pa.array, coordinates)],
-                                      ["doc_id", "ids", "n", *(f"c{d}" for d in range(DIMS))])
+                yield pa.record_batch([batch["doc_id"].slice(a, docs_here), batch["source"].slice(a, docs_here), raw.cast(pa.binary()), pa.array(n), *map(pa.array, coordinates)],
+                                      ["doc_id", "source", "ids", "n", *(f"c{d}" for d in range(DIMS))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _IDS)
+    source = F.col("source") if "source" in docs.columns else F.lit(None)
+    return docs.select("doc_id", source.cast("string").alias("source"), "text").mapInArrow(run, _IDS)
 
 
 def _keys(mean: list[float], spread: list[float]):
@@ -102,7 +111,7 @@ def _keys(mean: list[float], spread: list[float]):
         for batch in batches:
             side = 1 << BITS
             cells = np.stack([np.clip(((batch[f"c{d}"].to_numpy() - mean[d]) / spread[d] + 4) / 8 * side, 0, side - 1) for d in range(DIMS)], 1)
-            yield pa.record_batch([batch["row"], batch["n"], pa.array(hilbert_keys(cells.astype(np.int64), BITS))], ["row", "n", "key"])
+            yield pa.record_batch([batch["row"], batch["n"], batch["turn"], pa.array(hilbert_keys(cells.astype(np.int64), BITS))], ["row", "n", "turn", "key"])
 
     return run
 
@@ -140,14 +149,21 @@ def _cut(length: int, kind: str):
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, key long"
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = END) -> DataFrame:
-    """One row for each piece of a document in a sequence, with its ids as 32-bit little-endian bytes."""
+def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end: int = END, scheduled: bool = False) -> DataFrame:
+    """One row for each piece of a document in a sequence, with its ids as 32-bit little-endian bytes.
+
+    ``scheduled`` has the sequences follow the source schedule.
+    """
     parts = X.partitions(docs.sparkSession)
     tokens = X.stored(tokenized(docs, tokenizer, end).withColumn("row", F.monotonically_increasing_id()), "tokens")
     moments = tokens.agg(*[f(f"c{d}") for d in range(DIMS) for f in (F.avg, F.stddev_pop)]).first()
     mean, spread = [moments[2 * d] or 0.0 for d in range(DIMS)], [moments[2 * d + 1] or 1.0 for d in range(DIMS)]
-    keyed = tokens.select("row", "n", *[f"c{d}" for d in range(DIMS)]).mapInArrow(_keys(mean, spread), "row long, n long, key long")
-    ordered = keyed.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
+    placed, turn = tokens.drop("ids"), F.lit(0)
+    if scheduled:
+        placed, turn = mixing.mix_sources(placed), F.expr(f"mix_slot div {TURN_SLOTS}")
+    placed = placed.select("row", "n", turn.cast("long").alias("turn"), *[f"c{d}" for d in range(DIMS)])
+    keyed = placed.mapInArrow(_keys(mean, spread), "row long, n long, turn long, key long")
+    ordered = keyed.repartitionByRange(parts, "turn", "key", "row").sortWithinPartitions("turn", "key", "row")
     ordered = X.stored(ordered.mapInArrow(_running, "row long, key long, n long, part int, before long"), "order")
     # One row for each partition of the order.
     sums = ordered.groupBy("part").agg(F.sum("n").alias("m"))

@@ -55,8 +55,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir).select("doc_id", "source"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096)
+def packed(docs: DataFrame, scheduled: bool = False) -> DataFrame:
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=4096, scheduled=scheduled)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "key")
 
 
