@@ -1,7 +1,11 @@
 """Source shares of the schedule and of what is packed by it."""
 
+import math
 import random
 from collections import Counter
+from itertools import islice
+
+import pytest
 
 import corpus_pipeline
 from vigil.llm import mixing, packing
@@ -23,3 +27,28 @@ def test_packed_sequences_follow_the_target_weights(spark, make, sf_dir):
     turn = packing.TURN_SLOTS * mixing.BLOCK_DOCS
     for source, weight in {"hot": 4 / 7, "cold": 2 / 7, "rare": 1 / 7}.items():
         assert abs(order[:turn].count(source) - turn * weight) < mixing.BLOCK_DOCS
+
+
+@pytest.mark.parametrize("weights", [
+    {"a": 1 / 3, **{str(i): 2 / 57 for i in range(19)}}, {"a": 1 / 3, **{str(i): 2 / 2997 for i in range(999)}},
+    {"a": 0.9999, "b": 0.0001}, {"a": 0.3, "b": 0.7, "c": 0.0}, {str(i): math.sqrt(i + 2) for i in range(50)}])
+def test_no_source_strays_by_a_block_from_the_weights_given(weights):
+    share = mixing.shares(weights, mixing.SLOTS)
+    total = sum(weights.values())
+    rows = sorted(((s, n, 10**6) for s, n in share.items() if n), key=lambda r: (-r[1], r[0]))
+    done, checked = Counter(), max(weights, key=lambda s: (weights[s], s))
+    for t, (s, _, slot, release, deadline) in enumerate(islice(mixing.schedule(rows, sum(share.values()), 0), 30_000)):
+        assert slot == t and release <= slot < deadline
+        done[s] += 1
+        assert abs(done[checked] - (t + 1) * weights[checked] / total) < 1
+        if t % 997 == 0:
+            assert all(abs(done[x] - (t + 1) * w / total) < 1 for x, w in weights.items())
+
+
+def test_sources_without_weight_come_last(make):
+    rows = [(i, "t", "abc"[i % 3]) for i in range(300)]
+    got = mixing.mix_sources(make(rows), {"a": 0.75, "b": 0.25, "c": 0.0}, block_docs=4).toPandas()
+    assert sorted(got.doc_id) == list(range(300)) and got.groupby("mix_slot").source.nunique().max() == 1
+    last = {s: (g.mix_slot.min(), g.mix_slot.max()) for s, g in got.groupby("source")}
+    assert last["c"][0] > max(last["a"][1], last["b"][1])
+    assert ((got.mix_release <= got.mix_slot) & (got.mix_slot < got.mix_deadline)).all()

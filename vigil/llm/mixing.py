@@ -1,68 +1,128 @@
 """Interleaving of sources to target weights by proportionate-fair (Pfair) scheduling.
 
 Method: each source's documents, in an order drawn from a hash of the id, form blocks of
-``block_docs`` documents. With weight a / A (A slots a cycle, the a of all sources adding up
-to A), block k of a source is released at floor(k A / a) and due by ceil((k + 1) A / a); in each
-slot the released block with the earliest deadline runs. No deadline is missed, so up to any
-slot a source has had its weight's share to within less than one block, until it runs out.
+``block_docs`` documents. With weight w (the weights of all sources adding up to 1), block k of
+a source is released at floor(k / w) and due by ceil((k + 1) / w); in each slot the released
+block with the earliest deadline runs. No deadline is missed, so up to any slot a source has
+had its weight's share to within less than one block, until it runs out.
 
-The schedule repeats after A slots, since all releases and deadlines shift by A. One cycle,
-a table of A rows whatever the corpus holds, is worked out once; a block's slot follows from
-its number by a join with that table. Numbering a source's documents takes one range shuffle;
-a source that holds a third of all documents spans many of its partitions.
+Weights are whole parts of a total, as wide as Python's integers in the schedule: given weights
+are exact if ``slots`` parts or fewer have them, else rounded to ``slots`` parts (2 to the 40th:
+the error stays under a block for that many slots). The schedule holds a row for each block and
+is joined with the documents by source and block. Numbering a source's documents takes one
+range shuffle; a source that holds a third of all documents spans many of its partitions.
 
 All documents get a slot. Once a source has run out its slots stay empty and the others go on
 at their pace. Weights are given or, if None, follow the square root of the sources' sizes.
 
-Defined cases: a null source is a source of its own; a source without a weight gets one slot a
-cycle; a null id or text is carried along; repeated rows each get a place; an empty table gives
-an empty result; further columns are carried along, those named like an added one are replaced.
+Defined cases: a null source is a source of its own; sources without a weight come, at equal
+weights, behind all that have one; a null id or text is carried along; repeated rows each get a
+place; an empty table gives an empty result; further columns are carried along, those named like
+an added one are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import carried, restored
 from .exchange import partitions, stored
 
 BLOCK_DOCS = 64
-SLOTS = 1000
+SLOTS = 1 << 40
 ADDED = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_place")
 
 
+def _exact(weight: float) -> Fraction:
+    """The short fraction that a float stands for (0.3, 1 / 3), or else its own value."""
+    whole = Fraction(max(weight, 0))
+    short = whole.limit_denominator(10**9)
+    return short if abs(short - whole) * 10**15 <= whole else whole
+
+
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Whole slots for each source, at least one, that add up to the slots of a cycle (largest remainders)."""
-    slots = max(slots, 2 * len(weights))
-    total = sum(weights.values()) or 1.0
-    spare = slots - len(weights)
-    exact = {s: spare * max(w, 0.0) / total for s, w in weights.items()}
-    out = {s: 1 + math.floor(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (math.floor(exact[s]) - exact[s], s))
+    """Each source's weight in whole parts: exact if at most ``slots`` parts have them, else ``slots`` parts by largest remainders."""
+    exact = {s: _exact(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    if not total:
+        return dict.fromkeys(weights, 0)
+    parts = 1
+    for w in exact.values():
+        parts = math.lcm(parts, (w / total).denominator)
+        if parts > slots:
+            break
+    else:
+        return {s: int(w / total * parts) for s, w in exact.items()}
+    exact = {s: w / total * slots for s, w in exact.items()}
+    out = {s: math.floor(x) for s, x in exact.items()}
+    order = sorted(weights, key=lambda s: (out[s] - exact[s], s))
     for s in order[: slots - sum(out.values())]:
         out[s] += 1
     return out
 
 
-def cycle(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One cycle by earliest deadline first: source, block in the cycle, slot, release, deadline."""
-    slots = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(slots):
+def _earliest(sources: Iterator[tuple[str, int, int]], total: int, base: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """As ``schedule``, for sources that all have parts, from slot ``base`` on."""
+    head = next(sources, None)
+    waiting: list[tuple[int, str, int, int, int]] = []
+    ready: list[tuple[int, str, int, int, int, int]] = []
+    slot = base
+    while head or ready or waiting:
+        if not head and not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
-            release, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * slots // share[s]), s, k, release))
-        deadline, s, k, release = heapq.heappop(ready)
-        out.append((s, k, slot, release, deadline))
-        if k + 1 < share[s]:
-            heapq.heappush(waiting, ((k + 1) * slots // share[s], s, k + 1))
-    return out
+            release, s, k, parts, blocks = heapq.heappop(waiting)
+            heapq.heappush(ready, (base - (-(k + 1) * total // parts), s, k, parts, blocks, release))
+        # First blocks are all released at the start; they stand in the order of their deadlines.
+        if head and (not ready or base - (-total // head[1]) <= ready[0][0]):
+            s, parts, blocks = head
+            deadline, k, release, head = base - (-total // parts), 0, base, next(sources, None)
+        else:
+            deadline, s, k, parts, blocks, release = heapq.heappop(ready)
+        yield s, k, slot, release, deadline
+        if k + 1 < blocks:
+            heapq.heappush(waiting, (base + (k + 1) * total // parts, s, k + 1, parts, blocks))
+        slot += 1
+
+
+def schedule(sources: Iterable[tuple[str, int, int]], total: int, idle: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """Source, block, slot, release and deadline of each block, earliest deadline first.
+
+    ``sources`` are names, parts (of ``total``) and numbers of blocks, most parts first; the
+    ``idle`` ones without parts come behind all others. Only sources that have begun and not
+    ended are held.
+    """
+    base = 0
+    for weighted, some in groupby(sources, lambda r: r[1] > 0):
+        rows = some if weighted else ((s, 1, blocks) for s, _, blocks in some)
+        for row in _earliest(rows, total if weighted else idle, base):
+            yield row
+        base = row[2] + 1
+
+
+def cycle(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One cycle: as many blocks of each source as it has parts."""
+    return list(schedule(sorted(((s, n, n) for s, n in share.items() if n), key=lambda r: (-r[1], r[0])), sum(share.values()), 0))
+
+
+SCHEDULE = "_source string, _block long, mix_slot long, mix_release long, mix_deadline long"
+_SCHEDULE = [c.split()[0] for c in SCHEDULE.split(", ")]
+
+
+def _scheduled(total: int, idle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = schedule((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), total, idle)
+        while got := list(islice(rows, 1 << 14)):
+            yield pa.record_batch([pa.array(c) for c in zip(*got, strict=True)], _SCHEDULE)
+
+    return run
 
 
 def source_key() -> Column:
@@ -82,19 +142,15 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     held = stored(held.select("_part", "_source", "n", (F.sum("n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("n") - F.col("low")).alias("shift")), "held")
     sizes = {r["_source"]: r["n"] for r in held.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
     if weights is None:
-        given = {s: math.sqrt(n) for s, n in sizes.items()}
+        share = {s: math.isqrt(n << 40) for s, n in sizes.items()}
     else:
         named = {"null" if s is None else f"={s}": w for s, w in weights.items()}
-        given = {s: named.get(s, 0.0) for s in sizes}
-    share = shares(given, slots) if given else {}
-    total = sum(share.values())
-    rows = [(s, share[s], *rest) for s, *rest in cycle(share)]
-    table = spark.createDataFrame(rows, "_source string, share long, k long, at long, release long, deadline long")
+        share = shares({s: named.get(s, 0.0) for s in sizes}, slots)
+    sources = spark.createDataFrame([(s, share[s], -(-n // block_docs)) for s, n in sizes.items()], "_source string, parts long, blocks long")
+    # One row for each source.
+    ranked = sources.repartition(1).sortWithinPartitions(F.desc("parts"), "_source")
+    table = stored(ranked.mapInArrow(_scheduled(sum(share.values()), sum(n == 0 for n in share.values())), SCHEDULE), "schedule")
     placed = dealt.join(held.select("_part", "_source", "shift"), ["_part", "_source"]).withColumn("_rank", F.col("_at") + F.col("shift"))
-    counts = spark.createDataFrame(list(share.items()), "_source string, _share long")
-    block = F.expr(f"_rank div {block_docs}")
-    placed = placed.join(F.broadcast(counts), "_source").withColumn("_block", block).withColumn("k", F.expr("_block % _share"))
-    joined = placed.join(F.broadcast(table), ["_source", "k"])
-    turn = F.expr(f"(_block div _share) * {max(total, 1)}")
-    return joined.select(*restored(docs, core, ADDED), F.col("_block").alias("mix_block"), (turn + F.col("at")).alias("mix_slot"),
-                         (turn + F.col("release")).alias("mix_release"), (turn + F.col("deadline")).alias("mix_deadline"), F.expr(f"_rank % {block_docs}").alias("mix_place"))
+    joined = placed.withColumn("_block", F.expr(f"_rank div {block_docs}")).join(table, ["_source", "_block"])
+    return joined.select(*restored(docs, core, ADDED), F.col("_block").alias("mix_block"), "mix_slot", "mix_release", "mix_deadline",
+                         F.expr(f"_rank % {block_docs}").alias("mix_place"))
