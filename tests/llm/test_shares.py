@@ -52,3 +52,27 @@ def test_sources_without_weight_come_last(make):
     last = {s: (g.mix_slot.min(), g.mix_slot.max()) for s, g in got.groupby("source")}
     assert last["c"][0] > max(last["a"][1], last["b"][1])
     assert ((got.mix_release <= got.mix_slot) & (got.mix_slot < got.mix_deadline)).all()
+
+
+def test_as_many_sources_as_documents(make):
+    rows = [(i, "t", f"site {i}" if i % 2 else "hot") for i in range(4000)]
+    for weights in (None, {"hot": 0.5, "site 1": 0.5, "nowhere": 3.0}):
+        got = mixing.mix_sources(make(rows), weights, block_docs=4).toPandas()
+        assert sorted(got.doc_id) == list(range(4000)) and got.groupby("mix_slot").source.nunique().max() == 1
+        assert ((got.mix_release <= got.mix_slot) & (got.mix_slot < got.mix_deadline)).all()
+
+
+def test_the_schedule_holds_only_sources_in_progress():
+    rows = ((str(i), 1, 1) for i in range(10**6))
+    got = mixing.schedule(rows, 10**6, 0)
+    assert [next(got)[2] for _ in range(5)] == [0, 1, 2, 3, 4]
+    assert next(rows)[0] == "6"
+
+
+def test_no_source_names_reach_the_driver(make, monkeypatch):
+    docs = make([(i, "t", f"site {i}") for i in range(50)])
+    collected = []
+    real = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(real(self)) or collected[-1])
+    assert len(mixing.mix_sources(docs).toPandas()) == 50
+    assert not any("_source" in r.asDict() for rows in collected for r in rows)

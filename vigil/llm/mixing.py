@@ -140,16 +140,21 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     # A row for each source a partition holds: the partition's first place and the documents before it.
     held = dealt.groupBy("_part", "_source").agg(F.count("*").alias("n"), F.min("_at").alias("low"))
     held = stored(held.select("_part", "_source", "n", (F.sum("n").over(Window.partitionBy("_source").orderBy("_part")) - F.col("n") - F.col("low")).alias("shift")), "held")
-    sizes = {r["_source"]: r["n"] for r in held.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
+    sizes = held.groupBy("_source").agg(F.sum("n").alias("n"))
     if weights is None:
-        share = {s: math.isqrt(n << 40) for s, n in sizes.items()}
+        parts = F.floor(F.sqrt("n") * (1 << 20)).cast("long")
     else:
         named = {"null" if s is None else f"={s}": w for s, w in weights.items()}
-        share = shares({s: named.get(s, 0.0) for s in sizes}, slots)
-    sources = spark.createDataFrame([(s, share[s], -(-n // block_docs)) for s, n in sizes.items()], "_source string, parts long, blocks long")
+        names = spark.createDataFrame([(s,) for s in named], "_source string")
+        # At most the sources that the caller named.
+        share = shares({r["_source"]: named[r["_source"]] for r in sizes.join(names, "_source").select("_source").collect()}, slots)
+        given = spark.createDataFrame(list(share.items()), "_source string, given long")
+        sizes, parts = sizes.join(given, "_source", "left"), F.coalesce("given", F.lit(0))
+    sources = stored(sizes.select("_source", parts.alias("parts"), F.expr(f"(n + {block_docs - 1}) div {block_docs}").alias("blocks")), "sources")
+    sums = sources.agg(F.sum(F.col("parts").cast("decimal(38,0)")), F.count_if(F.col("parts") == 0)).first()
     # One row for each source.
     ranked = sources.repartition(1).sortWithinPartitions(F.desc("parts"), "_source")
-    table = stored(ranked.mapInArrow(_scheduled(sum(share.values()), sum(n == 0 for n in share.values())), SCHEDULE), "schedule")
+    table = stored(ranked.mapInArrow(_scheduled(int(sums[0] or 0), sums[1]), SCHEDULE), "schedule")
     placed = dealt.join(held.select("_part", "_source", "shift"), ["_part", "_source"]).withColumn("_rank", F.col("_at") + F.col("shift"))
     joined = placed.withColumn("_block", F.expr(f"_rank div {block_docs}")).join(table, ["_source", "_block"])
     return joined.select(*restored(docs, core, ADDED), F.col("_block").alias("mix_block"), "mix_slot", "mix_release", "mix_deadline",
