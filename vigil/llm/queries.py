@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import fingerprints, jaccard_join, line_dedup, lm, mixing, packing, quality, rules, substring_dedup, suffix_dedup
+from . import conversations, exact_dedup, fingerprints, jaccard_join, line_dedup, lm, mixing, packing, quality, rules, substring_dedup, suffix_dedup, whitening
 from .checks import SQL  # noqa: F401 - registered beside the queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,26 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = exact_dedup.group_equal(documents(spark, sf_dir).select("doc_id", "text"))
+    return grouped.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding", most=4)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*[F.lit(e).cast("double") for e in model.explained]) if model.explained else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).cast("double").alias("identity_error"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.summary(rows, conversations.damage(rows))
