@@ -11,8 +11,9 @@ read their buckets in order; entries with the same hash form a chain, and only f
 texts fetched and their bytes compared, so that a collision of hashes joins nothing.
 
 Memory: a stretch holds at most 32 MB of texts (one longer text is a stretch of its own) or 65536 rows; an owner streams
-through its range and holds the distinct texts of one chain and the ids of its entries. Texts of entries
-without a partner are never shuffled. Steps are shuffles and tables in the shared folder.
+through its range and holds the distinct texts of one chain and the ids of its entries. The index holds no
+texts; one text of each entry is shuffled once, to meet the list of chained entries. Steps are shuffles and
+tables in the shared folder.
 
 Defined cases: a null text counts as empty, and empty texts equal each other; the row with the smallest
 id stays, a null id after all others; of rows that repeat the id the first as read stays; an empty table gives an
@@ -222,7 +223,8 @@ def equal_texts(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     in_order = index.entries.select("entry", "key", "least", "least_row", "n", "owner").repartitionById(owners, "owner").sortWithinPartitions("key", "entry")
     chained = stored(in_order.mapInArrow(_chained, f"{_CHAINED}, owner int"), "chained")
     texts = heads.select(F.col("_entry").alias("entry"), normalised(F.col("text")).alias("norm"))
-    fetched = chained.join(texts, "entry").repartitionById(owners, "owner").sortWithinPartitions("key", "entry")
+    # A plan of one kind at every size: a broadcast of the chained entries would end where they outgrow it.
+    fetched = chained.join(texts.hint("merge"), "entry").repartitionById(owners, "owner").sortWithinPartitions("key", "entry")
     return stored(fetched.mapInArrow(_compared, _RESULT), "equal")
 
 
