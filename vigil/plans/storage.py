@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import uuid7_from_timestamp
 from ..operators import spans as S
 from ..sources import storage as W
+from ..sources.tablelog import TableLog
 from .registry import NOW, Tables, query
 
 
@@ -239,3 +240,114 @@ def concatenate_rollups(t: Tables):
     return t.spark.read.parquet(days).groupBy("organization_id", "date").agg(
         F.count(F.lit(1)).alias("rollups"), F.sum("count").alias("spans")
     )
+
+
+# -- deletes and retention after compaction -------------------------------------------------
+
+def compacted_events(t: Tables, label: str) -> str:
+    """Issue events archived by two runs whose days are compacted; the runs' folders are gone."""
+    path, rows = t.scratch(label), t("issue_events")
+    for run, odd in (("first", 0), ("second", 1)):
+        W.archive(rows.where(F.col("event_id") % 2 == odd), path, "received", sort="event_id", run_id=run)
+    W.compact_days(t.spark, path, NOW + timedelta(days=2), run_id="days", sort="event_id")
+    W.drop_compacted(t.spark, path)
+    return path
+
+
+@query("s09_after_compaction", """
+SELECT organization_id, CAST(received AS DATE) AS date, project_id, count(*) AS count FROM issue_events e WHERE NOT (organization_id = 0 AND project_id = 3)
+ AND NOT (organization_id = 2 AND EXISTS (SELECT 1 FROM issues i WHERE i.issue_id = e.issue_id AND i.status = 0)) GROUP BY ALL""")
+def rewrite_after_compaction(t: Tables):
+    path = compacted_events(t, "rewrite-compacted")
+    W.rewrite_excluding(t.spark, path, 0, project_id=3)
+    W.rewrite_excluding(t.spark, path, 2, gone=t("issues").where("status = 0"))
+    return per_day(W.current(t.spark, path), "project_id")
+
+
+@query("s10_after_compaction", "SELECT organization_id, CAST(received AS DATE) AS date, count(*) AS count FROM issue_events WHERE organization_id <> 1 GROUP BY ALL")
+def purge_after_compaction(t: Tables):
+    path = compacted_events(t, "purge-compacted")
+    W.purge_organization(t.spark, [path], 1)
+    return per_day(W.current(t.spark, path))
+
+
+@query("s11_after_compaction", """
+SELECT organization_id, CAST(received AS DATE) AS date, count(*) AS count FROM issue_events WHERE CAST(CAST(received AS DATE) AS TIMESTAMP) >= <<now>> - INTERVAL 12 DAY GROUP BY ALL""")
+def expire_after_compaction(t: Tables):
+    path = compacted_events(t, "expire-compacted")
+    W.expire(t.spark, path, 12, NOW)
+    return per_day(W.current(t.spark, path))
+
+
+# -- the table log --------------------------------------------------------------------------
+
+def event_log(t: Tables, label: str, parts: int = 3) -> TableLog:
+    """Issue events in a table log, appended by several runs."""
+    rows = t("issue_events")
+    log = TableLog.create(t.spark, t.scratch(label), rows.schema, "received", "event_id")
+    for part in range(parts):
+        log.append(rows.where(F.col("event_id") % parts == part), NOW, run_id=f"run-{part}")
+    return log
+
+
+@query("s06_log_compaction", """
+SELECT organization_id, CAST(received AS DATE) AS date, project_id, count(*) AS count, CAST(sum(event_id) AS BIGINT) AS ids FROM issue_events GROUP BY ALL""")
+def log_compaction(t: Tables):
+    """A retried run and two compactions change files, not rows."""
+    log = event_log(t, "log-compaction")
+    log.append(t("issue_events").where("event_id % 3 = 1"), NOW, run_id="run-1")
+    for _ in range(2):
+        log.compact(NOW + timedelta(days=2))
+    log.vacuum(NOW + timedelta(days=4000), NOW)
+    return log.scan().groupBy("organization_id", "date", "project_id").agg(F.count(F.lit(1)).alias("count"), F.sum("event_id").alias("ids"))
+
+
+@query("s08_log_versions", """
+SELECT v.version, organization_id, count(*) AS count FROM issue_events, (VALUES (1), (2), (4)) v(version)
+WHERE (v.version = 1 AND event_id % 3 = 0) OR (v.version = 2 AND event_id % 3 < 2) OR (v.version = 4 AND project_id <> 3) GROUP BY ALL""")
+def log_versions(t: Tables):
+    """Old versions stay readable beside deletes and compactions."""
+    log = event_log(t, "log-versions")
+    for organization in range(3):
+        log.delete(organization, NOW, project_id=3)
+        if organization == 0:
+            log.compact(NOW + timedelta(days=2))
+    state = {1: 1, 2: 2, 4: log.latest()}
+    parts = [log.scan(version=at).groupBy("organization_id").agg(F.count(F.lit(1)).alias("count")).select(F.lit(v).alias("version"), "*") for v, at in state.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("s09_log_deletes", """
+SELECT organization_id, project_id, CAST(received AS DATE) AS date, count(*) AS count FROM issue_events e WHERE event_id % 3 = 2
+ OR NOT ((organization_id = 0 AND project_id = 3) OR (organization_id = 2 AND EXISTS (SELECT 1 FROM issues i WHERE i.issue_id = e.issue_id AND i.status = 0))) GROUP BY ALL""")
+def log_deletes(t: Tables):
+    """Records hide a project and a set of issues; rows that come later stay, before and after the files are rewritten."""
+    rows = t("issue_events")
+    log = TableLog.create(t.spark, t.scratch("log-deletes-late"), rows.schema, "received", "event_id")
+    for part in range(3):
+        if part == 2:
+            log.delete(0, NOW, project_id=3)
+            log.delete(2, NOW, issues=t("issues").where("status = 0"))
+            log.compact(NOW + timedelta(days=2))
+        log.append(rows.where(F.col("event_id") % 3 == part), NOW)
+    return log.scan().groupBy("organization_id", "project_id", "date").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("s10_log_purge", "SELECT organization_id, count(*) AS count FROM issue_events WHERE organization_id <> 1 OR event_id % 50 = 0 GROUP BY ALL")
+def log_purge(t: Tables):
+    """An organisation goes by its files; what it sends afterwards is kept."""
+    log = event_log(t, "log-purge", parts=2)
+    log.compact(NOW + timedelta(days=2))
+    log.purge_organization(1, NOW)
+    log.append(t("issue_events").where("organization_id = 1 AND event_id % 50 = 0"), NOW, run_id="afterwards")
+    return log.scan().groupBy("organization_id").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("s11_log_retention", """
+SELECT organization_id, CAST(received AS DATE) AS date, count(*) AS count FROM issue_events WHERE CAST(CAST(received AS DATE) AS TIMESTAMP) >= <<now>> - INTERVAL 12 DAY
+ AND received < TIMESTAMP '2024-01-28 06:00:00' GROUP BY ALL""")
+def log_retention(t: Tables):
+    log = event_log(t, "log-retention", parts=2)
+    log.compact(NOW + timedelta(days=2))
+    log.expire(12, NOW)
+    return per_day(log.scan(end=datetime(2024, 1, 28, 6)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -14,12 +15,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.timeparam import moment, utc
 from ..operators.maintenance import acceptable_spans
 from ..operators.segmented import written_once
+from ..session import scratch_path
+from . import files
+from .files import exists
 
 log = logging.getLogger(__name__)
 SEAL_GRACE = timedelta(minutes=20)
 #: Folders removed at the same time.
 DELETERS = 16
 STAGING_DELAY = timedelta(minutes=5)
+#: Columns of a table without its run, for when all its files are elsewhere or gone; readers skip names with an underscore.
+SCHEMA_FILE = "_columns.json"
 POINT_LOOKUP = {
     # Small row groups and a bloom filter make single-id reads cheap.
     "parquet.block.size": str(4 * 1024 * 1024),
@@ -65,11 +71,8 @@ def archive(
     for key, value in (POINT_LOOKUP if lookups else {}).items():
         writer = writer.option(key, value)
     writer.parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target))
+    if not exists(rows.sparkSession, f"{path}/{SCHEMA_FILE}"):
+        files.write_text(rows.sparkSession, f"{path}/{SCHEMA_FILE}", out.drop("run_id").schema.json())
 
 
 def written_by(spark: SparkSession, path: str, run_id: str) -> DataFrame | None:
@@ -151,7 +154,7 @@ def seal_hours(spark: SparkSession, path: str, rollups: str, now: datetime, roll
     return spark.read.parquet(rollups).select("organization_id", "hour_bucket").distinct()
 
 
-def compact_days(spark: SparkSession, path: str, now: datetime, *, run_id: str, rows_per_file: int = 5_000_000) -> DataFrame:
+def compact_days(spark: SparkSession, path: str, now: datetime, *, run_id: str, sort: str = "timestamp", rows_per_file: int = 5_000_000) -> DataFrame:
     """Rewrite the runs of every closed day of every organisation into few sorted files, in one job.
 
     The new files go to ``<path>-days``. The list of the runs they stand for, written last, makes
@@ -167,8 +170,8 @@ def compact_days(spark: SparkSession, path: str, now: datetime, *, run_id: str,
     several = open_runs.groupBy("organization_id", "date").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("organization_id", "date")
     todo = open_runs.join(several, ["organization_id", "date"])
     rows = raw.join(todo, ["organization_id", "date", "run_id"], "left_semi").drop("run_id").withColumn("compaction", F.lit(run_id))
-    layout = ["compaction", "organization_id", "date"]
-    rows = rows.hint("rebalance", "organization_id", "date").sortWithinPartitions(*layout, "timestamp")
+    layout = ["organization_id", "date", "compaction"]
+    rows = rows.hint("rebalance", "organization_id", "date").sortWithinPartitions(*layout, sort)
     for part, target in ((rows, f"{path}-days"), (todo.withColumn("compaction", F.lit(run_id)).coalesce(1), f"{path}-compactions")):
         writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file)
         writer.partitionBy(*(layout if part is rows else ["compaction"])).parquet(target)
@@ -182,25 +185,32 @@ def compactions(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema("organization_id int, date date, run_id string, compaction string").parquet(f"{path}-compactions")
 
 
+def _rows_by(spark: SparkSession, path: str, folder: str, columns: T.StructType) -> DataFrame:
+    """A table's rows with the run or compaction that wrote them; none if all are gone."""
+    schema = T.StructType([*columns.fields, T.StructField(folder, T.StringType())])
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def columns_of(spark: SparkSession, path: str) -> T.StructType:
+    if exists(spark, f"{path}/{SCHEMA_FILE}"):
+        return T.StructType.fromJson(json.loads(files.read_text(spark, f"{path}/{SCHEMA_FILE}")))
+    return spark.read.parquet(path).drop("run_id").schema
+
+
 def runs_of(spark: SparkSession, path: str) -> DataFrame:
     """What the runs wrote and is still there, which may be nothing once all days are compacted."""
-    if not exists(spark, f"{path}-days"):
-        return spark.read.parquet(path)
-    schema = spark.read.parquet(f"{path}-days").drop("compaction").schema
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("run_id", T.StringType())])).parquet(path)
+    return _rows_by(spark, path, "run_id", columns_of(spark, path))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table's rows: those of compacted days, and of the runs that no compaction stands for."""
     raw, listed = runs_of(spark, path), compactions(spark, path)
-    columns = [c for c in raw.columns if c != "run_id"]
     if listed is None:
-        return raw.select(*columns)
-    runs = raw.join(listed.select("organization_id", "date", "run_id"), ["organization_id", "date", "run_id"], "left_anti").select(*columns)
-    if not exists(spark, f"{path}-days"):
-        return runs
-    days = spark.read.parquet(f"{path}-days").join(listed.select("compaction", "organization_id", "date").distinct(), ["compaction", "organization_id", "date"], "left_semi")
-    return runs.unionByName(days.select(*columns))
+        return raw.drop("run_id")
+    runs = raw.join(listed.select("organization_id", "date", "run_id"), ["organization_id", "date", "run_id"], "left_anti").drop("run_id")
+    key = ["organization_id", "date", "compaction"]
+    days = _rows_by(spark, f"{path}-days", "compaction", columns_of(spark, path)).join(listed.select(*key).distinct(), key, "left_semi")
+    return runs.unionByName(days.drop("compaction"))
 
 
 def drop_compacted(spark: SparkSession, path: str) -> int:
@@ -219,30 +229,34 @@ def replace_partitions(rows: DataFrame, path: str, partitions: list[str]) -> Non
 def rewrite_excluding(
     spark: SparkSession, path: str, organization_id: int, *, project_id: int | None = None, gone: DataFrame | None = None, key: str = "issue_id"
 ) -> None:
-    """Drop a project's (or a set of issues') rows from one organisation's folders.
+    """Drop a project's (or a set of issues') rows from one organisation's folders, those of compacted days too.
 
     Only folders that hold such rows are rewritten, in one pass over them: a first scan of the
     key column finds them. A folder left without rows is removed after the others have been
     replaced; a run that dies in between leaves rows that the next run finds again.
     """
-    from ..session import scratch_path
+    columns = columns_of(spark, path)
+    for where, part in ((path, "run_id"), (f"{path}-days", "compaction")):
+        if exists(spark, where):
+            _rewrite_excluding(spark, where, part, _rows_by(spark, where, part, columns).where(F.col("organization_id") == organization_id), project_id, gone, key)
+
 
-    folder = ["organization_id", "date", "run_id"]
-    table = spark.read.parquet(path).where(F.col("organization_id") == organization_id)
+def _rewrite_excluding(spark: SparkSession, path: str, part: str, table: DataFrame, project_id: int | None, gone: DataFrame | None, key: str) -> None:
+    folder = ["organization_id", "date", part]
     if project_id is not None:
-        hit, rest = table.where(F.col("project_id") == project_id), lambda rows: rows.where(F.col("project_id") != project_id)
+        hit, rest = table.where(F.col("project_id") == project_id), lambda rows: rows.where(F.coalesce(F.col("project_id") != project_id, F.lit(True)))
     else:
         keys = gone.select(key).distinct()
         hit, rest = table.join(keys, key, "left_semi"), lambda rows: rows.join(keys, key, "left_anti")
     staging = scratch_path(spark, "rewrite")
     hit.select(*folder).distinct().write.parquet(f"{staging}-folders")
-    folders = spark.read.parquet(f"{staging}-folders")
+    folders = spark.read.schema(table.select(*folder).schema).parquet(f"{staging}-folders")
     kept = rest(table.join(folders, folder, "left_semi"))
     kept.write.option("compression", "zstd").parquet(staging)
     survivors = spark.read.schema(kept.schema).parquet(staging)
     replace_partitions(survivors, path, folder)
     emptied = folders.join(survivors.select(*folder).distinct(), folder, "left_anti")
-    drop_folders(spark, (f"{path}/organization_id={r['organization_id']}/date={r['date']}/run_id={r['run_id']}" for r in emptied.toLocalIterator()))
+    drop_folders(spark, (f"{path}/organization_id={r['organization_id']}/date={r['date']}/{part}={r[part]}" for r in emptied.toLocalIterator()))
 
 
 def drop_folders(spark: SparkSession, folders: Iterable[str]) -> int:
@@ -278,15 +292,15 @@ def day_folders(spark: SparkSession, path: str, before: date) -> Iterator[str]:
 
 
 def expire(spark: SparkSession, path: str, days: int, now: datetime) -> int:
-    """Remove day folders whose day began before ``now`` minus ``days``."""
+    """Remove day folders, of runs and of compactions, whose day began before ``now`` minus ``days``."""
     edge = utc(now) - timedelta(days=days)
     first = edge.date() if edge.time() == datetime.min.time() else edge.date() + timedelta(days=1)
-    return drop_folders(spark, day_folders(spark, path, first))
+    return sum(drop_folders(spark, day_folders(spark, p, first)) for p in (path, f"{path}-days") if exists(spark, p))
 
 
 def purge_organization(spark: SparkSession, paths: list[str], organization_id: int) -> int:
-    """Remove an organisation's folders from several tables."""
-    return drop_folders(spark, [f"{p}/organization_id={organization_id}" for p in paths])
+    """Remove an organisation's folders, of runs and of compactions, from several tables."""
+    return drop_folders(spark, [f"{p}/organization_id={organization_id}" for path in paths for p in (path, f"{path}-days")])
 
 
 def archive_then_expire(
