@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("spans", "logs", "issues", "monitoring", "usage", "dimensions", "payloads", "privacy", "storage", "streams")
+MODULES = ("spans", "sketches", "logs", "issues", "monitoring", "usage", "dimensions", "payloads", "privacy", "storage", "streams")
 
 for _name in MODULES:
     import_module(f"{__name__}.{_name}")
