@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.maintenance import acceptable_spans
 from ..functions.timeparam import moment
 from ..sources import telemetry_json as J
-from ..streaming import jobs
+from ..streaming import heartbeats, jobs
 from .logs import LEVELLED, levelled
 from .monitoring import REPLAY_SQL, STATE_COLUMNS, checks as ordered_checks
 from .registry import Tables, query
@@ -77,6 +77,21 @@ def stream_late_spans(t: Tables):
     return totals.unionByName(rejected).groupBy("late", (F.col("event_id") % 4 == 0).alias("second")).agg(F.sum("count").alias("count"))
 
 
+@query("st02_idle_source", """
+WITH edge AS (SELECT max(timestamp) AS newest FROM spans)
+SELECT date_trunc('hour', timestamp) AS hour_bucket, organization_id, op, count(*) AS count, round(sum(duration), 6) AS sum_duration,
+ date_trunc('hour', timestamp) + INTERVAL 1 HOUR > (SELECT newest FROM edge) - INTERVAL 20 MINUTE AS by_clock FROM spans GROUP BY ALL""")
+def stream_idle_source(t: Tables):
+    """A source that has fallen silent: the hours that its newest event leaves open are sealed by the clock, in a drain without rows."""
+    out, keys, spans = t.scratch("idle"), ["organization_id", "op"], t("spans").select("timestamp", "organization_id", "op", "duration")
+    drain(t, "idle", [spans], lambda s: jobs.seal_hours(s, out, keys))
+    before = jobs.sealed_until(t.spark, out)
+    jobs.seal_idle(t.spark, out, datetime(2024, 3, 1))
+    hours = jobs.sealed_hours(t.spark, out, keys)
+    return hours.select("hour_bucket", *keys, F.col("count").cast("bigint").alias("count"), F.round("sum_duration", 6).alias("sum_duration"),
+                        (F.col("hour_bucket") + F.expr("INTERVAL 1 HOUR") > moment(before)).alias("by_clock"))
+
+
 @query("st03_hour_counters", "SELECT project_id, organization_id, date, CAST(count AS BIGINT) AS count FROM project_hourly")
 def stream_hour_counters(t: Tables):
     out, keys = t.scratch("counters"), ["project_id", "organization_id"]
@@ -121,6 +136,41 @@ def stream_monitor_states(t: Tables):
     return t.spark.read.parquet(f"{out}/outcomes").select(*STATE_COLUMNS)
 
 
+BEATS = """
+c AS (SELECT CAST(user_id % 40 AS BIGINT) AS monitor_id, ts, ((user_id % 40) % 5 + 1) * INTERVAL 6 HOUR AS step FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, lag(ts) OVER w AS earlier, lead(ts) OVER w AS later FROM c WINDOW w AS (PARTITION BY monitor_id ORDER BY ts)),
+flips AS (SELECT monitor_id, ts AS "at", TRUE AS is_up FROM g WHERE earlier IS NULL OR earlier + step < ts
+ UNION ALL SELECT monitor_id, ts + step AS "at", FALSE AS is_up FROM g WHERE later > ts + step OR (later IS NULL AND ts + step <= (SELECT max(ts) FROM c) - INTERVAL 5 MINUTE))"""
+
+
+def beating(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Events as the check-ins of 40 monitors with intervals of 6 to 30 hours."""
+    monitors = t.spark.range(40).select(F.col("id").alias("monitor_id"), ((F.col("id") % 5 + 1) * 6 * 3600).alias("interval_seconds"))
+    return t("events").select((F.col("user_id") % 40).alias("monitor_id"), F.col("ts").cast("timestamp").alias("start_check")), monitors
+
+
+@query("st04_silent_heartbeats", f"WITH {BEATS} SELECT monitor_id, CAST(\"at\" AS TIMESTAMP) AS \"at\", is_up FROM flips")
+def stream_silent_heartbeats(t: Tables):
+    """Monitors go down because nothing comes; the job goes on from its checkpoint twice."""
+    out, (checks, monitors) = t.scratch("heartbeats"), beating(t)
+    edges = [F.lit(f"2024-01-{d}").cast("timestamp") for d in ("12", "20")]
+    at = F.col("start_check")
+    drain(t, "heartbeats", [checks.where(at < edges[0]), checks.where((at >= edges[0]) & (at < edges[1])), checks.where(at >= edges[1])],
+          lambda s: jobs.append_files(heartbeats.heartbeat_flips(s, monitors), out, []))
+    return t.spark.read.parquet(out).select("monitor_id", "at", "is_up")
+
+
+@query("j16_stream_presence", f"""
+WITH {BEATS}
+SELECT m.monitor_id, CAST(max(f."at") AS TIMESTAMP) AS since, coalesce(arg_max(f.is_up, f."at"), FALSE) AS is_up
+FROM (SELECT unnest(range(40)) AS monitor_id) m LEFT JOIN flips f ON f.monitor_id = m.monitor_id GROUP BY m.monitor_id""")
+def stream_presence(t: Tables):
+    """The monitors' state after the flips of one drain."""
+    out, (checks, monitors) = t.scratch("presence"), beating(t)
+    drain(t, "presence", [checks], lambda s: jobs.append_files(heartbeats.heartbeat_flips(s, monitors), out, []))
+    return heartbeats.current_heartbeats(t.spark.read.parquet(out), monitors).select("monitor_id", "since", "is_up")
+
+
 def _hits(start: str, end: str) -> str:
     return f"""SELECT r.alert_id, e.issue_id, count(*) AS num_events FROM alert_rules r JOIN issue_events e ON e.project_id = r.project_id
  AND e.received >= TIMESTAMP '{start}' AND e.received < TIMESTAMP '{end}' GROUP BY r.alert_id, e.issue_id, r.quantity HAVING count(*) >= r.quantity"""

@@ -9,11 +9,11 @@ twice; readers fold the pieces.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.timeparam import moment, slot, utc
 from ..operators import alerts, issues, logs, uptime
@@ -79,8 +79,9 @@ def earlier_pieces(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
 def seal_hours(spans: DataFrame, path: str, keys: list[str], lateness: timedelta = LATENESS):
     """Hourly totals of spans; those that come after their hour's seal go to ``rejected``.
 
-    The clock is the newest event time of earlier batches. An hour is sealed once the clock is
-    ``lateness`` past its end, so what ``sealed_hours`` has read never changes.
+    The clock is the newest event time of earlier batches, or a wall time that ``seal_idle`` noted after one
+    of them. An hour is sealed once the clock is ``lateness`` past its end, so what ``sealed_hours`` has
+    read never changes.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -101,13 +102,47 @@ def seal_hours(spans: DataFrame, path: str, keys: list[str], lateness: timedelta
 
 def sealed_until(spark: SparkSession, path: str, lateness: timedelta = LATENESS, batch_id: int | None = None) -> datetime | None:
     """Hours that end by this time are sealed, by the events of all batches or of those before ``batch_id``."""
-    if not exists(spark, f"{path}/clock"):
-        return None
-    clock = spark.read.schema("newest timestamp_ntz, batch_id bigint").parquet(f"{path}/clock")
-    newest = (clock if batch_id is None else clock.where(F.col("batch_id") < batch_id)).agg(F.max("newest")).first()[0]
+    shape, times = "newest timestamp_ntz, batch_id bigint", []
+    for place in ("clock", "idle"):
+        if exists(spark, f"{path}/{place}"):
+            clock = spark.read.schema(shape).parquet(f"{path}/{place}")
+            times.append((clock if batch_id is None else clock.where(F.col("batch_id") < batch_id)).agg(F.max("newest")).first()[0])
+    newest = max((t for t in times if t is not None), default=None)
     return None if newest is None else newest - lateness
 
 
+def seal_idle(spark: SparkSession, path: str, now: datetime) -> None:
+    """Note the wall time while the stream of ``seal_hours`` has nothing to read, so that its open hours get sealed.
+
+    Called between two drains, or by ``IdleSealer`` while a stream waits. The note counts for the batches after those that are
+    done: a batch that is tried again judges its rows as it did before.
+    """
+    done = max((int(n[9:]) for n in folder_names(spark, f"{path}/clock") if n.startswith("batch_id=")), default=-1)
+    note = spark.range(1).select(F.lit(utc(now).replace(tzinfo=None)).cast("timestamp_ntz").alias("newest"))
+    note.write.mode("overwrite").parquet(piece(f"{path}/idle", done))
+
+
+class IdleSealer(StreamingQueryListener):
+    """Notes the wall time whenever a running query reports that it is idle; ``clock`` gives the time."""
+
+    def __init__(self, spark: SparkSession, path: str, query_id: str | None = None, clock: Callable[[], datetime] = lambda: datetime.now(UTC)) -> None:
+        super().__init__()
+        self.session, self.path, self.query_id, self.clock = spark, path, query_id, clock
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        if self.query_id is None or str(event.id) == self.query_id:
+            seal_idle(self.session, self.path, self.clock())
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def sealed_hours(spark: SparkSession, path: str, keys: list[str], lateness: timedelta = LATENESS) -> DataFrame:
     """Totals of the hours that are complete."""
     edge = sealed_until(spark, path, lateness)
