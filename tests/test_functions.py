@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from vigil.functions import durations as D, flags, ids, levels, otel, payload, pii, text, timeparam
+from vigil.functions import durations as D, flags, ids, levels, otel, payload, payload_rules, pii, text, timeparam
 from vigil.operators import issues, paging, usage
 
 
@@ -312,3 +312,38 @@ def test_month_cycles_stay_contiguous(spark):
     bounds = [rows.select(*usage.signup_cycle(F.col("c"), now, ago)).first() for ago in (0, 1, 2)]
     assert bounds[0][0] == datetime(2024, 2, 29) and bounds[0][1] == datetime(2024, 3, 31)
     assert bounds[1][1] == bounds[0][0] and bounds[2][1] == bounds[1][0]
+
+
+# -- one pass over a payload -----------------------------------------------------------
+
+NAMES = st.sampled_from(["password", "a", "extra", "request", "Cookie", "pass\"word", "au\\th", "", "é", "tags", "x-api-key", "message", ","])
+LEAVES = st.one_of(st.none(), st.integers(), st.sampled_from(["x", "a@b.cd", "4111 1111 1111 1111", "token", '"password":', ",[", '[["pin","x"]]', "\\", "☃@é.com", "😀 a@b.cd"]))
+JSON_VALUES = st.recursive(LEAVES, lambda inner: st.one_of(st.lists(inner, max_size=4), st.dictionaries(NAMES, inner, max_size=4), st.lists(st.lists(st.one_of(NAMES, inner), max_size=3), max_size=3)), max_leaves=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(NAMES, JSON_VALUES, max_size=5), st.booleans(), st.booleans(), st.sampled_from([None, 1]))
+def test_sections_and_tokens_find_the_same(value, whole, ascii_only, indent):
+    rules = payload_rules.PayloadRules(**SETTINGS)
+    text = json.dumps(value, ensure_ascii=ascii_only, indent=indent)
+    want, done = [], 0
+    for a, b, new in payload_rules._read_changes(text, whole, rules):
+        want += [text[done:a], new]
+        done = b
+    assert payload_rules.scrub(text, rules, whole) == ("".join([*want, text[done:]]), False)
+    assert payload_rules.sections(text, whole) is not None
+
+
+def test_values_agree_with_the_columns(spark):
+    rules = payload_rules.PayloadRules(**SETTINGS)
+    texts = ["card 4111 1111 1111 1111.", "4111111111111111 14111111111111111119", "x_4111111111111111", "é4111111111111111", "a@b.cd é@ü.de x@y a..b@c.d-e.f_", "١٢٣٤٥٦٧٨٩٠١٢٣٤",
+             "a -----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY----- b", "PRIVATE KEY", "4012-8888-8888-1881 @", "$1 \\ a@b.cd"]
+    assert [rules.clean(x) for x in texts] == column(spark, texts, lambda c: pii.scrub_value(c, emails=True, placeholder="X"))
+
+
+def test_payloads_are_handed_over_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(payload_rules, "PIECE", 10)
+    assert list(payload_rules.pieces(pa.array(["a" * 4, None, "b" * 6, "c", "d" * 50, ""]))) == [(0, 3), (3, 4), (4, 5), (5, 6)]
+    assert list(payload_rules.pieces(pa.array([], pa.string()))) == []
