@@ -136,14 +136,24 @@ def test_base_scores(spark, sf_dir, odd, clashing, make):
     found = QUERIES["op10_lm_scoring"](spark, sf_dir).cache()
     check_base(found, rows)
     assert found.where("score IS NULL OR attention_score IS NULL OR isnan(score) OR score > 0 OR attention_score > 0").count() == 0
-    # Held out, words the corpus knows well cost about their frequency, and the attention model beats equal odds by far.
+    # Held out, the score beats word frequencies, and the attention model alone comes near them.
     row = found.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("attention_score"), F.sum("n_tokens")).first()
-    assert row[0] > 1.03 * row[1] and row[2] / row[3] > -math.log10(49408) * 2.5 * 0.8
+    assert row[0] > row[1] and row[2] > 1.25 * row[1] and row[2] / row[3] > -math.log10(49408) * 2.5 * 0.8
     for docs in (odd, clashing):
         check_base(lm.score(docs, TOKENIZER), [(r[0], r[1]) for r in ODD])
     assert lm.score(make([]), TOKENIZER).count() == 0
 
 
+def test_training_streams_in_batches_of_one_size(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 300, (700, attention.WINDOW + 1)).astype(lm.narrow(300))
+    batches = [pa.record_batch([pa.array([r.tobytes() for r in part], pa.binary())], ["ids"]) for part in np.split(ids, [10, 400, 400, 655])]
+    got = list(lm._batches(iter(batches), 300))
+    assert [len(g) for g in got] == [lm.BATCH, lm.BATCH, 700 - 2 * lm.BATCH] and (np.concatenate(got) == ids).all()
+
+
 @pytest.fixture(scope="module")
 def small_model():
     rng = np.random.default_rng(0)
