@@ -138,7 +138,7 @@ def test_base_scores(spark, sf_dir, odd, clashing, make):
     assert found.where("score IS NULL OR attention_score IS NULL OR isnan(score) OR score > 0 OR attention_score > 0").count() == 0
     # Held out, the score beats word frequencies, and the attention model alone comes near them.
     row = found.where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("attention_score"), F.sum("n_tokens")).first()
-    assert row[0] > row[1] and row[2] > 1.25 * row[1] and row[2] / row[3] > -math.log10(49408) * 2.5 * 0.8
+    assert row[0] > row[1] and row[2] > 1.4 * row[1] and row[2] / row[3] > -math.log10(49408) * 2.5 * 0.8
     for docs in (odd, clashing):
         check_base(lm.score(docs, TOKENIZER), [(r[0], r[1]) for r in ODD])
     assert lm.score(make([]), TOKENIZER).count() == 0
