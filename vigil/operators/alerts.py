@@ -15,12 +15,13 @@ STANDARD_TAGS = tuple(TAG_LABELS)
 
 
 def evaluate_alerts(
-    rules: DataFrame, events: DataFrame, now: datetime, *, sent: DataFrame | None = None, touched: DataFrame | None = None
+    rules: DataFrame, events: DataFrame, now: datetime, *, sent: DataFrame | None = None, touched: DataFrame | None = None, weight: str | None = None
 ) -> DataFrame:
     """(alert, issue) pairs with at least ``quantity`` events in the rule's trailing window.
 
     Windows are whole minutes long, so events are first counted per issue and age in
-    minutes; the rules then meet those counts instead of the events.
+    minutes; the rules then meet those counts instead of the events. ``weight`` names a column of
+    events that stand for several.
     """
     active = rules.where(F.col("quantity").isNotNull() & F.col("timespan_minutes").isNotNull())
     if touched is not None:
@@ -34,9 +35,9 @@ def evaluate_alerts(
     longest = active.groupBy("project_id").agg(F.max("timespan_minutes").alias("_longest"))
     age = F.ceil((F.lit(micros(now)) - F.unix_micros(F.col("received").cast("timestamp"))) / F.lit(60_000_000))
     aged = (
-        events.select("project_id", "issue_id", age.alias("age")).join(longest, "project_id")
+        events.select("project_id", "issue_id", age.alias("age"), (F.lit(1) if weight is None else F.col(weight)).alias("_n")).join(longest, "project_id")
         .where(F.col("age") <= F.col("_longest"))
-        .groupBy("project_id", "issue_id", "age").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("project_id", "issue_id", "age").agg(F.sum("_n").alias("n"))
     )
     hits = (
         aged.join(active, "project_id").where(F.col("age") <= F.col("timespan_minutes"))

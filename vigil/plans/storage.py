@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions.ids import uuid7_from_timestamp
 from ..operators import spans as S
 from ..sources import storage as W
+from ..sources.keyindex import KeyIndex
 from ..sources.tablelog import TableLog
 from .registry import NOW, Tables, query
 
@@ -351,3 +354,25 @@ def log_retention(t: Tables):
     log.compact(NOW + timedelta(days=2))
     log.expire(12, NOW)
     return per_day(log.scan(end=datetime(2024, 1, 28, 6)))
+
+
+# -- the key index --------------------------------------------------------------------------
+
+@query("p09_uuid4_lookup", """
+SELECT event_id, project_id, received FROM issue_events WHERE event_id IN (17, (SELECT CAST(floor(max(event_id) / 2) AS BIGINT) FROM issue_events))""")
+def uuid4_lookup(t: Tables):
+    """Client ids say nothing of their day: the index names organisation and day, and the scan opens that folder."""
+    path, index = t.scratch("client-ids"), KeyIndex(t.spark, t.scratch("client-id-index"), "organization_id int, date date", fan=3)
+    rows = t("issue_events").withColumn("id", F.md5(F.concat(F.lit("c"), F.col("event_id").cast("string"))))
+    W.archive(rows, path, "received", sort="id", lookups=True)
+    for batch in range(4):
+        index.merge(batch)
+        index.add(rows.where(F.col("event_id") % 4 == batch).select(F.col("id").alias("key"), "organization_id", F.to_date("received").alias("date")), batch)
+    middle = t("issue_events").agg(F.max("event_id")).first()[0] // 2
+    parts = []
+    for event in sorted({17, middle}):
+        uid = hashlib.md5(f"c{event}".encode()).hexdigest()
+        for place in index.lookup(uid).collect():
+            day = (F.col("organization_id") == place["organization_id"]) & (F.col("date") == F.lit(place["date"]))
+            parts.append(t.spark.read.parquet(path).where(day & (F.col("id") == uid)).select("event_id", "project_id", "received"))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -52,6 +52,17 @@ def stream_late_events(t: Tables):
     return t.spark.read.parquet(out).select("event_id", "event_type")
 
 
+@query("st01_indexed_dedupe", "SELECT event_id, event_type FROM events")
+def stream_indexed_dedupe(t: Tables):
+    """As the late events, in six drains, with the known ids in an index whose runs are merged by twos."""
+    out, index, events = t.scratch("dedupe-indexed"), t.scratch("dedupe-index"), t("events").select("event_id", "ts", "event_type")
+    older, newer = by_half(events, "ts", "2024-01-10")
+    again = newer.where("event_id % 3 = 0")
+    drain(t, "dedupe-indexed", [newer, older.unionByName(again), older.limit(0).unionByName(again), again, older.where("event_id % 5 = 0"), again],
+          lambda s: jobs.deduplicate_by_index(s, out, index, fan=2))
+    return t.spark.read.parquet(out).select("event_id", "event_type")
+
+
 SEALED_SQL = """SELECT date_trunc('hour', timestamp) AS hour_bucket, organization_id, op, count(*) AS count, round(sum(duration), 6) AS sum_duration FROM {source}
 WHERE date_trunc('hour', timestamp) + INTERVAL 1 HOUR <= (SELECT max(timestamp) FROM spans) - INTERVAL 20 MINUTE GROUP BY ALL"""
 
@@ -190,6 +201,21 @@ def stream_alerts(t: Tables):
     return t.spark.read.parquet(out).withColumnRenamed("batch_id", "batch")
 
 
+@query("st05_alerts_by_slots", f"""
+WITH a AS ({_hits('2024-01-09 00:00:00', '2024-01-16 00:00:00')}), b AS ({_hits('2024-01-24 00:00:00', '2024-02-01 00:00:00')})
+SELECT CAST(alert_id AS BIGINT) AS alert_id, issue_id, num_events, 0 AS batch FROM a
+UNION ALL SELECT CAST(alert_id AS BIGINT) AS alert_id, issue_id, num_events, 1 AS batch FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.alert_id = b.alert_id AND a.issue_id = b.issue_id)""")
+def stream_alerts_by_slots(t: Tables):
+    """The same alerts from counts per minute; no event is read twice."""
+    slots, sent = t.scratch("alert-slots"), t.scratch("alert-sent")
+    events = t("issue_events").select("project_id", "issue_id", "received")
+    rules = t("alert_rules").withColumn("project_id", F.col("project_id").cast("int"))
+    clock = [datetime(2024, 1, 16, 0, 0, 30), datetime(2024, 1, 31)]
+    drain(t, "alert-slots", by_half(events, "received", "2024-01-16"), lambda s: jobs.alerting_by_slots(s, rules, slots, sent, clock.__getitem__))
+    return t.spark.read.parquet(sent).select("alert_id", "issue_id", F.col("count").alias("num_events"), F.col("batch_id").alias("batch"))
+
+
+
 GARBAGE = "CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN timestamp + INTERVAL '60' DAY ELSE timestamp END"
 
 

@@ -12,13 +12,14 @@ from collections.abc import Callable, Sequence
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.timeparam import moment, slot, utc
 from ..operators import alerts, issues, logs, uptime
 from ..operators.segmented import join_on_keys, time_slot, with_row_number, written_once
 from ..operators.upsert import first_per_key, update_matching
+from ..sources.keyindex import FAN, KeyIndex
 from ..sources.storage import drop_folders, exists
 
 TAG_KEYS = ("issue_id", "organization_id", "tag_key", "tag_value")
@@ -76,6 +77,31 @@ def earlier_pieces(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
     return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
 
 
+def deduplicate_by_index(events: DataFrame, path: str, index: str, time: str = "ts", key: str = "event_id", fan: int = FAN):
+    """As ``deduplicate``, with the known ids in a key index: a batch lists and opens a bounded number of its runs.
+
+    An id is known whatever its event time is. Rows without an id are all kept.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ids = KeyIndex(spark, index, "date date", fan=fan)
+        ids.merge(batch_id)
+        named = batch.withColumn("date", F.to_date(time)).withColumn("_key", F.col(key).cast("string"))
+        first = first_per_key(named.where("_key IS NOT NULL"), ["_key"], [time])
+        known = ids.known(first.select(F.col("_key").alias("key")), batch_id)
+        fresh = first.join(known.select(F.col("key").alias("_key")), "_key", "left_anti").select(*named.columns)
+        out = piece(path, batch_id)
+        fresh.unionByName(named.where("_key IS NULL")).drop("_key").write.mode("overwrite").partitionBy("date").parquet(out)
+        if any(n.startswith("date=") for n in folder_names(spark, out)):
+            written = spark.read.schema(T.StructType([*events.schema.fields, T.StructField("date", T.DateType())])).parquet(out)
+            ids.add(written.select(F.col(key).cast("string").alias("key"), "date"), batch_id)
+        else:
+            ids.add(spark.createDataFrame([], "key string, date date"), batch_id)
+
+    return events.writeStream.foreachBatch(write)
+
+
 def seal_hours(spans: DataFrame, path: str, keys: list[str], lateness: timedelta = LATENESS):
     """Hourly totals of spans; those that come after their hour's seal go to ``rejected``.
 
@@ -220,8 +246,8 @@ def read_counters(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy(*keys, "date").agg(F.sum("count").alias("count"))
 
 
-def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str) -> None:
-    """Fold all pieces up to a batch into one snapshot, which readers then start from.
+def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str, since: datetime | None = None) -> None:
+    """Fold all pieces up to a batch into one snapshot, which readers then start from, without what is older than ``since``.
 
     A run that dies half way leaves a snapshot without its success mark, which nobody reads;
     pieces may be removed (``drop_covered``) once it is there.
@@ -230,6 +256,8 @@ def snapshot_counters(spark: SparkSession, path: str, upto: int, *keys: str) ->
     pieces = spark.read.parquet(path).where(F.col("batch_id").between(before + 1, upto)).select(*keys, "date", "count")
     if snapshot is not None:
         pieces = pieces.unionByName(snapshot.select(*keys, "date", "count"))
+    if since is not None:
+        pieces = pieces.where(F.col("date") >= moment(since))
     folded = pieces.groupBy(*keys, "date").agg(F.sum("count").alias("count"))
     folded.write.mode("overwrite").parquet(f"{path}-snapshots/upto={upto}")
 
@@ -323,6 +351,54 @@ def alerting(events: DataFrame, rules: DataFrame, history: str, path: str, clock
     return events.writeStream.foreachBatch(write)
 
 
+SLOT_KEYS = ("project_id", "issue_id")
+SENT_KEYS = ("alert_id", "issue_id")
+
+
+def fold_before(spark: SparkSession, path: str, batch_id: int, keys: Sequence[str], every: int, since: datetime | None = None) -> DataFrame | None:
+    """Counters as of the batches before one; every so many batches they are folded first, without what is older than ``since``.
+
+    What a batch reads ends before itself, so one that is tried again reads what it read before.
+    """
+    if batch_id and batch_id % every == 0 and newest_snapshot(spark, path)[0] < batch_id - 1:
+        snapshot_counters(spark, path, batch_id - 1, *keys, since=since)
+        drop_covered(spark, path)
+    upto, snapshot = newest_snapshot(spark, path)
+    names = [n for n in folder_names(spark, path) if n.startswith("batch_id=") and upto < int(n[9:]) < batch_id]
+    parts = [spark.read.parquet(*(f"{path}/{n}" for n in names)).select(*keys, "date", "count")] if names else []
+    parts += [] if snapshot is None else [snapshot.select(*keys, "date", "count")]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def alerting_by_slots(events: DataFrame, rules: DataFrame, slots: str, sent: str, clock: Callable[[int], datetime], *,
+                      keep: timedelta = timedelta(days=31), fold_every: int = SNAPSHOT_EVERY):
+    """As ``alerting``, from counts per issue and minute instead of the events; the clock is cut to the minute.
+
+    A batch adds its counts to ``slots`` and its alerts to ``sent``, both folded every ``fold_every`` batches.
+    Minutes older than ``keep`` go with a fold, so no rule's window may be longer. A rule that is added later
+    counts its whole window.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, now = batch.sparkSession, utc(clock(batch_id)).replace(second=0, microsecond=0)
+        longest = rules.agg(F.max("timespan_minutes")).first()[0] or 0
+        if timedelta(minutes=longest) > keep:
+            raise ValueError(f"a rule's window of {longest} minutes is longer than what is kept")
+        minute = F.date_trunc("minute", "received").cast("timestamp_ntz").alias("date")
+        here = piece(slots, batch_id)
+        batch.where("received IS NOT NULL").groupBy(*SLOT_KEYS, minute).agg(F.count(F.lit(1)).alias("count")).write.mode("overwrite").parquet(here)
+        mine = spark.read.parquet(here)
+        before = fold_before(spark, slots, batch_id, SLOT_KEYS, fold_every, now - keep)
+        counts = mine if before is None else mine.unionByName(before)
+        told = fold_before(spark, sent, batch_id, SENT_KEYS, fold_every)
+        hits = alerts.evaluate_alerts(
+            rules, counts.withColumnRenamed("date", "received"), now, sent=told, touched=mine.select("issue_id"), weight="count")
+        found = hits.select(F.col("alert_id").cast("bigint").alias("alert_id"), "issue_id", F.lit(now.replace(tzinfo=None)).cast("timestamp_ntz").alias("date"), F.col("num_events").alias("count"))
+        found.write.mode("overwrite").parquet(piece(sent, batch_id))
+
+    return events.writeStream.foreachBatch(write)
+
+
 def group_events(events: DataFrame, path: str):
     """Issue changes per batch: one small row per (project, hash), folded by ``fold_issues``."""
 
