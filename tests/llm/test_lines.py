@@ -8,23 +8,79 @@ from vigil.llm import line_dedup
 from vigil.llm.queries import QUERIES
 
 
+def patience(a, b):
+    """Equal places of two lists in order, written by recursion apart from the operator's."""
+
+    def solve(i, k, j, m):
+        head = 0
+        while i + head < k and j + head < m and a[i + head] == b[j + head]:
+            head += 1
+        out = [(i + x, j + x) for x in range(head)]
+        i, j = i + head, j + head
+        tail = 0
+        while k - tail > i and m - tail > j and a[k - tail - 1] == b[m - tail - 1]:
+            tail += 1
+        out += [(k - x - 1, m - x - 1) for x in range(tail)]
+        k, m = k - tail, m - tail
+        once = [x for x in range(i, k) if a[x] is not None and a[i:k].count(a[x]) == 1 and b[j:m].count(a[x]) == 1]
+        best = []  # longest rising run by plain dynamic programming, the operator's choice among equals
+        places = [b.index(a[x], j, m) for x in once]
+        tops, back = [], []
+        for n, y in enumerate(places):
+            pile = sum(places[t] < y for t in tops)
+            back.append(tops[pile - 1] if pile else None)
+            tops[pile: pile + 1] = [n]
+        n = tops[-1] if tops else None
+        while n is not None:
+            best.append((once[n], places[n]))
+            n = back[n]
+        best.reverse()
+        if best:
+            edges = [(i - 1, j - 1), *best, (k, m)]
+            out += best
+            for (p, q), (r, t) in zip(edges, edges[1:]):
+                out += solve(p + 1, r, q + 1, t)
+        return out
+
+    return sorted(solve(0, len(a), 0, len(b)))
+
+
+def blocks(pairs):
+    out = []
+    for p in pairs:
+        if out and out[-1][-1] == (p[0] - 1, p[1] - 1):
+            out[-1].append(p)
+        else:
+            out.append([p])
+    return out
+
+
 def removed_by_brute_force(rows, min_chars=40, rare=8):
-    """Lines that go, by id and text: pairs that share a line, aligned by the same definition."""
+    """Lines that go, by id and text: alignments with every earlier document that shares a line, and runs that many documents have."""
     docs = {(10**18 if i is None else i, t or "") for i, t in rows}
     lines = {d: [x if x.strip(" \t\n\x0b\x0c\r") else None for x in d[1].split("\n")] for d in docs}
-    holders = {}
-    for d in sorted(docs):
-        for x in {*lines[d]} - {None}:
-            holders.setdefault(x, []).append(d)
+    size = lambda some: sum(len(x) for x in some if x)
     gone = {d: set() for d in docs}
+    holders = {}
+    for d, own in lines.items():
+        for i in range(len(own)):
+            for k in range(i + 1, len(own) + 1):
+                if size(own[i:k]) >= min_chars and (size(own[i + 1: k]) < min_chars or size(own[i: k - 1]) < min_chars):
+                    # Minimal at one end: a line less there is too short.
+                    holders.setdefault(tuple(own[i:k]), {}).setdefault(d, []).append((i, k))
+    for run, have in holders.items():
+        if len(have) > rare:
+            least = min(d[0] for d in have)
+            for d, places in have.items():
+                if d[0] > least:
+                    for i, k in places:
+                        gone[d] |= {*range(i, k)}
     for later in docs:
-        partners = set()
-        for x in {*lines[later]} - {None}:
-            have = holders[x]
-            # Among rows of one id, the first by hash stands for them; any is as good where each id has one row.
-            partners |= {e for e in (have if len(have) <= rare else have[:1]) if e[0] < later[0]}
-        for earlier in partners:
-            gone[later] |= {*line_dedup.common_lines(lines[later], lines[earlier], [len(x) for x in later[1].split("\n")], min_chars)}
+        for earlier in docs:
+            if earlier[0] < later[0] and {*lines[later]} & {*lines[earlier]} - {None}:
+                for block in blocks(patience(lines[later], lines[earlier])):
+                    if size(lines[later][i] for i, _ in block) >= min_chars:
+                        gone[later] |= {i for i, _ in block}
     return {d: sorted(g) for d, g in gone.items()}
 
 
@@ -51,6 +107,15 @@ def test_random_documents(make):
     check(line_dedup.dedup_lines(make(rows)), rows)
 
 
+def test_frequent_lines_lose_no_block(make):
+    """A first holder with its lines in another order, short lines with different first holders, and a run that all have."""
+    shout = ["first line of the block", "second one of it", "third", "fourth of the block"]
+    rows = [(0, "\n".join(reversed(shout))), (1, "\n".join(shout[:2] + ["x"] + shout[2:]))]
+    rows += [(k, "\n".join([f"own {k}", *shout, f"end {k}", "", "license text that every document carries, word by word"])) for k in range(2, 40)]
+    rows += [(40 + k, "\n".join([shout[1], shout[0], f"line {k} of a kind that is longer than forty characters", shout[3]])) for k in range(20)]
+    check(line_dedup.dedup_lines(make(rows)), rows)
+
+
 def test_odd_rows(odd, clashing):
     rows = [(r[0], r[1]) for r in ODD]
     check(line_dedup.dedup_lines(odd), rows)

@@ -1,17 +1,20 @@
 """Removal of lines that an earlier document already has, by alignment of document pairs.
 
-Method: a document's lines become hashes. Two documents overlap if they share a rare line, one
-that at most ``RARE`` documents have; a more frequent line ties each document that has it to
-the first one that has it, so no shared line is without a pair and no line makes more than
-``RARE`` pairs for a document. Each pair is aligned by patience diff: lines that are unique in
-both are anchors, the longest run of anchors in the same order in both is kept, and blocks
+Method: a document's lines become hashes. Two documents overlap if they share something rare,
+which at most ``RARE`` documents have: a line, or a run of lines next to each other that holds ``min_chars``
+characters and none too many (at either end, a line less holds too few). Each pair is aligned by patience diff:
+lines that are unique in both are anchors, the longest run of anchors in the same order in both is kept, and blocks
 grow from there by equal neighbours. The aligned common blocks of at least ``min_chars``
 characters are deleted from the later document, the one with the larger id. Pairs are judged
 on the input, not on what is left.
 
+More frequent runs make no pairs: each is a common block by itself, and is deleted from all documents that have it
+but the first. So nothing is lost that an alignment with any earlier document would delete: each line of an aligned
+block lies in such a run inside the block, and the run is either rare, so the pair is aligned, or frequent.
+
 Lines are the pieces between newlines, compared as they are; a line of white space is no
-anchor, but may lie inside a block. What is shuffled for the pairs are hashes, 12 bytes a
-line; texts are shuffled once, to meet their deletions.
+anchor and has no characters, but may lie inside a block. What is shuffled for the pairs are hashes of
+lines and runs; texts are shuffled once, to meet their deletions.
 
 Defined cases: a null or empty text has no lines and stays as it is; a null id orders last;
 rows with one id are never compared with each other; repeated rows are treated alike and
@@ -25,9 +28,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.text import let
+from . import kit
 from .columns import carried, restored
 from .exchange import stored
 from .kit import NO_ID
@@ -105,15 +111,60 @@ def _align_batch(min_chars: int):
     return run
 
 
-def overlapping(sequences: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs of rows (``id, h`` the later, ``eid, eh`` the earlier) that share a line."""
-    held = sequences.select("id", "h", F.explode(F.array_distinct(F.expr("filter(seq, l -> l IS NOT NULL)"))).alias("line"))
-    lines = held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("head")).where("n > 1")
-    shared = held.join(lines, "line")
-    few = shared.where(F.col("n") <= rare).select("line", "id", "h")
-    pairs = few.join(few.selectExpr("line", "id AS eid", "h AS eh"), "line").where("id > eid").select("id", "h", "eid", "eh")
-    many = shared.where((F.col("n") > rare) & (F.col("id") > F.col("head.id"))).selectExpr("id", "h", "head.id AS eid", "head.h AS eh")
-    return pairs.unionAll(many).distinct()
+def _runs(min_chars: int):
+    """What documents may share, by occurrence: short lines, and runs of ``min_chars`` characters that are minimal at one end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            seq, lengths = batch.column(names.index("seq")), batch.column(names.index("lengths"))
+            offsets = np.asarray(seq.offsets) - seq.offsets[0].as_py()
+            blank = np.asarray(seq.flatten().is_null())
+            # Mixed values that are not 0: a 0 at the end of a run would not change its hash.
+            line = kit.mix(np.asarray(seq.flatten().fill_null(0)).astype(np.int64).view(np.uint64)) | np.uint64(1)
+            upto = np.concatenate([[0], np.cumsum(np.asarray(lengths.flatten()), dtype=np.int64)])
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            at, low, high = np.arange(len(line)), offsets[doc], offsets[doc + 1]
+            ahead = np.searchsorted(upto, upto[:-1] + min_chars, "left")
+            behind = np.searchsorted(upto, upto[1:] - min_chars, "right") - 1
+            forth, back = ahead <= high, behind >= low
+            short = ~blank & (upto[1:] - upto[:-1] < min_chars)
+            # The same run from both ends once; a run of one line is that line.
+            spans = np.unique(np.stack([np.concatenate([at[forth], behind[back], at[short]]), np.concatenate([ahead[forth], at[back] + 1, at[short] + 1])], 1), axis=0)
+            start, end = spans[:, 0], spans[:, 1]
+            key = kit.span(kit.prefix(line), start, end)
+            chars = upto[end] - upto[start]
+            owner = doc[start]
+            order = np.lexsort((start, key, owner))
+            first = np.zeros(len(order), bool)
+            first[order[kit.runs(owner[order], key[order])]] = True
+            yield pa.record_batch(
+                [batch.column(names.index(c)).take(pa.array(owner)) for c in ("id", "h")]
+                + [pa.array(key.view(np.int64)), pa.array((start - offsets[owner]).astype(np.int32)), pa.array((end - offsets[owner]).astype(np.int32)),
+                   pa.array(chars >= min_chars), pa.array(first)], _RUNS)
+
+    return run
+
+
+_RUNS = ["id", "h", "key", "start", "end", "block", "first"]
+
+
+def shared_runs(sequences: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Lines and runs that several rows have, with the number of those (``n``) and the first of them (``head``)."""
+    held = sequences.select("id", "h", "seq", "lengths").mapInArrow(_runs(min_chars), "id long, h long, key long, start int, end int, block boolean, first boolean")
+    counts = held.where("first").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "h")).alias("head")).where("n > 1")
+    return stored(held.join(stored(counts, "shared-keys"), "key"), "shared-runs")
+
+
+def overlapping(shared: DataFrame, rare: int = RARE) -> DataFrame:
+    """Pairs of rows (``id, h`` the later, ``eid, eh`` the earlier) that share something rare."""
+    few = shared.where(F.col("first") & (F.col("n") <= rare)).select("key", "id", "h")
+    return few.join(few.selectExpr("key", "id AS eid", "h AS eh"), "key").where("id > eid").select("id", "h", "eid", "eh").distinct()
+
+
+def frequent_blocks(shared: DataFrame, rare: int = RARE) -> DataFrame:
+    """Lines (``gone``) of the frequent runs that an earlier row has."""
+    return shared.where(F.col("block") & (F.col("n") > rare) & (F.col("id") > F.col("head.id"))).select("id", "h", F.sequence("start", F.col("end") - 1).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE) -> DataFrame:
@@ -122,16 +173,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE) -
     pieces = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     sequences = stored(docs.select(
         *key, F.transform(pieces, lambda p: F.when(p.rlike("[^ \\t-\\r]"), F.xxhash64(p))).alias("seq"),
-        F.transform(pieces, lambda p: F.length(p)).alias("lengths")).where(F.col("id").isNotNull()), "lines").dropDuplicates(["id", "h"])
-    pairs = overlapping(sequences.select("id", "h", "seq"), rare)
+        F.transform(pieces, lambda p: F.when(p.rlike("[^ \\t-\\r]"), F.length(p)).otherwise(0)).alias("lengths")).where(F.col("id").isNotNull()), "lines").dropDuplicates(["id", "h"])
+    shared = shared_runs(sequences, min_chars)
+    pairs = overlapping(shared, rare)
     first = sequences.selectExpr("id AS eid", "h AS eh", "seq AS earlier")
     both = pairs.join(first, ["eid", "eh"]).join(sequences.withColumnRenamed("seq", "later"), ["id", "h"])
     found = both.select("id", "h", "later", "earlier", "lengths").mapInArrow(_align_batch(min_chars), "id long, h long, gone array<int>")
+    found = found.unionAll(frequent_blocks(shared, rare))
     gone = found.select("id", "h", F.explode("gone").alias("line")).groupBy("id", "h").agg(F.sort_array(F.collect_set("line")).alias("removed"))
     core, added = ("doc_id", "text"), ("n_lines", "removed", "n_removed")
     kept = carried(docs, core, added).withColumns({"_id": key[0], "_h": key[1]})
     joined = kept.join(gone, (F.col("_id") == F.col("id")) & (F.col("_h") == F.col("h")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("removed", i)), "\n")
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    rest = let(F.split("text", "\n", -1), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
     columns = restored(docs, core, added, text=F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest))
     n_lines = F.when(F.length(F.coalesce("text", F.lit(""))) > 0, F.size(F.split("text", "\n", -1))).otherwise(0)
     return joined.select(*columns, n_lines.cast("long").alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
