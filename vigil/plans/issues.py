@@ -12,6 +12,8 @@ from ..functions.text import grouping_hash
 from ..functions.timeparam import moment, resolve_time
 from ..operators import issues as I, upsert as U
 from ..operators.segmented import join_on_keys
+from ..sources import issuestore
+from ..sources.keyedstore import KeyedStore
 from .registry import NOW, Tables, query
 
 SPLIT = "2024-01-16 00:00:00"
@@ -143,6 +145,46 @@ def additive_upsert(t: Tables):
     return U.add_counts(old, new, ["project_id", "organization_id", "date"])
 
 
+@query("m05_delta_counters", "SELECT project_id, organization_id, date, CAST(count AS BIGINT) AS count FROM project_hourly")
+def delta_counters(t: Tables):
+    """Four batches of events as deltas, folded after the second; nothing stored is read to add one."""
+    keys = ["project_id", "organization_id", "date"]
+    store = KeyedStore.create(t.spark, t.scratch("delta-counters"), "project_id int, organization_id int, date timestamp_ntz, count bigint", keys, {"count": "sum"}, 8)
+    for k in range(4):
+        batch = t("issue_events").where(F.col("event_id") % 4 == k)
+        store.commit(I.hourly_counts(batch, "project_id", "organization_id"), NOW, f"batch-{k}")
+        if k == 1:
+            store.fold(NOW)
+    return store.read()
+
+
+#: Issues by batches that end at two times: numbers go on from batch to batch.
+BATCHED_SQL = """
+WITH b AS (SELECT *, CASE WHEN received < TIMESTAMP '2024-01-08 00:00:00' THEN 0 WHEN received < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS batch FROM issue_events),
+g AS (SELECT project_id, hash, count(*) AS count, min(received) AS first_seen, max(received) AS last_seen, min(batch) AS batch,
+ arg_min(title, struct_pack(a := received, b := title)) AS title,
+ arg_max(release, struct_pack(a := received, b := release)) FILTER (WHERE release IS NOT NULL) AS last_release FROM b GROUP BY project_id, hash)
+SELECT project_id, hash, title, count, first_seen, last_seen, last_release, row_number() OVER (PARTITION BY project_id ORDER BY batch, first_seen, hash) AS short_id FROM g"""
+
+
+def issue_rows(store: KeyedStore):
+    return store.read().select("project_id", "hash", "title", "count", "first_seen", "last_seen", "last_release", "short_id")
+
+
+@query("m01_grouping_store", BATCHED_SQL)
+def grouping_store(t: Tables):
+    """Three batches into the keyed store of issues, each tried twice, with a fold between."""
+    store = issuestore.create(t.spark, t.scratch("issue-store"), 8)
+    old, new = halves(t)
+    early = F.col("received") < F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")
+    for k, batch in enumerate([old.where(early), old.where(~early), new]):
+        for _ in range(2):
+            issuestore.group_into(store, batch, NOW, f"batch-{k}")
+        if k == 1:
+            store.fold(NOW)
+    return issue_rows(store)
+
+
 @query("s14_conflict_tolerant_append", """
 SELECT event_id, event_type, user_id FROM events""")
 def conflict_tolerant_append(t: Tables):

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.maintenance import acceptable_spans
 from ..functions.timeparam import moment
-from ..sources import telemetry_json as J
+from ..sources import issuestore, telemetry_json as J
 from ..streaming import heartbeats, jobs
+from .issues import BATCHED_SQL, issue_rows
 from .logs import LEVELLED, levelled
 from .monitoring import REPLAY_SQL, STATE_COLUMNS, checks as ordered_checks
-from .registry import Tables, query
+from .registry import NOW, Tables, query
 
 
 def source(t: Tables, rows: DataFrame, label: str) -> str:
@@ -288,6 +289,15 @@ def stream_short_ids(t: Tables):
     return folded.unionByName(kept.select(F.lit("link").alias("kind"), "issue_id", F.col("notification_id").alias("number")))
 
 
+@query("st08_grouping_store", BATCHED_SQL)
+def stream_grouping_store(t: Tables):
+    """Three drains into the keyed store of issues, which is folded after each second batch."""
+    store, events = issuestore.create(t.spark, t.scratch("issue-stream"), 8), t("issue_events").drop("issue_id")
+    first, rest = by_half(events, "received", "2024-01-08")
+    drain(t, "issue-stream", [first, *by_half(rest, "received", "2024-01-16")], lambda s: jobs.group_into_store(s, store.path, "replay", lambda _: NOW, 2))
+    return issue_rows(store)
+
+
 @query("st09_poison_records", """
 SELECT event_id % 13 = 0 AS broken, count(*) AS count FROM events GROUP BY 1""")
 def stream_poison_records(t: Tables):

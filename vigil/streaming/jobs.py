@@ -9,6 +9,7 @@ twice; readers fold the pieces.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import suppress
 from datetime import UTC, datetime, timedelta
 from functools import reduce
 
@@ -19,8 +20,11 @@ from ..functions.timeparam import moment, slot, utc
 from ..operators import alerts, issues, logs, uptime
 from ..operators.segmented import join_on_keys, time_slot, with_row_number, written_once
 from ..operators.upsert import first_per_key, update_matching
+from ..sources import issuestore
+from ..sources.keyedstore import KeyedStore
 from ..sources.keyindex import FAN, KeyIndex
 from ..sources.storage import drop_folders, exists
+from ..sources.tablelog import Conflict
 
 TAG_KEYS = ("issue_id", "organization_id", "tag_key", "tag_value")
 LOG_KEYS = ("project_id", "organization_id", "level", "service_bucket", "environment_bucket")
@@ -411,6 +415,23 @@ def group_events(events: DataFrame, path: str):
     return in_pieces(events, path, build)
 
 
+def group_into_store(events: DataFrame, path: str, name: str, clock: Callable[[int], datetime], fold_every: int = SNAPSHOT_EVERY):
+    """Grouping into the keyed store at ``path``, beside other writers; a batch that is tried again is known by its run.
+
+    ``name`` tells the streams that write to one store apart. Every ``fold_every`` batches the buckets that have deltas get a
+    new base; a fold that meets another one leaves it to that.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = KeyedStore(batch.sparkSession, path)
+        issuestore.group_into(store, batch, clock(batch_id), f"{name}-{batch_id}")
+        if (batch_id + 1) % fold_every == 0:
+            with suppress(Conflict):
+                store.fold(clock(batch_id))
+
+    return events.writeStream.foreachBatch(write)
+
+
 def reopened_by(folded: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored resolved issues that the folded events reopen.
 
