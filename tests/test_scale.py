@@ -70,6 +70,28 @@ def test_exact_percentiles(spark):
     assert {r["g"]: (r["p1"], r["p50"], r["p95"], r["p100"]) for r in got.collect()} == want
 
 
+def test_distinct_values_inside_one_cell_are_spread(spark):
+    """A hot group whose values all lie within 1 %: none of its values is ranked in a task that holds many."""
+    df = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('g', id % 40)) AS g", "IF(id % 3 = 0, 1000 + id / 6000, double(id)) AS v")
+    df = df.unionAll(spark.range(50).selectExpr("'tight'", "1e300 * (1 + id * 2.3e-16)")).unionAll(spark.range(9).selectExpr("'none'", "double(NULL)"))
+    df = df.unionAll(spark.range(700).selectExpr("'same'", "7.5D")).unionAll(spark.range(20).selectExpr("'edge'", "IF(id < 4, double('Infinity'), -0.001D * id)"))
+    percents = {"p1": 1, "p50": 50, "p95": 95, "p100": 100}
+    groups = defaultdict(list)
+    for r in df.where("v IS NOT NULL").collect():
+        groups[r["g"]].append(r["v"])
+    want = {g: tuple(sorted(vs)[max(1, math.ceil(len(vs) * p / 100)) - 1] for p in percents.values()) for g, vs in groups.items()}
+    want["none"] = (None,) * 4
+    counts = quantiles.value_counts(df, ["g"], "v")
+    for most, levels in ((10, 1), (1, 3), (10_000, 1)):
+        got = quantiles.exact_percentiles(counts, ["g"], "v", percents, most=most, levels=levels)
+        assert {r["g"]: (r["p1"], r["p50"], r["p95"], r["p100"]) for r in got.collect()} == want
+    # What is ranked at last: one cell of the hot group before, a few values after cutting it.
+    heads = quantiles.group_heads(counts, ["g"], "v", percents).where("g = 'hot'")
+    cut = quantiles.refine_heads(counts, heads, ["g"], "v")
+    assert quantiles.in_heads(counts, heads, ["g"], "v").groupBy("_name").count().agg(F.max("count")).first()[0] > 1000
+    assert quantiles.in_heads(counts, cut, ["g"], "v").groupBy("_name").count().agg(F.max("count")).first()[0] <= 2
+
+
 def test_percentile_plan_keeps_no_value_list(spark):
     """No group is gathered: the plan has neither percentile nor collect aggregates."""
     df = spark.range(100).selectExpr("id % 3 AS g", "double(id) AS v")
