@@ -10,8 +10,8 @@ from ..functions import ids as K
 from ..functions.levels import ISSUE_STATUSES
 from ..functions.text import grouping_hash
 from ..functions.timeparam import moment, resolve_time
-from ..operators import issues as I, upsert as U
-from ..operators.segmented import join_on_keys
+from ..operators import heavy as H, issues as I, upsert as U
+from ..operators.segmented import join_on_keys, written_once
 from ..sources import issuestore
 from ..sources.keyedstore import KeyedStore
 from .registry import NOW, Tables, query
@@ -373,6 +373,20 @@ def tag_breakdown(t: Tables):
     return I.tag_breakdown(t("issue_tags"))
 
 
+@query("a19_top_values_incremental", """
+WITH v AS (SELECT issue_id, tag_key, tag_value, CAST(sum(count) AS BIGINT) AS value_count FROM issue_tags GROUP BY issue_id, tag_key, tag_value)
+SELECT issue_id, tag_key, tag_value, value_count, row_number() OVER (PARTITION BY issue_id, tag_key ORDER BY value_count DESC, tag_value) AS nth
+FROM v QUALIFY nth <= 3""")
+def top_values_incremental(t: Tables):
+    """Summaries of each day, merged by week as they would be stored, then the top three; what they leave open is counted."""
+    keys, tags = ["issue_id", "tag_key"], t("issue_tags")
+    daily = written_once(H.summarize(tags, [*keys, "date"], "tag_value", size=16), "daily-values")
+    week = F.date_trunc("week", "date").cast("timestamp_ntz")
+    weekly = written_once(H.merge(daily.withColumn("week", week), [*keys, "week"], size=16), "weekly-values")
+    found = H.exact_top(weekly, tags, keys, "tag_value", 3)
+    return found.select(*keys, F.col("value").alias("tag_value"), F.col("count").alias("value_count"), "nth")
+
+
 @query("l03_issue_sort", """
 SELECT issue_id, count, last_seen FROM issues ORDER BY count DESC, issue_id LIMIT 20""")
 def issue_sort(t: Tables):
