@@ -154,3 +154,18 @@ def test_readers_open_a_bounded_part_of_the_log(spark, log, monkeypatch):
     assert log.scan().count() == 6 and len(log.versions()) == 1
     with pytest.raises(ValueError):
         log.scan(version=3)
+
+
+def test_rows_are_never_sent_to_every_task(spark, log):
+    """Beside a delete record the ages of files are broadcast whatever the estimated sizes, not the rows of the files."""
+    log.append(rows(spark, 0, 60), NOW)
+    log.delete(1, NOW, project_id=2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scan = log.scan()
+        plan = scan._jdf.queryExecution().executedPlan().toString()
+        assert "Inner, BuildRight" in plan and "BuildLeft" not in plan
+        assert ids(scan) == [i for i in range(60) if i % 3 != 2]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -265,7 +265,7 @@ class TableLog:
         paths = self._paths(suspects)
         if paths:
             keys = [k for k in KEYS if k in self.schema.names]
-            aged = self._aged(state, paths).select("file", "_seq", "organization_id", *keys)
+            aged = self._aged(suspects, paths).select("file", "_seq", "organization_id", *keys)
             struck = _union([self._deleted(aged, state, k, "left_semi").select("file") for k in keys]).distinct()
             old = old.unionByName(struck).distinct()
         old = written_once(state.files.join(old, "file", "left_semi"), "rewritten-files")
@@ -315,10 +315,13 @@ class TableLog:
         newest = state.deletes.groupBy("organization_id").agg(F.max("seq").alias("_newest"))
         return chosen.join(newest, "organization_id").where("seq < _newest").drop("_newest")
 
-    def _aged(self, state: Snapshot, paths: list[str]) -> DataFrame:
-        """The rows of files, each with its file's name and age."""
+    def _aged(self, chosen: DataFrame, paths: list[str]) -> DataFrame:
+        """The rows of the chosen files, each with its file's name and age.
+
+        The ages go to every task, one for each of the paths. By the estimated sizes Spark would send the rows instead.
+        """
         rows = self._open(paths).drop("batch").withColumn("file", F.regexp_extract("_metadata.file_path", "(batch=.*)$", 1))
-        return rows.join(state.files.select("file", F.col("seq").alias("_seq")), "file")
+        return rows.join(F.broadcast(chosen.select("file", F.col("seq").alias("_seq"))), "file")
 
     def _deleted(self, aged: DataFrame, state: Snapshot, key: str, how: str) -> DataFrame:
         newest = state.deletes.where(F.col(key).isNotNull()).groupBy("organization_id", key).agg(F.max("seq").alias("_newest"))
@@ -327,11 +330,12 @@ class TableLog:
 
     def _live_rows(self, state: Snapshot, chosen: DataFrame) -> DataFrame:
         """The rows of the chosen files that no delete record names; only files older than a record are compared with it."""
-        suspects = self._paths(self._suspects(state, chosen))
+        old = self._suspects(state, chosen)
+        suspects = self._paths(old)
         clean = sorted(set(self._paths(chosen)) - set(suspects))
         parts = [self._open(clean).drop("batch")] if clean else []
         if suspects:
-            rows = self._aged(state, suspects)
+            rows = self._aged(old, suspects)
             for key in KEYS:
                 if key in self.schema.names:
                     rows = self._deleted(rows, state, key, "left_anti")
