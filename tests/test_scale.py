@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import alerts, quantiles, ranges, segmented, spans, uptime, upsert
+from vigil.operators import alerts, maintenance, quantiles, ranges, segmented, spans, uptime, upsert
 
 START = datetime(2024, 1, 1)
 
@@ -147,6 +147,32 @@ def test_interval_join(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("few", [0, 25, 1000])  # all, one, no key by blocks
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_interval_join_by_key_or_blocks(spark, few, how):
+    rnd = random.Random(4)
+    points = [(d, rnd.randrange(0, 3000)) for d in (0, 1, 2, None) for _ in range(50)] + [(1, None), (9, 5)]
+    points += points[:20]
+    intervals = [(d, i, low, low + rnd.choice([0, 16, 300, 900])) for d, n in ((0, 40), (1, 20), (2, 3), (None, 30)) for i in range(n) for low in [rnd.randrange(0, 3000)]]
+    got = ranges.interval_join(
+        spark.createDataFrame(points, "d int, p bigint"), spark.createDataFrame(intervals, "d int, i int, low bigint, high bigint"), ["d"], "p", "low", "high", how, few
+    )
+    want = []
+    for d, p in points:
+        hits = [i for e, i, low, high in intervals if d is not None and p is not None and d == e and low <= p < high]
+        want += [(d, p, i) for i in (hits or ([None] if how == "left" else []))]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(((r["d"], r["p"], r["i"]) for r in got.collect()), key=order) == sorted(want, key=order)
+
+
+def test_modules_of_small_dumps_are_not_cut_into_blocks(spark):
+    frames = spark.createDataFrame([(1, 40), (1, 90), (1, 90), (2, 40), (None, 40)], "dump_id int, address bigint")
+    modules = spark.createDataFrame([(1, 2, "a", 0, 10**9), (1, 1, "b", 80, 100), (2, 1, "c", 41, 10**9), (None, 1, "d", 0, 100)], "dump_id int, module_order int, module string, base bigint, end bigint")
+    found = maintenance.frames_with_modules(frames, modules)
+    assert {tuple(r) for r in found.collect()} == {(1, 40, "a", 0), (1, 90, "b", 80), (2, 40, None, None), (None, 40, None, None)}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_per_key_is_deterministic(spark):
     rows = [(i % 5, 100 - i, f"v{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "k int, o int, v string").repartition(7)

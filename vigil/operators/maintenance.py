@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
@@ -102,12 +102,13 @@ def import_events(archive: DataFrame, issues: DataFrame, projects: DataFrame, st
     return first_per_key(minted, ["id"], ["event_id"])
 
 
-def frames_with_modules(frames: DataFrame, modules: DataFrame) -> DataFrame:
+def frames_with_modules(frames: DataFrame, modules: DataFrame, order: Sequence[str] = ("module_order",)) -> DataFrame:
     """Module of each frame address: base <= address < end, first in module order, else null."""
     points = frames.select("dump_id", "address").distinct()
-    inside = interval_join(points, modules, ["dump_id"], "address", "base", "end")
-    first = inside.groupBy("dump_id", "address").agg(F.min_by(F.struct("module", "base"), "module_order").alias("_m"))
-    return points.join(first, ["dump_id", "address"], "left").select(
+    own = modules.select("dump_id", "base", "end", *dict.fromkeys(["module", *(c for c in order if c != "base")]))
+    rank = F.when(F.col("base").isNotNull(), F.struct(*order)) if len(order) > 1 else F.col(order[0])
+    inside = interval_join(points, own, ["dump_id"], "address", "base", "end", "left")
+    return inside.groupBy("dump_id", "address").agg(F.min_by(F.struct("module", "base"), rank).alias("_m")).select(
         "dump_id", "address", F.col("_m.module").alias("module"), F.col("_m.base").alias("base")
     )
 

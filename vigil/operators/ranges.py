@@ -1,11 +1,16 @@
-"""Point-in-interval joins by equality."""
+"""Point-in-interval joins: by key, or by blocks where a key has many intervals."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .segmented import hot_keys, join_on_keys
+
+#: Intervals of one key that each of its points is compared with.
+FEW = 100
 STEP = 4  # bits per level: blocks grow by a factor of 16
 LEVELS = 16
 
@@ -30,12 +35,39 @@ def interval_blocks(intervals: DataFrame, low: str, high: str) -> DataFrame:
     return rows.withColumn("_block", F.explode(chosen)).drop("_lo", "_hi", "_lo_up", "_hi_up")
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str) -> DataFrame:
-    """Inner join of points with the intervals [low, high) that contain them.
+def interval_join(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str, how: str = "inner", few: int = FEW
+) -> DataFrame:
+    """Join of points with the intervals [low, high) that contain them, inner or left.
+
+    A point is compared with all intervals of its key as long as these are ``few``; such a key
+    goes to one task. Keys with more intervals, or with many points, are joined by blocks.
+    """
+    intervals = intervals.dropna(subset=list(keys))
+    crowded = [k for k in (hot_keys(intervals, keys, few), hot_keys(points, keys)) if k is not None]
+    if not crowded:
+        return _join_by_key(points, intervals, keys, point, low, high, how)
+    apart = reduce(DataFrame.union, crowded).distinct()
+    chosen = join_on_keys(points, apart, keys, "left_semi")
+    inside = _join_by_blocks(chosen, join_on_keys(intervals, apart, keys, "left_semi"), keys, point, low, high)
+    if how == "left":
+        missed = chosen.join(inside.select(*keys, point).distinct(), [*keys, point], "left_anti")
+        inside = inside.unionByName(missed, allowMissingColumns=True)
+    rest = _join_by_key(join_on_keys(points, apart, keys, "left_anti"), join_on_keys(intervals, apart, keys, "left_anti"), keys, point, low, high, how)
+    return rest.unionByName(inside)
+
+
+def _join_by_key(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str, how: str) -> DataFrame:
+    own = intervals.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [points[k] == own[f"_r_{k}"] for k in keys])
+    return points.join(own, same & (points[point] >= own[low]) & (points[point] < own[high]), how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _join_by_blocks(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, low: str, high: str) -> DataFrame:
+    """Inner join in which no pair is tried that does not match.
 
     An interval becomes a few aligned blocks, a point looks once per block size, so
-    the join is on equality and no pair is tried that does not match.  Values must
-    not be negative.
+    the join is on equality.  Values must not be negative.
     """
     blocks = interval_blocks(intervals, low, high)
     # A key's points are looked up at the block sizes its intervals use (15 at most).

@@ -210,8 +210,7 @@ hits AS (SELECT f.dump_id, f.address, m.module, m.base, row_number() OVER (PARTI
  FROM frames f LEFT JOIN modules m ON m.dump_id = f.dump_id AND f.address >= m.base AND f.address < m."end")
 SELECT dump_id, address, module, base FROM hits WHERE n = 1""")
 def address_modules(t: Tables):
-    modules = t.sql(MODULES).withColumn("module_order", F.struct("module_order", "base", "module"))
-    return M.frames_with_modules(t.sql(FRAMES), modules)
+    return M.frames_with_modules(t.sql(FRAMES), t.sql(MODULES), ["module_order", "base", "module"])
 
 
 BUNDLE_FRAMES = """SELECT l_orderkey AS event_id, CAST(l_suppkey % 3 AS INT) AS organization_id, 'r' || CAST(l_orderkey % 4 AS STRING) AS release,
