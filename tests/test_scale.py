@@ -173,6 +173,36 @@ def test_modules_of_small_dumps_are_not_cut_into_blocks(spark):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_bundle_match_work_does_not_grow_with_the_bundles_of_a_name(spark):
+    """Frames meet one bundle for each debug id or name; repeated frames share the first, frames without an event get none."""
+    rnd = random.Random(3)
+    frames = [(rnd.choice([1, 2, 3, None]), rnd.choice([0, 1, None]), rnd.choice(["r1", "r2", None]), rnd.choice([1, 2, 3, None]), f"https://h/{rnd.choice('abcd')}.js") for _ in range(80)]
+    images = [(e, f"/x/{n}.js", d) for e, n, d in [(1, "a", "d1"), (1, "a", "d0"), (2, "b", "d2"), (3, "c", None), (None, "a", "d1")]]
+    bundles = [(rnd.choice([0, 1, None]), rnd.choice(["r1", "r2", None]), i, rnd.choice(["d1", "d2", None]), rnd.choice(["a.js", "d.js", None]), rnd.choice(["p/b.js", None])) for i in range(90, 30, -1)]
+    found = maintenance.match_bundles(
+        spark.createDataFrame(frames, "event_id int, organization_id int, release string, frame_at int, abs_path string"),
+        spark.createDataFrame(images, "event_id int, code_file string, debug_id string"),
+        spark.createDataFrame(bundles, "organization_id int, release string, bundle_id int, debug_id string, file_name string, code_file string"))
+    hits, want = defaultdict(list), []
+    ids = {}
+    for e, path, d in images:
+        if e is not None and d is not None:
+            ids[e, path.split("/")[-1]] = max(d, ids.get((e, path.split("/")[-1]), ""))
+    for e, org, release, at, path in frames:
+        file = path.split("/")[-1]
+        for o, r, i, d, name, code in bundles:
+            named = release is not None and r == release and (name == file or (code or "").split("/")[-1] == file)
+            if org is not None and o == org and (named or (d is not None and d == ids.get((e, file)))):
+                hits[e, at].append(i)
+    for e, org, release, at, path in frames:
+        want.append((e, at, path.split("/")[-1], min(hits[e, at], default=None) if e is not None and at is not None else None))
+    order = lambda r: str(tuple(r))
+    got = sorted((tuple(r) for r in found.select("event_id", "frame_at", "file", "bundle_id").collect()), key=order)
+    assert got == sorted(want, key=order)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line] and "Union" not in plan
+
+
 def test_first_per_key_is_deterministic(spark):
     rows = [(i % 5, 100 - i, f"v{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "k int, o int, v string").repartition(7)

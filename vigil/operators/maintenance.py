@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.ids import uuid7_from_timestamp
 from ..functions.timeparam import moment
@@ -130,13 +130,18 @@ def match_bundles(frames: DataFrame, images: DataFrame, bundles: DataFrame) -> D
         F.col("organization_id").alias("_org"), F.col("release").alias("_release"), "bundle_id",
         F.col("debug_id").alias("_debug"), "file_name", F.element_at(F.split("code_file", "/"), -1).alias("_code"),
     )
-    by_id = f.join(b, (f["organization_id"] == b["_org"]) & (f["frame_debug_id"] == b["_debug"])).select(*f.columns, "bundle_id")
+    # Only the first bundle counts, so a frame meets one for its debug id and one for its file name, however many there are.
+    ids = b.groupBy("_org", "_debug").agg(F.min("bundle_id").alias("_by_id"))
     names = b.select("_org", "_release", "bundle_id", F.explode(F.array_distinct(F.array_compact(F.array("file_name", "_code")))).alias("_name"))
-    by_file = f.join(
-        names, (f["organization_id"] == names["_org"]) & (f["release"] == names["_release"]) & (f["file"] == names["_name"])
-    ).select(*f.columns, "bundle_id")
-    hits = by_id.unionByName(by_file).groupBy("event_id", "frame_at").agg(F.min("bundle_id").alias("bundle_id"))
-    return f.join(hits, ["event_id", "frame_at"], "left")
+    names = names.groupBy("_org", "_release", "_name").agg(F.min("bundle_id").alias("_by_file"))
+    columns = [f[c] for c in dict.fromkeys(["event_id", "frame_at", *f.columns])]
+    hits = f.join(ids, (f["organization_id"] == ids["_org"]) & (f["frame_debug_id"] == ids["_debug"]), "left").select(*columns, "_by_id")
+    hits = hits.join(
+        names, (hits["organization_id"] == names["_org"]) & (hits["release"] == names["_release"]) & (hits["file"] == names["_name"]), "left"
+    )
+    first = F.min(F.least("_by_id", "_by_file")).over(Window.partitionBy("event_id", "frame_at"))
+    known = F.col("event_id").isNotNull() & F.col("frame_at").isNotNull()
+    return hits.withColumn("bundle_id", F.when(known, first)).drop("_org", "_release", "_name", "_by_id", "_by_file")
 
 
 def archived_days(rows: DataFrame, time_column: str) -> DataFrame:
