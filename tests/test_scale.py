@@ -131,6 +131,18 @@ def test_flap_damping_equals_replay_and_continues(spark, hot_rows):
     assert {**shape(first), **shape(second)} == want
 
 
+def test_flap_damping_sorts_once_and_joins_no_rows(spark):
+    """Without hot monitors a task holds its rows in one sort; checks without a result keep the state."""
+    rows = [(m, START + timedelta(seconds=i), i, up) for m in (1, 2, None) for i, up in enumerate([None, False, None, False, True, None, False, False, True])]
+    checks = frame(spark, rows, "monitor_id int, start_check timestamp, check_id int, is_up boolean")
+    monitors = spark.createDataFrame([(1, 2), (2, 3)], "monitor_id int, confirmation_threshold int")
+    whole = uptime.replay_states(checks, monitors)
+    shape = lambda df: sorted(map(str, df.collect()))
+    assert shape(whole) == shape(uptime.replay_states(checks, monitors, hot_rows=0))
+    plan = uptime.replay_states(checks, F.broadcast(monitors))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "SortMergeJoin" not in plan
+
+
 def test_interval_join(spark):
     rnd = random.Random(2)
     points = [(d, rnd.choice([rnd.randrange(0, 5000), rnd.randrange(0, 2**46), 2**60 + rnd.randrange(100)])) for d in range(3) for _ in range(60)]

@@ -37,18 +37,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
     return hot if len(listed) > LISTED_KEYS else F.broadcast(df.sparkSession.createDataFrame(listed, hot.schema))
 
 
-def with_segments(df: DataFrame, keys: Sequence[str], slot: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``_seg``: the slot for keys with more than ``hot_rows`` rows, null for the others.
+def segmented(df: DataFrame, keys: Sequence[str], slot: Column, hot: DataFrame) -> DataFrame:
+    """Add ``_seg``: the slot for hot keys, null for the others.
 
-    Where there are hot keys the rows are written to the shared folder once, since what follows
-    reads them twice: for the rows and for the edges of segments.
+    The rows are written to the shared folder once, since what follows reads them twice: for
+    the rows and for the edges of segments.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    return df.withColumn("_seg", F.lit(None).cast("bigint")) if hot is None else segmented(df, keys, slot, hot)
-
-
-def segmented(df: DataFrame, keys: Sequence[str], slot: Column, hot: DataFrame) -> DataFrame:
-    """The rows with ``_seg`` for hot keys, written once."""
     marked = join_on_keys(df, hot.withColumn("_hot", F.lit(True)), keys, "left").withColumn("_seg", F.when(F.col("_hot"), slot)).drop("_hot")
     return written_once(marked, "segments")
 

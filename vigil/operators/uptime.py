@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeparam import micros, moment, utc
-from .segmented import HOT_ROWS, join_on_keys, time_slot, with_segments
+from .segmented import HOT_ROWS, hot_keys, join_on_keys, segmented, time_slot
 from .upsert import latest_per_key
 
 ORDER = ["start_check", "check_id"]
@@ -20,13 +20,14 @@ def replay_states(
     """Official state after every check of every monitor.
 
     Down is confirmed after ``confirmation_threshold`` failing checks in a row, up
-    at once.  ``changed`` marks flips (the first confirmed state is one).  The history of
-    a hot monitor is cut into minutes; what one segment hands to the next (open
-    failure run, last confirmed state) is computed on one row per segment.
+    at once.  ``changed`` marks flips (the first confirmed state is one).  The rows are
+    sorted once.  Where monitors are hot, their history is cut into minutes; what one segment
+    hands to the next (open failure run, last confirmed state) is computed on one row per segment.
 
     ``carry`` (monitor_id, state, consecutive_down) continues an earlier replay.
     """
-    rows = with_segments(checks, ["monitor_id"], time_slot(F.col("start_check"), SLOT), hot_rows)
+    hot = hot_keys(checks, ["monitor_id"], hot_rows)
+    rows = checks if hot is None else segmented(checks, ["monitor_id"], time_slot(F.col("start_check"), SLOT), hot)
     rows = rows.join(monitors.select("monitor_id", "confirmation_threshold"), "monitor_id", "left")
     if carry is None:
         rows = rows.withColumn("_state0", F.lit(None).cast("boolean")).withColumn("_down0", F.lit(0))
@@ -36,14 +37,36 @@ def replay_states(
     rows = rows.withColumn(
         "_need", F.greatest(F.lit(1), F.coalesce("confirmation_threshold", F.lit(1)))
     )
-    key = ["monitor_id", "_seg"]
+    key = ["monitor_id"] if hot is None else ["monitor_id", "_seg"]
     inside = Window.partitionBy(*key).orderBy(*ORDER)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_ups", F.sum(F.col("is_up").cast("int")).over(upto))
-    since_up = Window.partitionBy(*key, "_ups").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_run", F.sum((~F.col("is_up")).cast("int")).over(since_up))
+    # Failures never get fewer, so the most that any earlier success has seen are those before the last success.
+    rows = rows.withColumn("_fails", F.sum((~F.col("is_up")).cast("int")).over(upto))
+    rows = rows.withColumn("_run", F.col("_fails") - F.coalesce(F.max(F.when(F.col("is_up"), F.col("_fails"))).over(upto), F.lit(0)))
+    if hot is None:
+        rows = rows.withColumns({"_carried": F.coalesce("_down0", F.lit(0)), "_entry": F.col("_state0")})
+    else:
+        rows = join_on_keys(rows, _handed_on(rows, key), key)
+
+    run = F.col("_run") + F.when(F.col("_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
+    rows = rows.withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
+    confirmed = F.when(F.col("is_up"), F.lit(True)).when(F.col("_down") >= F.col("_need"), F.lit(False))
+    rows = rows.withColumn("_state", F.last(confirmed, ignorenulls=True).over(upto)).withColumn(
+        "_previous", F.lag("_state").over(inside)
+    )
+    state, previous = F.coalesce("_state", "_entry"), F.coalesce("_previous", "_entry")
+    return rows.select(
+        *[c for c in checks.columns],
+        F.least("_down", "_need").cast("int").alias("consecutive_down"),
+        state.alias("state"),
+        (state.isNotNull() & (previous.isNull() | (previous != state))).alias("changed"),
+    )
 
-    # One row per segment: ups, the failure run still open at its end, then what it passes on.
+
+def _handed_on(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row per segment: the failure run and the state it begins with."""
+    # Ups, the failure run still open at its end, then what it passes on.
     by_segment = Window.partitionBy("monitor_id").orderBy("_seg")
     earlier = by_segment.rowsBetween(Window.unboundedPreceding, -1)
     open_run = F.max_by(F.when(F.col("is_up"), 0).otherwise(F.col("_run")), F.struct(*ORDER))
@@ -59,24 +82,10 @@ def replay_states(
     )
     run_at_end = F.col("_open") + F.when(F.col("_seg_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
     at_end = F.when(run_at_end >= F.col("_seg_need"), F.lit(False)).when(F.col("_seg_ups") > 0, F.lit(True))
-    segments = segments.withColumn("_at_end", at_end).withColumn(
+    return segments.withColumn("_at_end", at_end).withColumn(
         "_entry", F.coalesce(F.last("_at_end", ignorenulls=True).over(earlier), "_first_state")
     ).select(*key, "_carried", "_entry")
 
-    run = F.col("_run") + F.when(F.col("_ups") == 0, F.col("_carried")).otherwise(F.lit(0))
-    rows = join_on_keys(rows, segments, key).withColumn("_down", F.when(F.col("is_up"), F.lit(0)).otherwise(run))
-    confirmed = F.when(F.col("is_up"), F.lit(True)).when(F.col("_down") >= F.col("_need"), F.lit(False))
-    rows = rows.withColumn("_state", F.last(confirmed, ignorenulls=True).over(upto)).withColumn(
-        "_previous", F.lag("_state").over(inside)
-    )
-    state, previous = F.coalesce("_state", "_entry"), F.coalesce("_previous", "_entry")
-    return rows.select(
-        *[c for c in checks.columns],
-        F.least("_down", "_need").cast("int").alias("consecutive_down"),
-        state.alias("state"),
-        (state.isNotNull() & (previous.isNull() | (previous != state))).alias("changed"),
-    )
-
 
 def last_states(states: DataFrame) -> DataFrame:
     """State of each monitor after its newest check - what the next replay continues from."""
