@@ -127,3 +127,14 @@ def test_suffix_order_and_common_prefixes():
         windows = [t[k: k + 3] for t in texts for k in range(len(t) - 2)]
         classes = bwt.window_classes(found, offsets, 3)
         assert len({*zip(windows, classes.tolist())}) == len({*windows}) == len({*classes.tolist()})
+
+
+def test_suffix_order_does_not_depend_on_the_block(monkeypatch):
+    """Rows are renumbered block by block; a block of 7 gives what one block gives."""
+    rng = np.random.default_rng(2)
+    length = rng.integers(0, 40, 200)
+    data, offsets = rng.integers(97, 100, length.sum()).astype(np.uint8), np.concatenate([[0], np.cumsum(length)])
+    whole = bwt.build(data, offsets)
+    monkeypatch.setattr(bwt, "BLOCK", 7)
+    blocks = bwt.build(data, offsets)
+    assert all((getattr(whole, c) == getattr(blocks, c)).all() for c in ("symbol", "rest", "common", "whole"))
